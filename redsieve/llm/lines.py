@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .util import settle
 
-THRESHOLD = 1
+THRESHOLD = 2
 MIN_CHARS = 24
 
 
@@ -75,13 +75,15 @@ def within(x: str, y: str, tau: int) -> Column:
     width = 2 * tau + 1
     full = (1 << width) - 1
     start = sum(((1 << (k + 1)) - 1) << tau << (width * k) for k in range(tau + 1))
-
-    def step(acc: Column, j: Column) -> Column:
-        c = F.get(F.col(y), j)
-        same = F.lit(0)
-        for o in range(-tau, tau + 1):
-            hit = F.get(F.col(x), j + o) == c
-            same = same.bitwiseOR(F.when(F.coalesce(hit, F.lit(False)), 1 << (tau + o)).otherwise(0))
+    # for each character of y, itself and those of x on the band's diagonals
+    none = F.lit(None).cast("string")
+    band = [F.slice(x, 1 + o, 1 << 30) if o > 0 else F.concat(F.array_repeat(none, -o), F.col(x)) if o else F.col(x) for o in range(-tau, tau + 1)]
+    zipped = F.slice(F.arrays_zip(F.col(y).alias("c"), *(d.alias(f"d{i}") for i, d in enumerate(band))), 1, F.size(y))
+
+    def step(acc: Column, z: Column) -> Column:
+        same = F.lit(0).cast("long")
+        for i in range(width):
+            same = same.bitwiseOR(F.when(z[f"d{i}"] == z["c"], F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
         out, old, new = F.lit(0).cast("long"), None, None
         for k in range(tau + 1):
             row = F.shiftright(acc, width * k).bitwiseAND(full)
@@ -92,10 +94,9 @@ def within(x: str, y: str, tau: int) -> Column:
             out = out.bitwiseOR(F.shiftleft(got, width * k))
         return out
 
-    end = F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), F.lit(start).cast("long"), step)
-    offset = F.size(x) - F.size(y)
+    end = F.aggregate(zipped, F.lit(start).cast("long"), step)
     last = F.shiftright(end, width * tau).bitwiseAND(full)
-    return (F.abs(offset) <= tau) & (last.bitwiseAND(F.expr(f"shiftleft(1L, {tau} + size({x}) - size({y}))")) != 0)
+    return (F.abs(F.size(x) - F.size(y)) <= tau) & (last.bitwiseAND(F.expr(f"shiftleft(1L, {tau} + size({x}) - size({y}))")) != 0)
 
 
 def occurrences(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -10,7 +10,8 @@ Edges are confirmed on full sets.
 Documents with the same set are one class before any bucket is made, so copies
 cost nothing. A star loses a link between two leaves when neither links with the
 centre. Two more rounds therefore take, in every bucket that still holds several
-components, another centre by a hash that differs for each bucket.
+components, another centre by a hash that differs for each bucket. In the first round
+the centre is the smallest doc_id, as what is copied mostly comes before its copies.
 
 Defined results: null text is empty text; documents without words have
 n_shingles 0, link with nothing and are kept; repeated rows belong to one class;
@@ -152,8 +153,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy("c").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
-    rows = classes.select("c", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("c", "n")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    rows = classes.select("c", "n", "least", F.explode("bands").alias("key"))
+    # the first document of a bucket is its centre: what is copied comes before its copies
+    shared = rows.groupBy("key").agg(F.min(F.struct("least", "c", "n")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
     buckets = settle(
         rows.join(shared, "key").select("key", "c", "n", F.col("m.c").alias("m"), F.col("m.n").alias("m_n")), "buckets"
     )
