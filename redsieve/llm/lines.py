@@ -29,6 +29,8 @@ from .util import settle
 
 THRESHOLD = 2
 MIN_CHARS = 24
+#: Up to so many candidate lines (8 bytes each) a copy of their hashes goes to each executor; beyond, texts are joined by a shuffle.
+FEW_LINES = 250_000
 
 
 def _segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -53,13 +55,15 @@ def index_keys(line: Column, tau: int) -> list[Column]:
 
 
 def probe_keys(line: Column, tau: int) -> list[Column]:
-    """Keys under which lines at most as long, within tau edits, may be found; null where a window leaves the line."""
+    """Besides its own index keys, those under which lines at most as long, within tau edits, may be found; null where a window leaves the line."""
     n, out = F.length(line), []
     for delta in range(tau + 1):
         shorter = n - delta
         for i, (start, size) in enumerate(_segments(shorter, tau)):
             lo, hi = max(-i, delta - (tau - i)), min(i, delta + (tau - i))
             for shift in range(lo, hi + 1):
+                if not delta and not shift:
+                    continue
                 at = start + shift
                 out.append(F.when((at >= 0) & (at + size <= n), _key(line, shorter, i, at, size)))
     return out
@@ -110,14 +114,13 @@ def occurrences(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def _candidates(occ: DataFrame, tau: int) -> DataFrame:
     """(a, b): hashes of different lines with a probe of b among the index keys of a."""
-    keyed = (
-        occ.select("h", F.length("line").alias("n"), F.array(*index_keys(F.col("line"), tau)).alias("own"), F.array(*probe_keys(F.col("line"), tau)).alias("probes"))
-        .groupBy("h")
-        .agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("probes").alias("probes"))
-    )
-    keyed = settle(keyed, "segments")
-    index = keyed.select(F.explode("own").alias("key"), F.col("h").alias("a"), F.col("n").alias("n_a"))
-    probes = keyed.select(F.explode(F.array_distinct(F.filter("probes", lambda k: k.isNotNull()))).alias("key"), F.col("h").alias("b"), "n")
+    keys = [*index_keys(F.col("line"), tau), *probe_keys(F.col("line"), tau)]
+    own, every = [f"k{i}" for i in range(tau + 1)], [f"k{i}" for i in range(len(keys))]
+    keyed = occ.select("h", F.length("line").alias("n"), *(k.alias(name) for k, name in zip(keys, every, strict=True)))
+    # copies of a line have the same keys, so any of theirs will do
+    keyed = settle(keyed.groupBy("h").agg(*(F.max(c).alias(c) for c in ("n", *every))), "segments")
+    index = keyed.select(F.explode(F.array(*own)).alias("key"), F.col("h").alias("a"), F.col("n").alias("n_a"))
+    probes = keyed.select(F.explode(F.array_compact(F.array(*every))).alias("key"), F.col("h").alias("b"), "n")
     met = index.join(probes, "key").where((F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("a") < F.col("b"))))
     return met.select("a", "b").distinct()
 
@@ -125,7 +128,9 @@ def _candidates(occ: DataFrame, tau: int) -> DataFrame:
 def similar_lines(occ: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     """(a, b): hashes of different lines within tau edits."""
     pairs = settle(_candidates(occ, tau), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
+    if wanted.limit(FEW_LINES + 1).count() <= FEW_LINES:
+        wanted = F.broadcast(wanted)
     texts = settle(occ.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "lines")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
         texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"
@@ -138,23 +143,25 @@ def line_classes(documents: DataFrame, tau: int = THRESHOLD, min_chars: int = MI
     """One row for each occurrence: doc_id, t, line_no, class_doc_id, class_line_no, n_links, kept."""
     occ = occurrences(documents, min_chars)
     places = settle(occ.select("doc_id", "t", "line_no", "h"), "places")
-    firsts = places.groupBy("h").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"))
+    here = F.struct("doc_id", "t", "line_no")
+    firsts = settle(places.groupBy("h").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
     links = settle(similar_lines(occ, tau), "line-links")
-    roots = settle(components(links, "a", "b"), "line-roots")
+    roots = settle(components(links, "a", "b"), "line-roots").withColumnRenamed("node", "h")
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = firsts.join(roots.withColumnRenamed("node", "h"), "h").join(degree, "h")
+    linked = firsts.join(roots, "h").join(degree, "h")
     of_class = linked.groupBy("root").agg(F.min("first").alias("class"))
     linked = linked.join(of_class, "root").select("h", "class", "n_links")
-    lines = firsts.join(linked, "h", "left").select("h", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    here = F.struct("doc_id", "t", "line_no")
-    return places.join(lines, "h").select(
+    # a line of which there is one, and nothing like it, needs no partner
+    alone = firsts.where("copies > 1").join(linked, "h", "left_anti").select("h", F.col("first").alias("class"), F.lit(0).cast("long").alias("n_links"))
+    met = settle(linked.unionByName(alone), "repeated")
+    return places.join(met, "h", "left").select(
         "doc_id",
         "t",
         F.col("line_no").cast("long").alias("line_no"),
-        F.col("class.doc_id").alias("class_doc_id"),
-        F.col("class.line_no").cast("long").alias("class_line_no"),
-        "n_links",
-        here.eqNullSafe(F.col("class")).alias("kept"),
+        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class.doc_id")).alias("class_doc_id"),
+        F.coalesce("class.line_no", "line_no").cast("long").alias("class_line_no"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (F.col("class").isNull() | here.eqNullSafe(F.col("class"))).alias("kept"),
     )
 
 
