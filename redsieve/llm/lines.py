@@ -4,8 +4,11 @@ Two lines within THRESHOLD edits share, when one is cut into THRESHOLD + 1
 segments, at least one segment at nearly the same place. So every distinct line
 puts its segments into an index keyed by (line length, segment number, segment),
 and probes the indexes of its own and of slightly smaller lengths with the
-substrings that the multi-match-aware bounds leave. Candidates are verified by a
-bit-parallel automaton over the band of 2 * THRESHOLD + 1 diagonals. Linked lines
+substrings that the multi-match-aware bounds leave. Keys at which no two lines meet
+are dropped by counts before anything is paired; two lines at a key are a pair only
+if sketches of their characters are as near as THRESHOLD edits leave them, which no
+similar pair fails. Pairs are verified by a bit-parallel automaton over the band of
+2 * THRESHOLD + 1 diagonals. Linked lines
 form classes; the first occurrence of a class, by (doc_id, line number), stays.
 
 Everything is DataFrame expressions. Copies of a line are one row before the join
@@ -29,8 +32,8 @@ from .util import settle
 
 THRESHOLD = 2
 MIN_CHARS = 24
-#: Up to so many candidate lines (8 bytes each) a copy of their hashes goes to each executor; beyond, texts are joined by a shuffle.
-FEW_LINES = 250_000
+#: Up to so many keys or hashes (8 bytes each) a copy of them goes to each executor; beyond, a shuffle joins them.
+FEW_IDS = 250_000
 
 
 def _segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -112,27 +115,43 @@ def occurrences(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def _candidates(occ: DataFrame, tau: int) -> DataFrame:
-    """(a, b): hashes of different lines with a probe of b among the index keys of a."""
+def _few(ids: DataFrame) -> bool:
+    return ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+
+
+def _met(occ: DataFrame, tau: int) -> DataFrame:
+    """key, h, n, own: the rows of keys under which a line's index meets another line; own tells index keys."""
     keys = [*index_keys(F.col("line"), tau), *probe_keys(F.col("line"), tau)]
-    own, every = [f"k{i}" for i in range(tau + 1)], [f"k{i}" for i in range(len(keys))]
+    every = [f"k{i}" for i in range(len(keys))]
     keyed = occ.select("h", F.length("line").alias("n"), *(k.alias(name) for k, name in zip(keys, every, strict=True)))
     # copies of a line have the same keys, so any of theirs will do
     keyed = settle(keyed.groupBy("h").agg(*(F.max(c).alias(c) for c in ("n", *every))), "segments")
-    index = keyed.select(F.explode(F.array(*own)).alias("key"), F.col("h").alias("a"), F.col("n").alias("n_a"))
-    probes = keyed.select(F.explode(F.array_compact(F.array(*every))).alias("key"), F.col("h").alias("b"), "n")
-    met = index.join(probes, "key").where((F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("a") < F.col("b"))))
-    return met.select("a", "b").distinct()
+    rows = keyed.select("h", "n", F.posexplode(F.array(*every)).alias("i", "key")).where("key is not null").select("key", "h", "n", (F.col("i") <= tau).alias("own"))
+    shared = rows.groupBy("key").agg(F.max("own").alias("own"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("own and lo < hi").select("key")
+    shared = settle(shared, "shared")
+    return settle(rows.join(F.broadcast(shared) if _few(shared) else shared, "key"), "met")
+
+
+def _sketch(chars: Column) -> Column:
+    """64 parities of the numbers of hashed pairs of neighbouring characters. An edit removes and adds at most two pairs, so it changes at most four."""
+    pairs = F.arrays_zip(chars.alias("a"), F.slice(chars, 2, 1 << 30).alias("b"))
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, z: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(z["a"], z["b"]), F.lit(64)))))
 
 
 def similar_lines(occ: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     """(a, b): hashes of different lines within tau edits."""
-    pairs = settle(_candidates(occ, tau), "candidates")
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
-    if wanted.limit(FEW_LINES + 1).count() <= FEW_LINES:
-        wanted = F.broadcast(wanted)
-    texts = settle(occ.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "lines")
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
+    met = _met(occ, tau)
+    wanted = settle(met.select("h").distinct(), "wanted")
+    texts = occ.select("h", "line").join(F.broadcast(wanted) if _few(wanted) else wanted, "h", "left_semi").dropDuplicates(["h"])
+    texts = settle(texts, "texts")
+    sketches = settle(texts.select("h", _sketch(F.split("line", "")).alias("s")), "sketches")
+    rows = met.join(sketches, "h")
+    index = rows.where("own").select("key", F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    probes = rows.select("key", F.col("h").alias("b"), "n", "s")
+    alike = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s"))) <= 4 * tau
+    ordered = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("a") < F.col("b")))
+    pairs = index.join(probes, (index["key"] == probes["key"]) & ordered & alike).select("a", "b").distinct()
+    both = settle(pairs, "pairs").join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
         texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"
     )
     chars = both.select("a", "b", F.split("line_a", "").alias("x"), F.split("line_b", "").alias("y"))
@@ -174,14 +193,14 @@ def dedup_lines(documents: DataFrame, tau: int = THRESHOLD, min_chars: int = MIN
     gone = (
         line_classes(documents, tau, min_chars)
         .where("not kept")
-        .groupBy(F.col("doc_id").alias("d"), "t")
-        .agg(F.collect_set("line_no").alias("gone"))
+        .groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_of"))
+        .agg(F.collect_set("line_no").alias("_gone"))
     )
     docs = documents.withColumn("_t", F.xxhash64("text"))
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_t") == F.col("t")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(gone, cast(i as bigint))), '\\n')")
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_of")), "left")
+    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, cast(i as bigint))), '\\n')")
     return (
-        left.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-        .where("gone is null or trim(text) != ''")
+        left.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+        .where("_gone is null or trim(text) != ''")
         .select(*documents.columns)
     )

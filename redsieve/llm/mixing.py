@@ -122,14 +122,16 @@ def _few(sources: DataFrame, most: int = 100_000) -> bool:
     return sources.limit(most + 1).count() <= most
 
 
-def times(cut_key: str = "cut_key", cut_id: str = "cut_id") -> Column:
+def times(key: str = "key") -> Column:
     """How often a document is taken, given its source's cut."""
-    before = (F.col("key") < F.col(cut_key)) | ((F.col("key") == F.col(cut_key)) & (F.coalesce("doc_id", F.lit(-(1 << 63))) <= F.coalesce(cut_id, F.lit(-(1 << 63)))))
-    return F.col("epochs") + F.when(F.coalesce(before, F.lit(False)), 1).otherwise(0)
+    none = F.lit(-(1 << 63))
+    before = (F.col(key) < F.col("_cut_key")) | ((F.col(key) == F.col("_cut_key")) & (F.coalesce("doc_id", none) <= F.coalesce("_cut_id", none)))
+    return F.col("_epochs") + F.when(F.coalesce(before, F.lit(False)), 1).otherwise(0)
 
 
 def _with_cuts(rows: DataFrame, cut: DataFrame) -> DataFrame:
-    side = cut.withColumnRenamed("source", "_source")
+    """With the columns of cuts, a line before their names."""
+    side = cut.select(*(F.col(c).alias(f"_{c}") for c in cut.columns))
     side = F.broadcast(side) if _few(cut) else side
     return rows.join(side, F.col("source").eqNullSafe(F.col("_source")))
 
@@ -138,12 +140,14 @@ def mix_plan(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken; one row for each row of documents."""
     rows = drawn(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "size", "key")
     rows = settle(rows, "drawn")
-    return _with_cuts(rows, settle(cuts(rows), "cuts")).select("doc_id", "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
+    return _with_cuts(rows, settle(cuts(rows), "cuts")).select(
+        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * times()).alias("taken")
+    )
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """The mixture itself: each document as often as it is taken, its columns as they were."""
     slim = drawn(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "size", "key")
     cut = settle(cuts(settle(slim, "drawn")), "cuts").select("source", "epochs", "cut_key", "cut_id")
-    rows = _with_cuts(documents.withColumn("u", uniform()).withColumn("key", -F.log("u") / quality_weight()), cut)
-    return rows.withColumn("_n", times().cast("int")).where("_n > 0").select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).drop("_k")
+    rows = _with_cuts(documents.withColumn("_key", -F.log(uniform()) / quality_weight()), cut)
+    return rows.withColumn("_n", times("_key").cast("int")).where("_n > 0").select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).drop("_k")

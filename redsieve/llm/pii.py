@@ -190,11 +190,11 @@ def sanitise(documents: DataFrame) -> DataFrame:
     """The documents with what spans() finds generalised or removed; overlapping spans become the first of them."""
     found = (
         spans(documents)
-        .groupBy(F.col("doc_id").alias("_d"), "t")
+        .groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_of"))
         .agg(F.array_sort(F.collect_list(F.struct("start", "k", "end", _label(F.col("kind"), F.col("share")).alias("label")))).alias("_s"))
     )
     docs = documents.withColumn("_t", F.xxhash64("text"))
-    both = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("t")), "left")
+    both = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_of")), "left")
     # keep a span that starts after all before it have ended
     ends = F.transform("_s", lambda x, i: F.array_max(F.transform(F.slice(F.col("_s"), 1, i), lambda y: y["end"])))
     clear = F.filter(F.arrays_zip(F.col("_s").alias("s"), ends.alias("e")), lambda z: z["e"].isNull() | (z["e"] <= z["s"]["start"]))

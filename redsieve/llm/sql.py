@@ -1,5 +1,76 @@
-"""SQL for DuckDB that gives the rows of the queries, where SQL can express them."""
+"""SQL for DuckDB that gives the rows of the queries, where SQL can express them.
+
+Without SQL, and held against brute force in tests: op1_pii (the disclosure of terms),
+op2_bpe, op5_quality, op8_lines (edit distance by code points), op9_ann (approximate)
+and pipeline.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .queries import LISTED, PLANTED_CONVERSATION, PLANTED_TEXT
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_SIZES = f"""
+    d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) as size,
+        (cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as string), '')), 1, 13) as ubigint)::double + 0.5::double) / 4503599627370496.0::double as u,
+        coalesce(0.1::double + 0.9::double * length(translate(text, '#%&*$!|<>{{}}', '')) / nullif(length(text), 0), 0.1::double) as w from documents),
+    s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+    n as (select *, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from s),
+    f as (select *, source_size * 2 as cap, sum(source_size) over () as total,
+        coalesce(sum(source_size * 2) over fill, 0) as capped, sum(w) over () - coalesce(sum(w) over fill, 0) as open from n
+        window fill as (order by source_size * 2 / w::double, source nulls last rows between unbounded preceding and 1 preceding)),
+    l as (select *, (total * 1.5::double - capped) / open as level from f),
+    e as (select min({{'f': cap / w::double, 'level': level}}) as at from l where level * w <= cap),
+    t as (select source, source_size, least(cap::double, coalesce(e.at.level * w, cap::double)) as target from l left join e on true),
+    g as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as epochs from t)"""
+
+_COMPONENTS = """
+    walk(id, root) as (select id, id from nodes union select l.b, w.root from walk w join links l on l.a = w.id where w.root < l.b),
+    least_of as (select id, min(root) as component_id from walk group by id)"""
+
+_RULES = (("org/", "org", "/", "allow"), ("example.org/es/", "example.org", "/es/", "block"), ("example.org/en/1", "example.org", "/en/1", "block"), ("com/fr/", "com", "/fr/", "allow"), ("com/de/", "com", "/de/", "block"))
+_LISTED = ", ".join(f"('{e.split('/', 1)[0]}', '/{e.split('/', 1)[1]}')" for e in LISTED)
+_ESCAPED = r"length(text) + coalesce(list_sum(list_transform(regexp_extract_all(text, '\\|###|</turn>'), lambda m: length(m))), 0)"
+
+ORACLES: dict[str, str] = {
+    "op3_near_vectors": f"""
+    with recursive v as (select vec_id as id, embedding::double[] as x, sqrt(list_sum(list_transform(embedding::double[], lambda y: y * y))) as norm from embeddings),
+    links as (select p.id as a, q.id as b from v p, v q where p.id != q.id and p.norm > 0 and q.norm > 0 and list_inner_product(p.x, q.x) / (p.norm * q.norm) >= 0.95),
+    nodes as (select id from v), {_COMPONENTS}
+    select id as vec_id, (select count(*) from links where a = o.id) as n_links, component_id, id = component_id as kept from least_of o""",
+    "op4_mixing": f"""
+    with {_SIZES},
+    k as (select d.doc_id, d.size, g.source_size, g.target, g.epochs, g.target - g.epochs * g.source_size as rest,
+        sum(d.size) over (partition by d.source order by -ln(d.u) / d.w, d.doc_id) as upto from d join g on d.source is not distinct from g.source)
+    select doc_id, cast(size as bigint) as size, source_size, target,
+        cast(size * (epochs + case when upto - size / 2.0::double <= rest and rest > 0 then 1 else 0 end) as bigint) as taken from k""",
+    "op6_urls": f"""
+    with p as (select page_id, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end as r from pages),
+    q as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from p),
+    rules(rule, h, f, v) as (values {", ".join(map(str, _RULES))}),
+    listed(h, f) as (values {_LISTED}),
+    best as (select page_id, max_by(rule, length(rule)) as rule, max_by(v, length(rule)) as v from q join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, f) group by page_id),
+    hit as (select distinct page_id from (select page_id, regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '^www[.]', '') as c, regexp_replace(path, '/+$', '') || '/' as path from q) join listed
+        on (c = h or ends_with(c, '.' || h)) and starts_with(path, f))
+    select q.page_id, host, path, rule, coalesce(v, case when hit.page_id is not null then 'block' else 'allow' end) as verdict from q left join best using (page_id) left join hit using (page_id)""",
+    "op7_chat": f"""
+    with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select {PLANTED_CONVERSATION}, i, ['user', 'assistant'][i + 1], '{PLANTED_TEXT}' from range(2) r(i))
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+        cast(sum(length('### ' || role || ': ') + {_ESCAPED} + length('</turn>') + 1) as bigint) as formatted_chars,
+        regexp_full_match(string_agg(role, ',' order by turn, role, text), '(system,)?user,assistant(,user,assistant)*') as valid
+    from c group by conv_id""",
+    "op10_minhash": f"""
+    with recursive w as (select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as w from documents),
+    s as (select id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),
+    n as (select id, len(s) as n, s from s),
+    u as (select id, n, unnest(s) as x from n),
+    met as (select p.id as a, q.id as b, any_value(p.n) as n, any_value(q.n) as m, count(*) as i from u p join u q on p.x = q.x and p.id != q.id group by p.id, q.id),
+    links as (select a, b from met where 100 * i >= 75 * (n + m - i)),
+    nodes as (select id from n), {_COMPONENTS}
+    select id as doc_id, cast(n as bigint) as n_shingles, component_id, id = component_id as kept from least_of join n using (id)""",
+}
