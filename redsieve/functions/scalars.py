@@ -22,7 +22,15 @@ _VERHOEFF_P = (
 
 
 def words(values) -> Column:
-    return F.array(*map(F.lit, values)) if len(values) else F.array().cast("array<string>")
+    """A constant array. It is one literal that is split, which the optimiser folds, as a literal for each value is slow to plan."""
+    if not len(values):
+        return F.array().cast("array<string>")
+    out = F.split(F.lit("\x1f".join(map(str, values))), "\x1f")
+    return out.cast("array<int>") if isinstance(values[0], int) else out
+
+
+def among(value: Column, values) -> Column:
+    return F.array_contains(words(values), value)
 
 
 def digits(value: Column | str) -> Column:

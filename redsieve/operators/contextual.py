@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rx
 from ..functions.policy import DEFAULT, Policy
-from ..functions.scalars import contains_any, tokens
+from ..functions.scalars import among, contains_any, tokens
 from . import names as N
 from .resolve import overlaps
 from .structured import SPAN, as_spans, empty_spans
@@ -70,7 +70,7 @@ def _left(text: str, pin: Column, policy: Policy) -> Column:
 
     def ends(m: Column) -> Column:
         word = F.lower(F.regexp_extract(rx.slice_of(window, F.lit(0), m["start"]), r"(?U)(\w+)\W*$", 1))
-        return (F.length(word) > 1) & ~word.isin(*policy.abbreviations) & ~word.rlike(r"^\d+$")
+        return (F.length(word) > 1) & ~among(word, policy.abbreviations) & ~word.rlike(r"^\d+$")
 
     last = F.try_element_at(F.filter(marks, ends), F.lit(-1))
     return from_ + F.coalesce(last["end"], F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import policy as P
 from ..functions import rx
 from ..functions.policy import DEFAULT, Policy
-from ..functions.scalars import stripped, words
+from ..functions.scalars import among, stripped, words
 from . import names as N
 
 
@@ -100,7 +100,7 @@ def surname_families(names: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     parts = F.split("name", r"\s+")
     last = F.element_at(parts, -1)
     blocked = (*policy.non_person, *policy.more_non_person)
-    return names.where((F.size(parts) >= 2) & (F.length(last) >= 4) & ~F.lower(last).isin(*blocked)).select("scope", last.alias("surname")).distinct()
+    return names.where((F.size(parts) >= 2) & (F.length(last) >= 4) & ~among(F.lower(last), blocked)).select("scope", last.alias("surname")).distinct()
 
 
 def _alternation(phrases: DataFrame, column: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rx
 from ..functions.policy import DEFAULT, Policy
-from ..functions.scalars import collapsed, contains_any, stripped, tokens, words
+from ..functions.scalars import among, collapsed, contains_any, stripped, tokens, words
 
 # Patterns of names, organisations and roles.
 NAME_TOKEN = r"(?:[A-Z][a-z'\-]{1,20}|[A-Z]{2,20})"
@@ -68,7 +68,7 @@ def has_person_context(text: Column, policy: Policy = DEFAULT) -> Column:
 
 
 def is_public_body(phrase: Column, policy: Policy = DEFAULT) -> Column:
-    return F.trim(F.lower(phrase)).isin(*policy.public_bodies)
+    return among(F.trim(F.lower(phrase)), policy.public_bodies)
 
 
 def is_legislation(phrase: Column, policy: Policy = DEFAULT) -> Column:
@@ -144,5 +144,5 @@ def keyword_is_near(phrase: Column, context: Column, policy: Policy = DEFAULT) -
 def name_from_email(local: Column, policy: Policy = DEFAULT) -> Column:
     """First.last as a name; null for role mailboxes and single words."""
     parts = F.filter(F.split(F.regexp_replace(local, r"\d+$", ""), r"[._\-]+"), lambda p: p != "")
-    good = (F.size(parts) >= 2) & ~F.exists(parts, lambda p: F.lower(p).isin(*policy.role_mailboxes)) & F.forall(parts, lambda p: p.rlike(r"^\p{L}{2,}$"))
+    good = (F.size(parts) >= 2) & ~F.exists(parts, lambda p: among(F.lower(p), policy.role_mailboxes)) & F.forall(parts, lambda p: p.rlike(r"^\p{L}{2,}$"))
     return F.when(good, F.array_join(F.transform(parts, lambda p: F.initcap(F.lower(p))), " "))

@@ -38,6 +38,18 @@ _CARD = "length(" + _DIGITS.format(t="surface") + ") >= 13 and " + _LUHN.format(
 _ALONE = "not regexp_matches(prev, '[0-9.]') and not regexp_matches(next, '[0-9]') and not regexp_matches(next2, '^[.][0-9]')"
 _DOCS = "select cast(doc_id as bigint) as id, text from documents"
 
+#: Runs of all that a card's pattern or its look-around mentions; in them, the longest match from each start that is free, first come first kept.
+_CARDS = f"""
+    with r as ({_matches(_DOCS, r"[0-9 .\-]{13,}")}),
+    s as (select id, start, surface as run, unnest(range(length(surface))) as i from r),
+    c as (select id, start, run, i, unnest(range(13, 38)) as n from s where regexp_matches(substr(run, i + 1, 1), '[0-9]') and (i = 0 or not regexp_matches(substr(run, i, 1), '[0-9.]'))),
+    f as (select id, start, run, i, max(n) as n from c where i + n <= length(run) and regexp_full_match(substr(run, i + 1, n), '(?:[0-9][ \\-]?){{12,18}}[0-9]')
+        and not regexp_matches(substr(run, i + n + 1, 2), '^[0-9]|^[.][0-9]') group by all),
+    l as (select id, start, run, list({{'i': i, 'n': n}} order by i) as l from f group by all),
+    k as (select id, start, run, unnest(list_reduce(l[2:], lambda acc, x: case when x.i < acc[len(acc)].i + acc[len(acc)].n then acc else list_append(acc, x) end, [l[1]])) as x from l),
+    o as (select id, start + x.i as start, start + x.i + x.n as "end", substr(run, x.i + 1, x.n) as surface from k)
+    select * from o where {_CARD}"""
+
 #: The dihedral group of order ten, and the permutation, from their rules.
 _D = "(case when {a} < 5 and {b} < 5 then ({a} + {b}) % 5 when {a} < 5 then 5 + ({a} + {b}) % 5 when {b} < 5 then 5 + ({a} - {b} + 5) % 5 else ({a} - {b} + 5) % 5 end)"
 _PERMUTED = ["0123456789", "1576283094", "5803796142", "8916043527", "9453126870", "4286573901", "2793806415", "7046913258"]
@@ -173,7 +185,7 @@ ORACLES: dict[str, str] = {
         r"\+\s?[0-9]{1,3}[\s\-]?(?:\([0-9]{1,4}\)[\s\-]?)?[0-9]{2,5}[\s\-]?[0-9]{3,5}[\s\-]?[0-9]{0,5}|0[0-9]{2,4}[\s\-][0-9]{6,8}",
         f"{_ALONE} and length({_DIGITS.format(t='surface')}) between 8 and 15",
     ),
-    "card_spans": _matches(_DOCS, r"(?:[0-9][ \-]?){12,18}[0-9]", f"{_ALONE} and {_CARD}"),
+    "card_spans": _CARDS,
     "website_spans": _matches("select cast(page_id as bigint) as id, html as text from pages", r"(?i)(?:https?://|www\.)[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+", r"not regexp_matches(prev, '[\p{L}\p{N}_]')"),
     "email_counts_by_lang": f"select lang, cast(sum(coalesce(n, 0)) as bigint) as n_emails, count(*) as n_docs from documents d left join (select id, count(*) as n from ({_EMAIL}) group by id) e on d.doc_id = e.id group by lang",
     "ssn_spans": _fixed("ssn", 8, "11", "substr(text, 9, 3) not in ('000', '666') and substr(text, 9, 1) != '9' and substr(text, 13, 2) != '00' and substr(text, 16, 4) != '0000'"),
