@@ -29,6 +29,11 @@ def words(values) -> Column:
     return out.cast("array<int>") if isinstance(values[0], int) else out
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def among(value: Column, values) -> Column:
     return F.array_contains(words(values), value)
 

@@ -75,14 +75,21 @@ def person_names(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     return sure.unionByName(guarded.select("scope", "name")).distinct()
 
 
+def by_legal_form(text: Column, policy: Policy = DEFAULT) -> Column:
+    """Organisations by their legal form, and what they are called without it if that is two words or more."""
+    phrases = F.transform(F.regexp_extract_all(text, F.lit(N.org_pattern(policy)), F.lit(1)), lambda raw: N.org_phrase(raw, policy))
+    full = F.filter(phrases, lambda p: (p != "") & N.is_company(p, policy))
+
+    def both(p: Column) -> Column:
+        short = F.filter(F.array(N.strip_suffix(p, policy)), lambda s: (F.size(F.split(s, r"\s+")) >= 2) & ~N.is_public_body(s, policy))
+        return F.concat(F.array(p), short)
+
+    return F.flatten(F.transform(full, both))
+
+
 def org_names(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """scope, name: organisations by their legal form, and what they are called without it."""
-    found = F.regexp_extract_all("text", F.lit(N.org_pattern(policy)), F.lit(1))
-    phrases = _block(blocks).select("scope", F.explode(found).alias("raw")).select("scope", N.org_phrase(F.col("raw"), policy).alias("name")).where("name != ''")
-    full = phrases.where(N.is_company(F.col("name"), policy)).distinct()
-    alias = N.strip_suffix(F.col("name"), policy)
-    short = full.select("scope", alias.alias("name")).where((F.size(F.split("name", r"\s+")) >= 2) & ~N.is_public_body(F.col("name"), policy))
-    return full.unionByName(short).distinct()
+    return _block(blocks).select("scope", F.explode(by_legal_form(F.col("text"), policy)).alias("name")).distinct()
 
 
 def person_variants(names: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rx
 from ..functions.policy import DEFAULT, Policy
-from ..functions.scalars import among, collapsed, contains_any, stripped, tokens, words
+from ..functions.scalars import among, collapsed, contains_any, let, stripped, tokens, words
 
 # Patterns of names, organisations and roles.
 NAME_TOKEN = r"(?:[A-Z][a-z'\-]{1,20}|[A-Z]{2,20})"
@@ -42,7 +42,6 @@ def blocked_tokens(policy: Policy = DEFAULT) -> tuple[str, ...]:
 
 def is_name_like(phrase: Column, policy: Policy = DEFAULT) -> Column:
     """Two to four tokens, of which none is jargon and not all are initials."""
-    parts = F.filter(F.split(phrase, r"(?U)[\s\-]+"), lambda t: t != "")
     blocked = words(blocked_tokens(policy))
 
     def sound(t: Column) -> Column:
@@ -50,17 +49,21 @@ def is_name_like(phrase: Column, policy: Policy = DEFAULT) -> Column:
         letters = (F.length(bare) >= 2) & F.replace(bare, F.lit("'"), F.lit("")).rlike(r"^\p{L}+$")
         return t.rlike(INITIAL) | (letters & ~F.array_contains(blocked, bare) & ~F.array_contains(blocked, F.regexp_replace(bare, "s$", "")))
 
-    return F.size(parts).between(2, 4) & F.forall(parts, sound) & F.exists(parts, lambda t: ~t.rlike(INITIAL))
+    parts = F.filter(F.split(phrase, r"(?U)[\s\-]+"), lambda t: t != "")
+    return let(parts, lambda p: F.size(p).between(2, 4) & F.forall(p, sound) & F.exists(p, lambda t: ~t.rlike(INITIAL)))
 
 
 def longest_name(phrase: Column, policy: Policy = DEFAULT) -> Column:
     """The longest run of two to four tokens that is name-like, the leftmost of equals; null if none is."""
-    parts = tokens(phrase)
-    widths = F.filter(F.array(F.lit(4), F.lit(3), F.lit(2)), lambda w: w <= F.size(parts))
-    runs = F.flatten(
-        F.transform(widths, lambda w: F.transform(F.sequence(F.lit(1), F.size(parts) - w + 1), lambda s: F.array_join(F.slice(parts, s, w), " ")))
-    )
-    return F.get(F.filter(runs, lambda r: is_name_like(r, policy)), F.lit(0))
+
+    def best(parts: Column) -> Column:
+        widths = F.filter(F.array(F.lit(4), F.lit(3), F.lit(2)), lambda w: w <= F.size(parts))
+        runs = F.flatten(
+            F.transform(widths, lambda w: F.transform(F.sequence(F.lit(1), F.size(parts) - w + 1), lambda s: F.array_join(F.slice(parts, s, w), " ")))
+        )
+        return F.get(F.filter(runs, lambda r: is_name_like(r, policy)), F.lit(0))
+
+    return let(tokens(phrase), best)
 
 
 def has_person_context(text: Column, policy: Policy = DEFAULT) -> Column:
@@ -90,20 +93,23 @@ def trim_org_noise(phrase: Column, policy: Policy = DEFAULT) -> Column:
 
 def is_org_like(phrase: Column, policy: Policy = DEFAULT) -> Column:
     """Is what stands before the legal suffix more than jargon?"""
+    # the leftmost of the suffixes that end the phrase is the longest
+    suffix = F.regexp_extract(F.lower(phrase), f"(?:{rx.any_of(policy.strong_suffixes)})$", 0)
+    size = F.greatest(F.size(F.split(suffix, " ")), F.lit(1))
     parts = F.filter(F.transform(tokens(phrase), lambda t: F.lower(stripped(t, ",.&-"))), lambda t: t != "")
-    size = F.lit(1)
-    for suffix in sorted(policy.strong_suffixes, key=len):
-        size = F.when(F.endswith(F.lower(phrase), F.lit(suffix)), len(suffix.split())).otherwise(size)
-    head = F.when(size < F.size(parts), F.slice(parts, 1, F.greatest(F.size(parts) - size, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    jargon = words((*policy.org_stopwords, *policy.function_words))
-    last = F.get(head, F.size(head) - 1)
-    return (
-        (F.size(parts) >= 2)
-        & (F.size(head) > 0)
-        & ~F.coalesce(F.array_contains(jargon, last), F.lit(False))
-        & ~((F.size(head) == 1) & F.coalesce(F.array_contains(words(policy.generic_heads), last), F.lit(False)))
-        & F.exists(head, lambda t: ~F.array_contains(jargon, t))
-    )
+    jargon, generic = words((*policy.org_stopwords, *policy.function_words)), words(policy.generic_heads)
+
+    def telling(head: Column) -> Column:
+        last = F.get(head, F.size(head) - 1)
+        return (
+            (F.size(head) > 0)
+            & ~F.coalesce(F.array_contains(jargon, last), F.lit(False))
+            & ~((F.size(head) == 1) & F.coalesce(F.array_contains(generic, last), F.lit(False)))
+            & F.exists(head, lambda t: ~F.array_contains(jargon, t))
+        )
+
+    # a phrase of one token, or of no more than the suffix, has no head
+    return let(parts, lambda p: let(F.slice(p, 1, F.greatest(F.size(p) - size, F.lit(0))), telling))
 
 
 def org_phrase(raw: Column, policy: Policy = DEFAULT) -> Column:
@@ -116,10 +122,8 @@ def is_company(phrase: Column, policy: Policy = DEFAULT) -> Column:
 
 def strip_suffix(phrase: Column, policy: Policy = DEFAULT) -> Column:
     """Without its longest suffix; null if it has none."""
-    out = F.lit(None).cast("string")
-    for suffix in sorted(policy.org_suffixes, key=len):
-        out = F.when(F.endswith(F.lower(phrase), F.lit(" " + suffix)), stripped(F.substring(phrase, F.lit(1), F.length(phrase) - len(suffix) - 1), " ,.&-")).otherwise(out)
-    return out
+    end = f"(?i) (?:{rx.any_of(policy.org_suffixes)})$"
+    return F.when(phrase.rlike(end), stripped(F.regexp_replace(phrase, end, ""), " ,.&-"))
 
 
 def looks_like_org(tail: Column, policy: Policy = DEFAULT) -> Column:
@@ -128,17 +132,14 @@ def looks_like_org(tail: Column, policy: Policy = DEFAULT) -> Column:
 
 def keyword_is_near(phrase: Column, context: Column, policy: Policy = DEFAULT) -> Column:
     """Some role keyword begins within PROXIMITY of the phrase's first place in the context; true where it has none."""
-    lowered = F.lower(context)
-    at = F.locate("\0", F.replace(lowered, F.lower(phrase), F.lit("\0"))) - 1
-    near = F.lower(rx.slice_of(lowered, F.greatest(at - PROXIMITY, F.lit(0)), at + PROXIMITY))
-    # a keyword may begin at the window's end and go on behind it
     reach = max(map(len, policy.keywords))
-    late = rx.slice_of(lowered, at + PROXIMITY - reach + 1, at + PROXIMITY + reach)
-    edge = [F.substring(late, 1, reach - 1 + len(k)).rlike(rx.literal(k)) for k in policy.keywords]
-    out = contains_any(near, policy.keywords)
-    for e in edge:
-        out = out | e
-    return (at < 0) | out
+
+    def near(at: Column) -> Column:
+        start = F.greatest(at - PROXIMITY, F.lit(0))
+        first = F.regexp_instr(rx.slice_of(F.lower(context), start, at + PROXIMITY + reach), F.lit(rx.any_of(policy.keywords)))
+        return (at < 0) | ((first > 0) & (first - 1 + start <= at + PROXIMITY))
+
+    return let(F.call_function("locate", F.lower(phrase), F.lower(context)) - 1, near)
 
 
 def name_from_email(local: Column, policy: Policy = DEFAULT) -> Column:
