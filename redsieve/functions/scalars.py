@@ -103,7 +103,5 @@ def tokens(value: Column | str) -> Column:
 
 
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
-    """Is any needle a substring of text?"""
-    from .rx import any_of
-
-    return F.coalesce(text.rlike(any_of(needles)), F.lit(False))
+    """Is any needle a substring of text? A search for each is several times as fast as an alternation of them."""
+    return F.coalesce(let(text, lambda t: F.exists(words(needles), lambda k: F.contains(t, k))), F.lit(False))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import policy as P
 from ..functions import rx
 from ..functions.policy import DEFAULT, Policy
-from ..functions.scalars import among, stripped, words
+from ..functions.scalars import among, contains_any, stripped, words
 from . import names as N
 
 
@@ -40,7 +40,8 @@ def by_email(text: Column, policy: Policy = DEFAULT) -> Column:
 
 def by_name_then_role(text: Column, policy: Policy = DEFAULT) -> Column:
     found = F.regexp_extract_all(text, F.lit(N.name_role_pattern(policy)), F.lit(1))
-    return F.filter(F.transform(found, lambda p: N.longest_name(p, policy)), lambda n: n.isNotNull())
+    named = F.filter(F.transform(found, lambda p: N.longest_name(p, policy)), lambda n: n.isNotNull())
+    return F.when(N.has_person_context(text, policy), named).otherwise(F.array().cast("array<string>"))
 
 
 def by_label_list(text: Column, policy: Policy = DEFAULT) -> Column:
@@ -84,7 +85,8 @@ def by_legal_form(text: Column, policy: Policy = DEFAULT) -> Column:
         short = F.filter(F.array(N.strip_suffix(p, policy)), lambda s: (F.size(F.split(s, r"\s+")) >= 2) & ~N.is_public_body(s, policy))
         return F.concat(F.array(p), short)
 
-    return F.flatten(F.transform(full, both))
+    named = F.flatten(F.transform(full, both))
+    return F.when(contains_any(F.lower(text), policy.strong_suffixes), named).otherwise(F.array().cast("array<string>"))
 
 
 def org_names(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:

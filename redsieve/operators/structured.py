@@ -112,4 +112,7 @@ def recognise(text: str, spec: RegexSpec) -> Column:
     if spec.validate:
         found = F.filter(found, lambda m: spec.validate(m["text"]))
     spans = as_spans(found, spec.pii_type, spec.score, spec.source)
-    return F.when(rx.has(text, spec.hint), spans).otherwise(empty_spans()) if spec.hint else spans
+    worth = F.lit(True) if spec.hint is None else rx.has(text, spec.hint)
+    if spec.gate:
+        worth = worth & contains_any(F.lower(F.col(text)), spec.gate)
+    return F.when(worth, spans).otherwise(empty_spans())
