@@ -47,8 +47,8 @@ WORD_CACHE = 300_000
 KNOWN_PAIRS = 300_000
 NEVER = 1 << 60
 
-#: Fixed values. The vocabulary's library knows Unicode 16: letters and digits assigned later are marks to it,
-#: and these capitals, which Unicode 16 brought, have a lower case.
+#: Fixed values. The vocabulary's library tells letters and digits by Unicode 16, later ones are marks to it; and
+#: it lower-cases by Unicode 17, which has these capitals besides Python's.
 _LATER = (
     "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
     "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
@@ -59,7 +59,8 @@ _LATER = (
     "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
     "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
-_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: By character, so a final sigma is lower-cased as any other.
 _LOWER = {0x3A3: 0x3C3} | _CAPITALS
 

@@ -173,7 +173,8 @@ def line_classes(documents: DataFrame, tau: int = THRESHOLD, min_chars: int = MI
     # a line of which there is one, and nothing like it, needs no partner
     alone = firsts.where("copies > 1").join(linked, "h", "left_anti").select("h", F.col("first").alias("class"), F.lit(0).cast("long").alias("n_links"))
     met = settle(linked.unionByName(alone), "repeated")
-    return places.join(met, "h", "left").select(
+    # few are sent to the places; many meet them by a shuffle, of which AQE splits the partition of a hot line
+    return places.join(F.broadcast(met) if _few(met) else met, "h", "left").select(
         "doc_id",
         "t",
         F.col("line_no").cast("long").alias("line_no"),

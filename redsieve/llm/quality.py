@@ -27,8 +27,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled texts of each label that are used, and of how many characters at most each is in training.
+from .util import settle
+
+#: Labelled texts of each label that are learnt from, and of how many bytes at most each is there.
 SAMPLE = 1500
+LONGEST = 1 << 16
 DICTIONARY = 112_640
 LEVEL = 3
 #: Every so many-th text is kept from the dictionaries, for the curve.
@@ -85,21 +88,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(beta[0]), float(beta[1])
 
 
-def fit(labelled: DataFrame) -> Model:
-    """From rows (doc_id, text, quality), of which at most SAMPLE of each label are fetched."""
+def _order() -> Column:
+    return F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string")))
+
+
+def fit(labelled: DataFrame, shares: dict[int, int] | None = None) -> Model:
+    """From rows (doc_id, text, quality), of which at most SAMPLE of each label are fetched; shares, if known, are the numbers of labels."""
     rows = labelled.where("text is not null and text != '' and quality in (0, 1)")
-    shares = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if shares is None:
+        shares = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
     plain = Model(b"", b"", 0.0, math.log((prior + 1e-6) / (1 - prior + 1e-6)))
-    if len(shares) < 2:
+    texts = {k: [r["text"].encode("utf-8", "surrogatepass")[:LONGEST] for r in rows.where(F.col("quality") == k).orderBy(_order(), "doc_id", F.xxhash64("text")).limit(SAMPLE).toLocalIterator()] for k in (0, 1)}
+    if not all(texts.values()):
         return plain
-    texts: dict[int, list[bytes]] = {}
-    order = F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string")))
-    for label in (0, 1):
-        # the ids first, so that no long text is sorted
-        ids = rows.where(F.col("quality") == label).select("doc_id").orderBy(order, "doc_id").limit(SAMPLE)
-        found = rows.where(F.col("quality") == label).join(F.broadcast(ids.distinct()), "doc_id", "left_semi").orderBy(order, "doc_id")
-        texts[label] = [r["text"].encode("utf-8", "surrogatepass")[:65536] for r in found.select("text", "doc_id").limit(SAMPLE).toLocalIterator()]
     train = {k: [t for i, t in enumerate(v) if i % CALIBRATE] for k, v in texts.items()}
     try:
         good, bad = (zstandard.train_dictionary(DICTIONARY, train[k]).as_bytes() for k in (1, 0))
@@ -113,7 +115,7 @@ def fit(labelled: DataFrame) -> Model:
         for t in rest:
             x.append(scorer.difference(t.decode("utf-8", "replace")))
             y.append(label)
-            w.append(shares[label] / len(rest))
+            w.append(shares.get(label, 0) / len(rest))
     scale = len(x) / sum(w)
     slope, intercept = _logistic(np.array(x), np.array(y, float), np.array(w) * scale)
     return Model(good, bad, slope, intercept) if slope > 0 else plain
@@ -132,7 +134,14 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labels that may be learnt from."""
-    known = labels.where(~held_out()).select(F.col("doc_id").alias("_l"), "quality").where("quality is not null")
-    docs = documents.where(~held_out()).select("doc_id", "text")
-    return fit(docs.join(known, F.col("doc_id") == F.col("_l")).select("doc_id", "text", "quality"))
+    """A model from the labels that may be learnt from.
+
+    Labels are chosen before documents are looked at, twice SAMPLE of each kind as some may lack a text; so the corpus is
+    read once, and only what is chosen leaves it.
+    """
+    known = labels.where(~held_out()).where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = [known.where(F.col("quality") == k).distinct().orderBy(_order()).limit(2 * SAMPLE) for k in (0, 1)]
+    chosen = chosen[0].unionAll(chosen[1]).select(F.col("doc_id").alias("_l"), "quality")
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_l")).select("doc_id", "text", "quality")
+    return fit(settle(found, "labelled"), shares)
