@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import policy as P
 from ..functions import rx
 from ..functions.policy import DEFAULT, Policy
-from ..functions.scalars import among, contains_any, stripped, words
+from ..functions.scalars import among, contains_any, let, stripped, words
 from . import names as N
 
 
@@ -65,14 +65,18 @@ def by_short_block(text: Column, context: Column, policy: Policy = DEFAULT) -> C
     return F.when((F.length(text) <= N.MAX_CONTEXT_BLOCK) & N.has_person_context(context, policy), found).otherwise(F.array().cast("array<string>"))
 
 
+def people_in(text: Column, context: Column, policy: Policy = DEFAULT) -> tuple[Column, Column]:
+    """Names by title or mailbox, and those by role, which header labels may still rule out."""
+    sure = F.concat(by_honorific(text, policy), by_email(text, policy))
+    return sure, F.concat(by_name_then_role(text, policy), by_label_list(text, policy), by_short_block(text, context, policy))
+
+
 def person_names(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """scope, name: people by title, mailbox, role, list of roles, or a role near by."""
     rows = _block(blocks).where(~F.col("is_header") | N.has_person_context(F.col("text"), policy))
-    text, context = F.col("text"), F.col("context")
-    sure = rows.select("scope", F.explode(F.concat(by_honorific(text, policy), by_email(text, policy))).alias("name"))
-    by_role = rows.select("scope", F.explode(F.concat(by_name_then_role(text, policy), by_label_list(text, policy), by_short_block(text, context, policy))).alias("name")).distinct()
+    sure, by_role = (rows.select("scope", F.explode(x).alias("name")) for x in people_in(F.col("text"), F.col("context"), policy))
     headers = header_texts(blocks, policy).groupBy("scope").agg(F.collect_set("header").alias("headers"))
-    guarded = by_role.join(headers, "scope", "left").where(~F.coalesce(F.exists("headers", lambda h: F.contains(h, F.lower(F.col("name")))), F.lit(False)))
+    guarded = by_role.distinct().join(headers, "scope", "left").where(~F.coalesce(F.exists("headers", lambda h: F.contains(h, F.lower(F.col("name")))), F.lit(False)))
     return sure.unionByName(guarded.select("scope", "name")).distinct()
 
 
@@ -94,40 +98,70 @@ def org_names(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     return _block(blocks).select("scope", F.explode(by_legal_form(F.col("text"), policy)).alias("name")).distinct()
 
 
-def person_variants(names: DataFrame) -> DataFrame:
-    """scope, name: names, first and last alone, and titles with the last."""
-    parts = F.split("name", r"\s+")
+def variants_of(name: Column) -> Column:
+    """A name, its first and last word alone, and titles with its last."""
+    parts = F.split(name, r"\s+")
     first, last, n = F.get(parts, F.lit(0)), F.element_at(parts, -1), F.size(parts)
     none = F.array().cast("array<string>")
     short = F.when(n >= 3, F.array(F.concat_ws(" ", first, last))).otherwise(none)
     titled = F.when(n >= 2, F.transform(words(P.VARIANT_HONORIFICS), lambda h: F.concat_ws(" ", h, last))).otherwise(none)
-    return names.select("scope", F.explode(F.array_union(F.array("name"), F.concat(short, titled))).alias("name")).distinct()
+    return F.array_union(F.array(name), F.concat(short, titled))
 
 
-def surname_families(names: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """scope, surname: last names long enough to tell a relative by."""
-    parts = F.split("name", r"\s+")
+def surname_of(name: Column, policy: Policy = DEFAULT) -> Column:
+    """A name's last word if it is long enough to tell a relative by, else null."""
+    parts = F.split(name, r"\s+")
     last = F.element_at(parts, -1)
     blocked = (*policy.non_person, *policy.more_non_person)
-    return names.where((F.size(parts) >= 2) & (F.length(last) >= 4) & ~among(F.lower(last), blocked)).select("scope", last.alias("surname")).distinct()
+    return F.when((F.size(parts) >= 2) & (F.length(last) >= 4) & ~among(F.lower(last), blocked), last)
+
+
+def person_variants(names: DataFrame) -> DataFrame:
+    """scope, name: names as they may also be written."""
+    return names.select("scope", F.explode(variants_of(F.col("name"))).alias("name")).distinct()
+
+
+def surname_families(names: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """scope, surname: last names long enough to tell a relative by."""
+    return names.select("scope", surname_of(F.col("name"), policy).alias("surname")).where("surname is not null").distinct()
+
+
+def alternation(phrases: Column) -> Column:
+    """A pattern for any of an array of phrases: longest first, ties by text; white space in a phrase matches any."""
+    ranked = F.array_sort(
+        F.transform(F.array_distinct(phrases), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"), F.array_join(F.transform(F.split(p, r"(?U)\s+"), rx.escape), r"\s+").alias("e")))
+    )
+    return F.array_join(F.transform(ranked, lambda x: x["e"]), "|")
+
+
+def _whole(phrases: Column) -> Column:
+    return F.when(F.size(phrases) > 0, F.concat(F.lit(r"(?iU)\b(?:"), alternation(phrases), F.lit(r")\b")))
 
 
-def _alternation(phrases: DataFrame, column: str) -> Column:
-    """Longest first, ties by text; white space in a phrase matches any."""
-    escaped = F.array_join(F.transform(F.split(column, r"(?U)\s+"), rx.escape), r"\s+")
-    each = F.array_sort(F.collect_set(F.struct((-F.length(column)).alias("n"), F.col(column).alias("p"), escaped.alias("e"))))
-    return F.array_join(F.transform(each, lambda x: x["e"]), "|")
+def _families(surnames: Column) -> Column:
+    before = r"(?U)\b(?:(?:[A-Z][A-Za-z'\-]{1,20}|[A-Z])\.?\s+){1,3}(?i:"
+    return F.when(F.size(surnames) > 0, F.concat(F.lit(before), alternation(surnames), F.lit(r")\b")))
+
+
+def row_patterns(text: Column, context: Column, is_header: Column, policy: Policy = DEFAULT) -> tuple[Column, Column]:
+    """For rows that are scopes of their own: struct(person_re, surname_re), and org_re. No shuffle is needed."""
+    sure, by_role = people_in(text, context, policy)
+    mined = ~is_header | N.has_person_context(text, policy)
+    names = F.when(mined, F.array_distinct(F.concat(sure, by_role))).otherwise(F.array().cast("array<string>"))
+
+    def both(n: Column) -> Column:
+        surnames = F.filter(F.transform(n, lambda x: surname_of(x, policy)), lambda x: x.isNotNull())
+        return F.struct(_whole(F.flatten(F.transform(n, variants_of))).alias("person_re"), _families(surnames).alias("surname_re"))
+
+    return let(names, both), let(by_legal_form(text, policy), _whole)
 
 
 def patterns(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """scope, person_re, surname_re, org_re: what each scope has made known, as patterns; null where there is nothing."""
     people, orgs = person_names(blocks, policy), org_names(blocks, policy)
-    whole = lambda a: F.concat(F.lit(r"(?iU)\b(?:"), a, F.lit(r")\b"))
-    person = person_variants(people).groupBy("scope").agg(whole(_alternation(people, "name")).alias("person_re"))
-    family = surname_families(people, policy).groupBy("scope").agg(
-        F.concat(F.lit(r"(?U)\b(?:(?:[A-Z][A-Za-z'\-]{1,20}|[A-Z])\.?\s+){1,3}(?i:"), _alternation(people, "surname"), F.lit(r")\b")).alias("surname_re")
-    )
-    org = orgs.groupBy("scope").agg(whole(_alternation(orgs, "name")).alias("org_re"))
+    person = person_variants(people).groupBy("scope").agg(F.collect_set("name").alias("x")).select("scope", _whole(F.col("x")).alias("person_re"))
+    family = surname_families(people, policy).groupBy("scope").agg(F.collect_set("surname").alias("x")).select("scope", _families(F.col("x")).alias("surname_re"))
+    org = orgs.groupBy("scope").agg(F.collect_set("name").alias("x")).select("scope", _whole(F.col("x")).alias("org_re"))
     return person.join(family, "scope", "full").join(org, "scope", "full")
 
 

@@ -1,7 +1,7 @@
 """The public operators: detect, redact, count, map.
 
-Names are harvested within a scope first, which is the only shuffle; then every row
-is worked on alone, by expressions.
+Names are harvested within a scope first, which is the only shuffle, and none where each
+row is a scope; then every row is worked on alone, by expressions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from ..functions import rx
 from ..functions.surrogates import BUILDERS, surrogate
 from ..plans.config import RedactionConfig
 from . import contextual, ner
-from .harvest import patterns
+from .harvest import patterns, row_patterns
 from .resolve import of_types, resolve
 from .structured import SPECS, RegexSpec, empty_spans, recognise
 
@@ -41,8 +41,8 @@ def detect(
 ) -> DataFrame:
     """df with `spans`, the spans found in each text, without overlaps and by start.
 
-    scope names the column whose rows share names; without it each text is a scope of its own. `known` takes the place of
-    harvesting: rows (scope, person_re, surname_re, org_re). Columns context and is_header are used if df has them. Null text has
+    scope names the column whose rows share names. Without it each row is a scope of its own, which needs no shuffle. `known`
+    takes the place of harvesting: rows (scope, person_re, surname_re, org_re), scope '' for all rows if no column is named. Columns context and is_header are used if df has them. Null text has
     no spans.
     """
     policy = config.policy
@@ -50,12 +50,18 @@ def detect(
     parts = [raw]
     work = df
     if config.types is None or NAMED & set(config.types):
-        key = F.col(scope).cast("string") if scope else F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-        work = df.withColumn("_scope", F.coalesce(key, F.lit("")))
-        if known is None:
-            extra = [c for c in ("context", "is_header") if c in df.columns]
-            known = patterns(work.select(F.col("_scope").alias("scope"), F.col(text).alias("text"), *extra), policy)
-        work = work.join(known.withColumnRenamed("scope", "_scope"), "_scope", "left")
+        context = F.when(F.coalesce(F.col("context"), F.lit("")) != "", F.col("context")).otherwise(F.col(text)) if "context" in df.columns else F.col(text)
+        header = F.coalesce(F.col("is_header"), F.lit(False)) if "is_header" in df.columns else F.lit(False)
+        if scope is None and known is None:
+            people, orgs = row_patterns(F.col(text), context, header, policy)
+            work = df.withColumns({"_people": people, "org_re": orgs})
+            work = work.withColumns({c: F.col("_people")[c] for c in ("person_re", "surname_re")})
+        else:
+            key = F.col(scope).cast("string") if scope else F.lit("")
+            work = df.withColumn("_scope", F.coalesce(key, F.lit("")))
+            if known is None:
+                known = patterns(work.select(F.col("_scope").alias("scope"), F.col(text).alias("text"), context.alias("context"), header.alias("is_header")), policy)
+            work = work.join(known.withColumnRenamed("scope", "_scope"), "_scope", "left")
         if _enabled(config, "PERSON"):
             parts += [contextual.known(text, "person_re", "PERSON", "PersonRecognizer"), contextual.by_surname(text, "surname_re", policy)]
         if _enabled(config, "ORGANISATION"):

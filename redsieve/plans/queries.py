@@ -244,7 +244,7 @@ def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every recogniser over every document, each a scope of its own."""
-    found = R.detect(_read(spark, sf_dir, "documents").select("doc_id", "text"), scope="doc_id")
+    found = R.detect(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return R.exploded(found, "doc_id").select("doc_id", "start", "end", "pii_type", F.col("text").alias("surface"), "score", "source")
 
 

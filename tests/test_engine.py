@@ -98,6 +98,18 @@ def test_no_python_and_no_product_in_the_plan(spark):
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_rows_of_their_own_need_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "x")], "doc long, text string")
+    plan = R.redact(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_scope_and_rows_agree(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)], "doc long, text string")
+    one, two = ({r.doc: r.spans for r in R.detect(df, scope=s).collect()} for s in (None, "doc"))
+    assert one == two
+
+
 def test_disabled_types_leave_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc long, text string")
     plan = R.detect(df, config=RedactionConfig(types=("EMAIL",)))._jdf.queryExecution().executedPlan().toString()
