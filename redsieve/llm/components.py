@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from .util import settle, tally
 
 
+#: From so many edges on, minima are written before they are joined: then both sides of the join come from a shuffle of its
+#: own, and AQE can split the partition of a node with very many edges.
+MANY_EDGES = 2_000_000
+
+
+def _joined(edges: DataFrame, least: DataFrame, many: bool) -> DataFrame:
+    return edges.join(settle(least, "least") if many else least, "u")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node that has an edge to another; root is the smallest node reachable.
 
@@ -24,13 +33,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     before = tally(now, "u", "v")
     while before[0]:
+        many = before[0] >= MANY_EDGES
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+            _joined(both.where("v > u"), least, many).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        small = _joined(large, least, many).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         after = settle(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         seen = tally(after, "u", "v")
         now = after

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -272,7 +273,9 @@ def test_minhash_exact(spark, texts):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), roots[r.doc_id])
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("many", [1, 10**9])
+def test_components_of_a_chain(spark, monkeypatch, many):
+    monkeypatch.setattr(sys.modules["redsieve.llm.components"], "MANY_EDGES", many)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     out = {r.node: r.root for r in components(edges, "a", "b").collect()}
     assert out == {i: 0 for i in range(61)} | {100: 100, 101: 100}
