@@ -3,9 +3,11 @@
 Every document draws an exponential key whose rate is its quality weight, so the
 documents of a source in the order of their keys are a weighted sample without
 replacement. A source's target is met by complete epochs over all its documents,
-then by the first documents in that order whose sizes, summed as prefixes, reach
-the rest. The order has a cut: a document is in when its (key, doc_id) is at most
-the cut of its source, so no text is ever sorted or moved.
+then by the first documents in that order whose sizes, summed as prefixes, stay within
+the rest. What the next document is too large for is filled, in PASSES in all, by
+documents further on that fit. Each pass ends at a cut in the order, so whether a
+document is in follows from its own (key, doc_id) and size and the few cuts of its
+source, and no text is ever sorted or moved.
 
 The prefix sums are taken in two levels. Keys fall into SLICES equal parts of
 their distribution; sums by slice find the slice that holds the cut, and only
@@ -32,6 +34,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_EPOCHS = 2
 SLICES = 4096
+#: How often what is left of a target is filled from the documents that fit.
+PASSES = 3
 SEED = "mix"
 
 
@@ -79,42 +83,57 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     )
 
 
-def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MAX_EPOCHS) -> DataFrame:
-    """From rows (doc_id, source, size, key): source, source_size, target, epochs, cut_key, cut_id.
+def _after(key: str, last: str, identity: str) -> Column:
+    """Does a row come after (last, identity) in its source's order?"""
+    none = F.lit(-(1 << 63))
+    return (F.col(key) > F.col(last)) | ((F.col(key) == F.col(last)) & (F.coalesce("doc_id", none) > F.coalesce(identity, none)))
 
-    A document is taken `epochs` times, and once more when (key, doc_id) is at
-    most the cut. The document that crosses the target is in when that comes
-    nearer to it.
-    """
+
+def _cut(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """of, cut_key, cut_id, got: for each source in goal (of, rest) the last row, in order of (key, doc_id), up to which sizes sum to rest at most."""
     part = F.least(F.floor((F.lit(1) - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1)).cast("int")
-    parts = settle(rows.groupBy("source", part.alias("part")).agg(F.sum("size").alias("s")), "parts")
-    sizes = parts.groupBy("source").agg(F.sum("s").alias("source_size"))
-    goal = targets(sizes, weights, budget, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    goal = goal.withColumn("epochs", whole.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    goal = settle(goal, "targets")
+    parts = rows.groupBy("source", part.alias("part")).agg(F.sum("size").alias("s"), F.max(F.struct("key", "doc_id")).alias("last"))
     up_to = Window.partitionBy("source").orderBy("part")
-    summed = parts.withColumn("past", F.sum("s").over(up_to) - F.col("s"))
-    at = (
-        summed.join(goal.select(F.col("source").alias("of"), "rest"), F.col("source").eqNullSafe(F.col("of")))
-        .where("past <= rest and rest < past + s")
-        .groupBy("source")
-        .agg(F.min(F.struct("part", "past")).alias("at"), F.first("rest").alias("rest"))
-        .select(F.col("source").alias("of"), F.col("at.part").alias("at_part"), F.col("at.past").alias("past"), "rest")
-    )
+    summed = settle(parts.withColumn("past", F.sum("s").over(up_to) - F.col("s")), "parts")
+    both = summed.join(goal, F.col("source").eqNullSafe(F.col("of"))).where("past <= rest")
+    # whole slices, and the one in which the sum is reached
+    before = both.where("past + s <= rest").groupBy("of").agg(F.max("last").alias("cut"), F.max(F.col("past") + F.col("s")).alias("got"))
+    at = settle(both.where("past + s > rest").groupBy("of").agg(F.min(F.struct("part", "past")).alias("at"), F.first("rest").alias("rest")).select("of", F.col("at.part").alias("at_part"), F.col("at.past").alias("past"), "rest"), "at")
     near = rows.join(F.broadcast(at) if _few(at) else at, F.col("source").eqNullSafe(F.col("of")) & (part == F.col("at_part")))
-    within = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first())
-    chosen = (
-        near.groupBy("source", "key", "doc_id")
+    within = Window.partitionBy("of").orderBy("key", F.col("doc_id").asc_nulls_first())
+    inside = (
+        near.groupBy("of", "key", "doc_id")
         .agg(F.sum("size").alias("size"), F.first("past").alias("past"), F.first("rest").alias("rest"))
         .withColumn("sum", F.sum("size").over(within) + F.col("past"))
-        .where("sum - size / 2.0 <= rest")
+        .where("sum <= rest")
+        .groupBy("of")
+        .agg(F.max(F.struct("key", "doc_id")).alias("cut"), F.max("sum").alias("got"))
     )
-    cut = chosen.groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("cut"))
-    # where the first of the slice is out already, the slice's beginning is the cut
-    start = at.select("of", (-F.log1p(-F.col("at_part") / float(SLICES))).alias("start"))
-    cut = start.join(cut, F.col("of").eqNullSafe(F.col("source")), "left").select("of", F.coalesce("cut.key", F.col("start") * (1 - 1e-12) - 1e-300).alias("cut_key"), F.col("cut.doc_id").alias("cut_id"))
-    return goal.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "rest")
+    found = before.unionByName(inside).groupBy("of").agg(F.max("cut").alias("cut"), F.max("got").alias("got"))
+    return found.select("of", F.col("cut.key").alias("cut_key"), F.col("cut.doc_id").alias("cut_id"), "got")
+
+
+def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MAX_EPOCHS) -> DataFrame:
+    """From rows (doc_id, source, size, key): source, source_size, target, epochs and, for each pass k, key_k, id_k and room_k.
+
+    A document is taken `epochs` times, and once more if it comes no later than the first pass's cut. What the document
+    behind the cut was too large for is left to the next passes, which go on behind the last cut with documents that fit.
+    """
+    sizes = settle(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    goal = targets(sizes, weights, budget, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    goal = goal.withColumn("epochs", whole.cast("long"))
+    goal = goal.withColumn("room_1", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("key_0", F.lit(-1.0)).withColumn("id_0", F.lit(None).cast("long"))
+    goal = settle(goal, "targets")
+    for k in range(1, PASSES + 1):
+        asked = goal.select(F.col("source").alias("of"), F.col(f"room_{k}").alias("rest"), F.col(f"key_{k - 1}").alias("last"), F.col(f"id_{k - 1}").alias("last_id")).where("rest > 0")
+        side = F.broadcast(asked) if _few(asked) else asked
+        left = rows.join(side, F.col("source").eqNullSafe(F.col("of"))).where(F.col("size") <= F.col("rest")).where(_after("key", "last", "last_id")) if k > 1 else rows
+        found = _cut(left.select("doc_id", "source", "size", "key"), asked.select("of", "rest"))
+        goal = goal.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        goal = goal.withColumn(f"key_{k}", F.coalesce("cut_key", f"key_{k - 1}")).withColumn(f"id_{k}", F.when(F.col("cut_key").isNull(), F.col(f"id_{k - 1}")).otherwise(F.col("cut_id")))
+        goal = settle(goal.withColumn(f"room_{k + 1}", F.col(f"room_{k}") - F.coalesce("got", F.lit(0))).drop("cut_key", "cut_id", "got"), "targets")
+    return goal
 
 
 def _few(sources: DataFrame, most: int = 100_000) -> bool:
@@ -122,11 +141,12 @@ def _few(sources: DataFrame, most: int = 100_000) -> bool:
     return sources.limit(most + 1).count() <= most
 
 
-def times(key: str = "key") -> Column:
-    """How often a document is taken, given its source's cut."""
-    none = F.lit(-(1 << 63))
-    before = (F.col(key) < F.col("_cut_key")) | ((F.col(key) == F.col("_cut_key")) & (F.coalesce("doc_id", none) <= F.coalesce("_cut_id", none)))
-    return F.col("_epochs") + F.when(F.coalesce(before, F.lit(False)), 1).otherwise(0)
+def times(size: Column, key: str = "key") -> Column:
+    """How often a document is taken, given the cuts of its source. Its size is looked at only behind the first cut."""
+    more = ~_after(key, "_key_1", "_id_1")
+    for k in range(2, PASSES + 1):
+        more = more | (_after(key, f"_key_{k - 1}", f"_id_{k - 1}") & ~_after(key, f"_key_{k}", f"_id_{k}") & (size <= F.col(f"_room_{k}")))
+    return F.col("_epochs") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
 
 
 def _with_cuts(rows: DataFrame, cut: DataFrame) -> DataFrame:
@@ -140,14 +160,14 @@ def mix_plan(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken; one row for each row of documents."""
     rows = drawn(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "size", "key")
     rows = settle(rows, "drawn")
-    return _with_cuts(rows, settle(cuts(rows), "cuts")).select(
-        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * times()).alias("taken")
+    return _with_cuts(rows, cuts(rows)).select(
+        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * times(F.col("size"))).alias("taken")
     )
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """The mixture itself: each document as often as it is taken, its columns as they were."""
     slim = drawn(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "size", "key")
-    cut = settle(cuts(settle(slim, "drawn")), "cuts").select("source", "epochs", "cut_key", "cut_id")
-    rows = _with_cuts(documents.withColumn("_key", -F.log(uniform()) / quality_weight()), cut)
-    return rows.withColumn("_n", times("_key").cast("int")).where("_n > 0").select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).drop("_k")
+    cut = cuts(settle(slim, "drawn"))
+    rows = _with_cuts(documents.withColumn("_drawn", -F.log(uniform()) / quality_weight()), cut)
+    return rows.withColumn("_n", times(size_of(), "_drawn").cast("int")).where("_n > 0").select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).drop("_k")

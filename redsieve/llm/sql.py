@@ -41,10 +41,17 @@ ORACLES: dict[str, str] = {
     select id as vec_id, (select count(*) from links where a = o.id) as n_links, component_id, id = component_id as kept from least_of o""",
     "op4_mixing": f"""
     with {_SIZES},
-    k as (select d.doc_id, d.size, g.source_size, g.target, g.epochs, g.target - g.epochs * g.source_size as rest,
-        sum(d.size) over (partition by d.source order by -ln(d.u) / d.w, d.doc_id) as upto from d join g on d.source is not distinct from g.source)
-    select doc_id, cast(size as bigint) as size, source_size, target,
-        cast(size * (epochs + case when upto - size / 2.0::double <= rest and rest > 0 then 1 else 0 end) as bigint) as taken from k""",
+    k as (select d.doc_id, d.source, d.size, g.source_size, g.target, g.epochs, g.target - g.epochs * g.source_size as room,
+        row_number() over (partition by d.source order by -ln(d.u) / d.w, d.doc_id) as r from d join g on d.source is not distinct from g.source),
+    p1 as (select *, 0 as last, sum(size) over (partition by source order by r) as upto from k),
+    q1 as (select *, room > 0 and upto <= room as in1 from p1),
+    p2 as (select * exclude (upto), coalesce(max(r) filter (in1) over (partition by source), 0) as last1, room - coalesce(sum(size) filter (in1) over (partition by source), 0) as room2 from q1),
+    f2 as (select *, r > last1 and size <= room2 and room2 > 0 as fit2 from p2),
+    q2 as (select *, fit2 and sum(case when fit2 then size else 0 end) over (partition by source order by r) <= room2 as in2 from f2),
+    p3 as (select *, coalesce(max(r) filter (in2) over (partition by source), last1) as last2, room2 - coalesce(sum(size) filter (in2) over (partition by source), 0) as room3 from q2),
+    f3 as (select *, r > last2 and size <= room3 and room3 > 0 as fit3 from p3),
+    q3 as (select *, fit3 and sum(case when fit3 then size else 0 end) over (partition by source order by r) <= room3 as in3 from f3)
+    select doc_id, cast(size as bigint) as size, source_size, target, cast(size * (epochs + cast(in1 or in2 or in3 as int)) as bigint) as taken from q3""",
     "op6_urls": f"""
     with p as (select page_id, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end as r from pages),
     q as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from p),
