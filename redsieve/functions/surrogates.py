@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import policy as P
 from .scalars import digits, hash64, let, mirrored, modulo, normalise, pick, shifted, words
 
-SALT = "pii-redactor-v1"
+SALT = "redsieve-v1"
 
 
 def _pad(value: Column, n: int) -> Column:
