@@ -34,6 +34,8 @@ THRESHOLD = 2
 MIN_CHARS = 24
 #: Up to so many keys or hashes (8 bytes each) a copy of them goes to each executor; beyond, a shuffle joins them.
 FEW_IDS = 250_000
+#: And so many rows of about 100 bytes.
+FEW_ROWS = 50_000
 
 
 def _segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -115,8 +117,8 @@ def occurrences(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def _few(ids: DataFrame) -> bool:
-    return ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+def _few(ids: DataFrame, most: int = FEW_IDS) -> bool:
+    return ids.limit(most + 1).count() <= most
 
 
 def _met(occ: DataFrame, tau: int) -> DataFrame:
@@ -174,7 +176,7 @@ def line_classes(documents: DataFrame, tau: int = THRESHOLD, min_chars: int = MI
     alone = firsts.where("copies > 1").join(linked, "h", "left_anti").select("h", F.col("first").alias("class"), F.lit(0).cast("long").alias("n_links"))
     met = settle(linked.unionByName(alone), "repeated")
     # few are sent to the places; many meet them by a shuffle, of which AQE splits the partition of a hot line
-    return places.join(F.broadcast(met) if _few(met) else met, "h", "left").select(
+    return places.join(F.broadcast(met) if _few(met, FEW_ROWS) else met, "h", "left").select(
         "doc_id",
         "t",
         F.col("line_no").cast("long").alias("line_no"),
