@@ -1,7 +1,6 @@
 """SQL for DuckDB that gives the rows of the queries, where SQL can express them.
 
-Without SQL, and held against brute force in tests: op1_pii (the disclosure of terms),
-op2_bpe, op5_quality, op8_lines (edit distance by code points), op9_ann (approximate)
+Without SQL, and held against brute force in tests: op2_bpe, op5_quality, op8_lines (edit distance by code points), op9_ann (approximate)
 and pipeline.
 """
 
@@ -33,7 +32,47 @@ _RULES = (("org/", "org", "/", "allow"), ("example.org/es/", "example.org", "/es
 _LISTED = ", ".join(f"('{e.split('/', 1)[0]}', '/{e.split('/', 1)[1]}')" for e in LISTED)
 _ESCAPED = r"length(text) + coalesce(list_sum(list_transform(regexp_extract_all(text, '\\|###|</turn>'), lambda m: length(m))), 0)"
 
+_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    ("card", r"[0-9](?:[ -]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(length({_DIGITS})), lambda j: case when (length({_DIGITS}) - j) % 2 = 1 then cast(substr({_DIGITS}, j + 1, 1) as int)
+    when cast(substr({_DIGITS}, j + 1, 1) as int) > 4 then 2 * cast(substr({_DIGITS}, j + 1, 1) as int) - 9 else 2 * cast(substr({_DIGITS}, j + 1, 1) as int) end)) % 10 = 0"""
+#: Offsets add up from the pieces between matches and the matches.
+_UPTO = "cast(list_sum(list_transform(g[1:i + 1], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i], lambda y: length(y))), 0) as bigint)"
+_ENTITIES = f"""
+    docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+    found as ({" union all ".join(f"select r, {k} as k, '{kind}' as kind, regexp_extract_all(text, '{pattern}') as m, string_split_regex(text, '{pattern}') as g from docs" for k, (kind, pattern) in enumerate(_KINDS))}),
+    each as (select r, k, kind, m, g, unnest(range(len(m))) as i from found where len(m) > 0),
+    placed as (select r, k, kind, {_UPTO} as s, m[i + 1] as v, right(g[i + 1], 161) as before, left(g[i + 2], 161) as after from each),
+    ent as (select *, s + length(v) as e, k || ':' || lower(v) as x from placed where case kind when 'email' then true
+        when 'ip' then len(list_filter(string_split(v, '.'), lambda o: length(ltrim(o, '0')) > 3 or coalesce(try_cast(nullif(ltrim(o, '0'), '') as int), 0) > 255)) = 0
+        when 'card' then length({_DIGITS}) between 12 and 19 and {_LUHN} else length({_DIGITS}) between 9 and 15 end)"""
+_TERMS = f"""
+    sides as (select r, x, s - length(before) as o, before as c, true as lead from ent union all select r, x, e, after, false from ent),
+    runs as (select r, x, o, c, lead, regexp_extract_all(c, '\\p{{L}}+') as m, string_split_regex(c, '\\p{{L}}+') as g from sides),
+    words as (select r, x, o, c, lead, m, g, unnest(range(len(m))) as i from runs where len(m) > 0),
+    near as (select distinct r, x, lower(m[i + 1]) as term, o + {_UPTO} as s, o + {_UPTO} + length(m[i + 1]) as e from words
+        where length(m[i + 1]) >= 4 and case when lead then {_UPTO} > 0 else {_UPTO} + length(m[i + 1]) < length(c) end),
+    pairs as (select x, term, count(distinct r) as n_te from near join docs using (r) group by x, term having count(distinct r) >= 2 and count(distinct text) > 1),
+    df as (select term, count(*) as n_t from (select unnest(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}'))) as term from docs) where term in (select term from pairs) group by term),
+    ne as (select x, count(distinct r) as n_e from ent group by x),
+    n as (select count(*)::double as n from docs),
+    telling as (select x, term from pairs join df using (term) join ne using (x), n
+        where n_e < n and ln(n * n_te / (n_t::double * n_e)) / ln(n / n_e) >= 0.9),
+    terms as (select distinct r, s, e from near join telling using (x, term)
+        where not exists (select 1 from ent where ent.r = near.r and near.s < ent.e and ent.s < near.e))"""
+
 ORACLES: dict[str, str] = {
+    "op1_pii": f"""
+    with {_ENTITIES}, {_TERMS},
+    spans as (select r, s, e, k, kind from ent union all select r, s, e, 4, 'term' from terms),
+    by_doc as (select r, {", ".join(f"count(*) filter (k = {k}) as n_{kind}" for k, (kind, _) in enumerate(_KINDS))},
+        string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (k < 4) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans from spans group by r)
+    select doc_id, {", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind, _ in _KINDS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from docs left join by_doc using (r)""",
     "op3_near_vectors": f"""
     with recursive v as (select vec_id as id, embedding::double[] as x, sqrt(list_sum(list_transform(embedding::double[], lambda y: y * y))) as norm from embeddings),
     links as (select p.id as a, q.id as b from v p, v q where p.id != q.id and p.norm > 0 and q.norm > 0 and list_inner_product(p.x, q.x) / (p.norm * q.norm) >= 0.95),
