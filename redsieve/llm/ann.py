@@ -186,7 +186,7 @@ def nearest(embeddings: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its TOP nearest found."""
     rows = settle(valid(embeddings).where("vec_id is not null").withColumn("dim", F.size("embedding")), "vectors")
     out = None
-    for dim in sorted(r[0] for r in rows.select("dim").distinct().limit(64).collect()):
+    for dim in sorted(r[0] for r in rows.select("dim").distinct().toLocalIterator()):
         own = rows.where(F.col("dim") == dim).select("vec_id", "embedding")
         got = own.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(SAMPLE).select("embedding").toLocalIterator()
         router = train(np.array([r[0] for r in got], np.float64))

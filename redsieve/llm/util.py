@@ -28,7 +28,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     It cuts the lineage: what is read back survives the loss of executors, and
-    is not computed again for each use.
+    is not computed again for each use. The files stay as long as results may be
+    read; who names the folder cleans it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
