@@ -6,9 +6,7 @@ SQL expressions that both engines share (TEXTS).
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -310,24 +308,22 @@ def locate_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", at["start"].cast("long").alias("start"), at["end"].cast("long").alias("end"))
 
 
-def _docx_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="redsieve-docx-")
+def _documents(spark: SparkSession) -> DataFrame:
     data = docx.document(
         ["Reach Mr. Rohan Dey at rohan.dey@gmail.com.", " "],
         [[["Contact Person", "Role"], ["Anil Kulkarni", "Managing Director"], ["OUR PROMOTERS: Sandesh Bhagwat", None]]],
         header="Northwind Components Private Limited",
         author="Rohan Dey",
     )
-    Path(folder, "one.docx").write_bytes(data)
-    return folder
+    return spark.createDataFrame([("one.docx", bytearray(data))], "path string, content binary")
 
 
 def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docx.read_docx(spark, _docx_folder()).select("block_idx", "text", "context", "location", "is_header")
+    return docx.blocks_of(_documents(spark)).select("block_idx", "text", "context", "location", "is_header")
 
 
 def docx_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docx.redact_docx(spark, _docx_folder()).select("n_entities", "scrubbed", F.length("content").alias("n_bytes"))
+    return docx.redact_files(_documents(spark)).select("n_entities", "scrubbed", F.length("content").alias("n_bytes"))
 
 
 def ner_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

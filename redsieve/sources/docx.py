@@ -145,9 +145,13 @@ def parse(content: bytes) -> list[dict]:
     return [{"block_idx": i, **b} for i, b in enumerate(found.values())]
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """BLOCKS of all .docx files under a path; doc_id is the file's path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
+def files_under(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of all .docx files under a path of any store that Spark reads."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def blocks_of(files: DataFrame) -> DataFrame:
+    """BLOCKS of documents (path, content); doc_id is the path."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,6 +163,10 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 
 
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    return blocks_of(files_under(spark, path))
+
+
 def splice_runs(runs: list[tuple[int, int, str]], replacements: list[tuple[int, int, str]]) -> list[str]:
     """New texts of runs (start, end, text). What is put in goes to the first run it touches and is cut from the others."""
     texts = [t for _, _, t in runs]
@@ -212,8 +220,8 @@ def rewrite(content: bytes, edits: list[tuple[str, int, int, int, str]], scrub_m
     return out.getvalue(), scrubbed
 
 
-def redact_docx(spark: SparkSession, path: str, config=None) -> DataFrame:
-    """doc_id, content (binary, the redacted document), scrubbed, n_entities for each .docx file under a path.
+def redact_files(files: DataFrame, config=None) -> DataFrame:
+    """doc_id, content (binary, the redacted document), scrubbed, n_entities for each of the documents (path, content).
 
     Names are shared within a document. A document is rewritten in one task, as its file is one value.
     """
@@ -221,11 +229,10 @@ def redact_docx(spark: SparkSession, path: str, config=None) -> DataFrame:
     from ..plans.config import RedactionConfig
 
     config = config or RedactionConfig()
-    found = detect(read_docx(spark, path), scope="doc_id", config=config).where("size(spans) > 0")
+    found = detect(blocks_of(files), scope="doc_id", config=config).where("size(spans) > 0")
     edits = found.select("doc_id", "part", "par", F.inline(with_surrogates(F.col("spans"), config.salt))).groupBy("doc_id").agg(
         F.collect_list(F.struct("part", "par", "start", "end", "new")).alias("edits")
     )
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -238,6 +245,11 @@ def redact_docx(spark: SparkSession, path: str, config=None) -> DataFrame:
     return both.mapInPandas(run, "doc_id string, content binary, scrubbed array<string>, n_entities long")
 
 
+def redact_docx(spark: SparkSession, path: str, config=None) -> DataFrame:
+    """redact_files() of all .docx files under a path."""
+    return redact_files(files_under(spark, path), config)
+
+
 def document(paragraphs: list[str], tables: list[list[list[str]]] = (), header: str = "", author: str = "") -> bytes:
     """A small .docx with these paragraphs, tables and page header. In a table, a cell that is None belongs to the one before it."""
     esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
