@@ -36,7 +36,8 @@ import pandas as pd
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .util import ids_as_long, ids_as_text
 
 VOCABULARY = "word_bpe_49k.json"
 WORD_END = "</w>"
@@ -237,9 +238,9 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = _tokenizer(vocabulary)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [tokenizer.encode(t or "") for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [tokenizer.encode(t or "") for t in batch["text"]]})
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary")
+    return ids_as_long(ids_as_text(documents.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id string, ids binary"), "doc_id")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -248,9 +249,9 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = _tokenizer(vocabulary)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": [tokenizer.decode(i) for i in batch["ids"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [tokenizer.decode(i) for i in batch["ids"]]})
 
-    return encoded.mapInPandas(run, "doc_id long, text string")
+    return ids_as_long(ids_as_text(encoded.select("doc_id", "ids"), "doc_id").mapInPandas(run, "doc_id string, text string"), "doc_id")
 
 
 def digest(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -260,9 +261,10 @@ def digest(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         tokenizer = _tokenizer(vocabulary)
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = tokenizer.encode(text or "")
                 out.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tokenizer.decode(ids).encode("utf-8")).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    made = ids_as_text(documents.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return ids_as_long(made, "doc_id")

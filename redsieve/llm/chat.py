@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import ids_as_long, ids_as_text
+
 ESCAPE = "\\"
 
 
@@ -66,12 +68,9 @@ class Template:
         return self.unescaped(opening[len(before) : len(opening) - len(after)])
 
 
-SEGMENTS = "conv_id long, turn long, seq long, part string, text string, loss boolean, valid boolean"
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
-
-
-def _null(x) -> bool:
-    return x is None or x is pd.NA or x != x
+#: Ids are text on their way through Python.
+SEGMENTS = "conv_id string, turn string, seq long, part string, text string, loss boolean, valid boolean"
+DIGESTS = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
 def format_conversations(conversations: DataFrame, template: Template = Template()) -> DataFrame:
@@ -86,8 +85,7 @@ def format_conversations(conversations: DataFrame, template: Template = Template
         for batch in batches:
             out = []
             for c, turn, role, text in batch.itertuples(index=False, name=None):
-                c, turn = (None if _null(x) else int(x) for x in (c, turn))
-                role, text = ("" if _null(x) else x for x in (role, text))
+                role, text = ("" if x is None else x for x in (role, text))
                 if c != conv:
                     if held:
                         out.append((*held[:2], -1, *held[3:6], good and state in template.final))
@@ -109,11 +107,11 @@ def format_conversations(conversations: DataFrame, template: Template = Template
             yield _frame([(*held[:2], -1, *held[3:6], good and state in template.final)])
 
     def _frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["conv_id", "turn", "seq", "part", "text", "loss", "valid"]).astype({"conv_id": "Int64", "turn": "Int64"})
+        return pd.DataFrame(rows, columns=["conv_id", "turn", "seq", "part", "text", "loss", "valid"])
 
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInPandas(run, SEGMENTS)
+    return ids_as_long(ids_as_text(ordered, "conv_id", "turn").mapInPandas(run, SEGMENTS), "conv_id", "turn")
 
 
 def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
@@ -140,6 +138,6 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
                     out.append((c, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, valid))
                     n = chars = loss_chars = 0
                     turns, loss = hashlib.sha256(), hashlib.sha256()
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
 
-    return segments.mapInPandas(run, DIGESTS)
+    return ids_as_long(ids_as_text(segments, "conv_id", "turn").mapInPandas(run, DIGESTS), "conv_id")

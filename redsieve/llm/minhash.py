@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import settle
+from .util import ids_as_long, ids_as_text, settle
 
 WORDS = 5
 PERCENT = 75
@@ -111,8 +111,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = shingle_set(text, cache)
             key = xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63) if len(s) else None
             out.append((doc, len(s), key, band_keys(signature(s, table), BANDS) if len(s) else None))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "c", "bands"])
-        yield frame.astype({"doc_id": "Int64", "c": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "c", "bands"]).astype({"c": "Int64"})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,9 +146,8 @@ def _sizes_allow() -> str:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of documents (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settle(
-        docs.mapInPandas(_signed, "doc_id long, n_shingles long, c long, bands array<long>"), "minhash"
-    )
+    signed = ids_as_text(docs, "doc_id").mapInPandas(_signed, "doc_id string, n_shingles long, c long, bands array<long>")
+    signed = settle(ids_as_long(signed, "doc_id"), "minhash")
     classes = signed.where("n_shingles > 0").groupBy("c").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )

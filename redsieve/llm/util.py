@@ -57,3 +57,12 @@ def tally(df: DataFrame, *cols: str) -> tuple[int, int]:
     """Row count and an order-free checksum of the rows."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.expr(f"bit_xor(xxhash64({', '.join(cols)}))").alias("x")).first()
     return row["n"], row["x"] or 0
+
+
+def ids_as_text(df: DataFrame, *ids: str) -> DataFrame:
+    """Long ids as text, for Python: pandas would make floats of them where some are null."""
+    return df.withColumns({c: F.col(c).cast("long").cast("string") for c in ids})
+
+
+def ids_as_long(df: DataFrame, *ids: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in ids})

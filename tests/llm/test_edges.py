@@ -166,3 +166,14 @@ def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_large_ids_stay_exact_beside_nulls(spark):
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "a b c d e f", "s"), (None, "x y", "s"), (big + 2, "", None)], "doc_id long, text string, source string")
+    for op in (bpe.digest, minhash.near_duplicates, mixing.mix_plan, pii.report):
+        assert {r.doc_id for r in op(docs).collect()} == {big, None, big + 2}
+    turns = spark.createDataFrame([(big, big, "user", "u"), (None, None, "user", "u")], "conv_id long, turn long, role string, text string")
+    segments = chat.format_conversations(turns)
+    assert {r.turn for r in segments.collect()} == {big, None}
+    assert {r.conv_id for r in chat.read_back(segments).collect()} == {big, None}
