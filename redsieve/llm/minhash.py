@@ -9,9 +9,12 @@ Edges are confirmed on full sets.
 
 Documents with the same set are one class before any bucket is made, so copies
 cost nothing. A star loses a link between two leaves when neither links with the
-centre. Two more rounds therefore take, in every bucket that still holds several
-components, another centre by a hash that differs for each bucket. In the first round
+centre. So while a bucket holds several components, further rounds take centres that
+were none before, by a hash that differs for each bucket, four times as many each
+round, until every pair of the bucket is tried or within a component. In the first round
 the centre is the smallest doc_id, as what is copied mostly comes before its copies.
+Pairs of later rounds are first held against sketches of their sets: parities that
+differ in more places than the sets may differ in elements rule a pair out for certain.
 
 Defined results: null text is empty text; documents without words have
 n_shingles 0, link with nothing and are kept; repeated rows belong to one class;
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -36,6 +39,10 @@ WORDS = 5
 PERCENT = 75
 BINS = 128
 BANDS = 32
+#: Parities in a set's sketch.
+SKETCH = 1024
+#: Each round takes so many times the centres of the one before.
+FASTER = 4
 #: A worker remembers the hashes of so many words.
 WORD_CACHE = 1 << 17
 
@@ -103,6 +110,12 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH parities of the numbers of hashes with the same low bits. One element more or less changes one of them."""
+    odd = np.bincount((s & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache, table = _Hashes(), _borrowing(BINS)
     for batch in batches:
@@ -121,8 +134,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for c, text in zip(batch["c"], batch["text"], strict=True):
             s = shingle_set(text, cache)
             if len(s) and xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63) == c:
-                out.append((c, s.view(np.int64)))
-        yield pd.DataFrame(out, columns=["c", "s"])
+                out.append((c, s.view(np.int64), sketch(s)))
+        yield pd.DataFrame(out, columns=["c", "s", "sketch"])
 
 
 def _confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -143,6 +156,12 @@ def _sizes_allow() -> str:
     return f"100 * least(n, m_n) >= {PERCENT} * greatest(n, m_n)"
 
 
+def _sketches_allow() -> str:
+    """Sets of N elements in all and enough in common differ in at most N (100 - PERCENT) / (100 + PERCENT)."""
+    differ = "aggregate(zip_with(sketch, m_sketch, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
+    return f"{100 + PERCENT} * {differ} <= {100 - PERCENT} * (n + m_n)"
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of documents (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -160,35 +179,44 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     wanted = buckets.select("c").distinct()
     sources = classes.select("c", "least").join(wanted, "c").select("c", F.col("least").alias("doc_id"))
     sets = settle(
-        docs.join(sources, docs["doc_id"].eqNullSafe(sources["doc_id"])).select("c", "text").mapInPandas(_sets, "c long, s array<long>"),
+        docs.join(sources, docs["doc_id"].eqNullSafe(sources["doc_id"])).select("c", "text").mapInPandas(_sets, "c long, s array<long>, sketch array<long>"),
         "sets",
     )
-    tried = settle(buckets.where("c != m").where(_sizes_allow()).select(F.col("m").alias("a"), F.col("c").alias("b")).distinct(), "star")
+    tried = settle(buckets.where("c != m").where(_sizes_allow()).select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b")).distinct(), "star")
     links = settle(_confirm(tried, sets).distinct(), "links")
     roots = components(links, "a", "b")
-    for k in (1, 2):
-        of = F.coalesce("root", "c")
-        placed = buckets.select("key", "c", "n").join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", of.alias("root"))
-        centre = (
-            placed.groupBy("key")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("c", "key", F.lit(k)), "c", "n", "root")).alias("m"))
-            .where("lo < hi")
-            .select("key", F.col("m.c").alias("m"), F.col("m.n").alias("m_n"), F.col("m.root").alias("m_root"))
+    # those of a bucket in an order of its own; the first `done` of them have been centres
+    open_ = buckets.where("c != m").select("key", "c", "n")
+    done, more, ranked = 0, 1, False
+    while True:
+        placed = open_.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        now = placed.join(several, "key")
+        if not ranked:
+            by = Window.partitionBy("key").orderBy(F.xxhash64("c", "key"), "c")
+            now, ranked = now.withColumn("rank", F.row_number().over(by)).join(sets.select("c", "sketch"), "c"), True
+        now = settle(now, "open")
+        if now.isEmpty():
+            break
+        centre = now.where(F.col("rank") <= done + more).select(
+            "key", F.col("c").alias("m"), F.col("n").alias("m_n"), F.col("root").alias("m_root"), F.col("rank").alias("m_rank"), F.col("sketch").alias("m_sketch")
         )
         star = (
-            placed.join(centre, "key")
-            .where("root != m_root")
+            now.join(centre, "key")
+            .where("rank > m_rank and root != m_root")
             .where(_sizes_allow())
+            .where(_sketches_allow())
             .select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
             .distinct()
         )
         star = settle(star.join(tried, ["a", "b"], "left_anti"), "star")
-        more = settle(_confirm(star, sets).distinct(), "links")
+        found = settle(_confirm(star, sets).distinct(), "links")
         tried = tried.unionAll(star)
-        if more.isEmpty():
-            continue
-        links = links.unionAll(more)
-        roots = components(links, "a", "b")
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            roots = components(links, "a", "b")
+        done, more = done + more, more * FASTER
+        open_ = now.where(F.col("rank") > done).drop("root")
     roots = settle(roots, "roots")
     placed = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
