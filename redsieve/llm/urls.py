@@ -2,7 +2,8 @@
 
 A URL's canonical form drops scheme, port, leading "www.", query, fragment and
 trailing slashes. It is listed when one of its expressions is: its host or a
-domain above it, with its whole path or a leading part of it. The expressions are
+domain above it, with its whole path or a leading part of it. Of these, those are made
+that have as many labels and folders as some entry of the list; no other can be listed. The expressions are
 tested against a blocked Bloom filter, each in one block of eight words. Only
 possible hits go to an exact join with the list, which removes false positives.
 The filter has a fixed size; a longer list makes it pass more, never fewer.
@@ -34,8 +35,6 @@ RULES = (
 BLOCKS = 1 << 16
 LANES = 8
 _SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint32)
-#: Domains and paths that an expression may drop.
-DOMAINS, FOLDERS = 4, 4
 
 
 def host_of(url: str = "url") -> Column:
@@ -68,20 +67,33 @@ def canonical(host: str = "host", path: str = "path") -> Column:
     return F.when(F.col(host) != "", whole)
 
 
-def expressions(host: str = "host", path: str = "path") -> Column:
-    """What of a URL may be listed: host or a domain above it, with the path or a leading part of it."""
+def depths(listed: DataFrame) -> list[tuple[int, int]]:
+    """The numbers of host labels and of folders that entries have; entries without a final slash match nothing."""
+    host = F.substring_index("entry", "/", 1)
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x)))
+    pairs = listed.where(F.endswith("entry", F.lit("/"))).select((count(host, ".") + 1).alias("labels"), (count(F.col("entry"), "/") - 1).alias("folders"))
+    return sorted((r["labels"], r["folders"]) for r in pairs.distinct().toLocalIterator())
+
+
+def expressions(of: list[tuple[int, int]], host: str = "host", path: str = "path") -> Column:
+    """What of a URL may be listed, with as many labels and folders as in `of`: host or a domain above it, with the path or a leading part of it."""
+    none = F.array().cast("array<string>")
+    if not of:
+        return none
     parts = F.split(_clean_host(F.col(host)), r"\.")
     n = F.size(parts)
-    hosts = F.transform(
-        F.sequence(F.lit(0), F.least(F.greatest(n - 2, F.lit(0)), F.lit(DOMAINS))), lambda i: F.array_join(F.slice(parts, i + 1, n), ".")
-    )
     folders = F.split(F.regexp_replace(F.regexp_replace(F.col(path), "/+$", ""), "^/+", ""), "/")
     depth = F.when(folders[0] == "", 0).otherwise(F.size(folders))
-    lead = F.transform(F.sequence(F.lit(0), F.least(depth, F.lit(FOLDERS))), lambda i: F.array_join(F.concat(F.slice(folders, 1, i), F.array(F.lit(""))), "/"))
-    whole = F.concat(F.array_join(folders, "/"), F.when(depth > 0, "/").otherwise(""))
-    paths = F.array_distinct(F.concat(lead, F.array(whole)))
-    each = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("/"), p))))
-    return F.when(F.col(host) != "", F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+    held = F.array(*(F.struct(F.lit(a).alias("labels"), F.lit(b).alias("folders")) for a, b in of))
+    each = F.transform(
+        F.filter(held, lambda d: (d["labels"] <= n) & (d["folders"] <= depth)),
+        lambda d: F.concat(
+            F.array_join(F.slice(parts, n - d["labels"] + 1, d["labels"]), "."),
+            F.lit("/"),
+            F.array_join(F.concat(F.slice(folders, 1, d["folders"]), F.array(F.lit(""))), "/"),
+        ),
+    )
+    return F.when(F.col(host) != "", F.array_distinct(each)).otherwise(none)
 
 
 def _masks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +147,7 @@ def listed_hits(pages: DataFrame, listed: DataFrame) -> DataFrame:
         bloom.words = words.value
         return pd.Series(bloom.may_hold(h.to_numpy(np.int64).view(np.uint64)))
 
-    each = pages.select("url", F.explode(expressions()).alias("entry")).distinct()
+    each = pages.select("url", F.explode(expressions(depths(listed))).alias("entry")).distinct()
     maybe = each.where(possible(F.xxhash64("entry")))
     return maybe.join(listed.select("entry").distinct(), "entry", "left_semi").select("url").distinct()
 

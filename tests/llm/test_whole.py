@@ -3,7 +3,7 @@
 import numpy as np
 from test_brute import rooted, shingles
 
-from redsieve.llm import minhash
+from redsieve.llm import minhash, urls
 
 
 def test_minhash_of_few_shared_passages(spark):
@@ -22,3 +22,12 @@ def test_minhash_of_few_shared_passages(spark):
     roots = rooted(docs, links)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == roots
+
+
+def test_urls_of_any_depth(spark):
+    deep = "a/b/c/d/e/f"
+    rows = [(1, "x://a.b.c.d.e.f.example.org/"), (2, f"x://example.net/{deep}/g/h?q"), (3, f"x://www.a.b.c.d.e.f.g.example.net/{deep}"), (4, "x://example.net/a/b/c/d/e"), (5, "x://notexample.org/"), (6, "x://y.one/z"), (7, f"x://example.net/{deep}x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    listed = spark.createDataFrame([("example.org/",), (f"example.net/{deep}/",), ("one/",), (None,), ("nowhere.org",)], "entry string")
+    out = {r.page_id: r.verdict for r in urls.judge(pages, listed, rules=()).collect()}
+    assert out == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "block", 7: "allow"}
