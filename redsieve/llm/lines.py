@@ -15,8 +15,9 @@ Everything is DataFrame expressions. Copies of a line are one row before the joi
 and meet only by their 64-bit hash, so a line that makes up a third of all rows
 costs one row in the index.
 
-Defined results: null text has no lines; lines under MIN_CHARS code points are
-never removed nor compared; lines are whole texts between line feeds; rows that
+Defined results: null text has no lines; lines under MIN_CHARS code points are like
+their exact copies only, and take part where `short` is set, as in op8 and
+dedup_lines, unless they are blank; lines are whole texts between line feeds; rows that
 share doc_id and text count as one document, and rows with a null doc_id come
 first; other columns are kept as they are; an empty table gives an empty result.
 Two different lines share a hash with probability 2^-64.
@@ -108,11 +109,12 @@ def within(x: str, y: str, tau: int) -> Column:
     return (F.abs(F.size(x) - F.size(y)) <= tau) & (last.bitwiseAND(F.expr(f"shiftleft(1L, {tau} + size({x}) - size({y}))")) != 0)
 
 
-def occurrences(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, t (hash of the text), line_no, line, h: every line that takes part."""
+def occurrences(documents: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+    """doc_id, t (hash of the text), line_no, line, h: every line that takes part; with short, those under min_chars too unless they are blank."""
+    takes_part = F.length("line") >= min_chars
     return (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .where(F.length("line") >= min_chars)
+        .where(takes_part | F.col("line").rlike(r"\S") if short else takes_part)
         .withColumn("h", F.xxhash64("line"))
     )
 
@@ -160,10 +162,10 @@ def similar_lines(occ: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     return chars.where(within("x", "y", tau)).select("a", "b")
 
 
-def line_classes(documents: DataFrame, tau: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(documents: DataFrame, tau: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """One row for each occurrence: doc_id, t, line_no, class_doc_id, class_line_no, n_links, kept."""
     occ = occurrences(documents, min_chars)
-    places = settle(occ.select("doc_id", "t", "line_no", "h"), "places")
+    places = settle(occurrences(documents, min_chars, short).select("doc_id", "t", "line_no", "h"), "places")
     here = F.struct("doc_id", "t", "line_no")
     firsts = settle(places.groupBy("h").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
     links = settle(similar_lines(occ, tau), "line-links")
@@ -194,7 +196,7 @@ def dedup_lines(documents: DataFrame, tau: int = THRESHOLD, min_chars: int = MIN
     part stays as it is.
     """
     gone = (
-        line_classes(documents, tau, min_chars)
+        line_classes(documents, tau, min_chars, short=True)
         .where("not kept")
         .groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_of"))
         .agg(F.collect_set("line_no").alias("_gone"))

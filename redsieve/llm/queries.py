@@ -66,7 +66,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_classes(read(spark, sf_dir, "documents")).drop("t")
+    return lines.line_classes(read(spark, sf_dir, "documents"), short=True).drop("t")
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from test_brute import rooted, shingles
 
-from redsieve.llm import minhash, urls
+from redsieve.llm import lines, minhash, queries, urls
 
 
 def test_minhash_of_few_shared_passages(spark):
@@ -31,3 +31,18 @@ def test_urls_of_any_depth(spark):
     listed = spark.createDataFrame([("example.org/",), (f"example.net/{deep}/",), ("one/",), (None,), ("nowhere.org",)], "entry string")
     out = {r.page_id: r.verdict for r in urls.judge(pages, listed, rules=()).collect()}
     assert out == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "block", 7: "allow"}
+
+
+def test_short_lines_by_exact_copies(spark, tmp_path):
+    long = "one line that is long enough to count"
+    rows = [(1, f"Share\n\n{long}\nOK"), (2, f"Share\n\n \n{long}!\nOk\nShare"), (3, "Share\nOK"), (4, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {(r.doc_id, r.line_no): ((r.class_doc_id, r.class_line_no), r.n_links, r.kept) for r in queries.op8_lines(spark, str(tmp_path)).collect()}
+    first, ok, whole = (1, 0), (1, 3), (1, 2)
+    assert out == {
+        (1, 0): (first, 0, True), (1, 2): (whole, 1, True), (1, 3): (ok, 0, True),
+        (2, 0): (first, 0, False), (2, 3): (whole, 1, False), (2, 4): ((2, 4), 0, True), (2, 5): (first, 0, False),
+        (3, 0): (first, 0, False), (3, 1): (ok, 0, False),
+    }
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == {1: rows[0][1], 2: "\n \nOk", 4: " \n"}
