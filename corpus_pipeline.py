@@ -25,9 +25,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    gone = minhash.near_duplicates(docs).where("not kept and component_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each group of near-duplicates: the least doc_id (null last), then the least hash of a text; rows without words stay."""
+    found = settle(minhash.near_duplicates(docs, with_text=True).where("root is not null").select("doc_id", "t", "root"), "near")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    each = found.groupBy("doc_id", "t", "root").agg(F.count(F.lit(1)).alias("n"))
+    least = found.groupBy("root").agg(F.min(first).alias("first"))
+    judged = settle(each.join(least, "root").select(F.col("doc_id").alias("_d"), F.col("t").alias("_of"), "n", first.eqNullSafe(F.col("first")).alias("kept")), "judged")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (minhash.text_hash() == F.col("_of"))
+    left = docs.join(judged.where("not kept"), same, "left_anti")
+    # of equal rows, and of rows that differ in other columns only, the least stays
+    again = judged.where("kept and n > 1")
+    one = left.join(again, same, "left_semi").groupBy(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_of")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.join(again, same, "left_anti").unionByName(one.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -117,6 +117,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # other columns, such as t, are passed on
     cache, table = _Hashes(), _borrowing(BINS)
     for batch in batches:
         out = []
@@ -124,7 +125,11 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = shingle_set(text, cache)
             key = xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63) if len(s) else None
             out.append((doc, len(s), key, band_keys(signature(s, table), BANDS) if len(s) else None))
-        yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "c", "bands"]).astype({"c": "Int64"})
+        # objects stay exact beside None, of which pandas would make floats
+        signed = pd.DataFrame(out, columns=["doc_id", "n_shingles", "c", "bands"], dtype=object).astype({"n_shingles": "int64", "c": "Int64"})
+        if "t" in batch:
+            signed["t"] = batch["t"].to_numpy()
+        yield signed
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,6 +157,10 @@ def _confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def text_hash() -> Column:
+    return F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+
+
 def _sizes_allow() -> str:
     return f"100 * least(n, m_n) >= {PERCENT} * greatest(n, m_n)"
 
@@ -162,10 +171,15 @@ def _sketches_allow() -> str:
     return f"{100 + PERCENT} * {differ} <= {100 - PERCENT} * (n + m_n)"
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row for each row of documents (doc_id, text)."""
+def near_duplicates(documents: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row for each row of documents (doc_id, text).
+
+    With with_text also t, the hash of the text (0 for null), and root, which is the same in a component and null without words.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = ids_as_text(docs, "doc_id").mapInPandas(_signed, "doc_id string, n_shingles long, c long, bands array<long>")
+    more = [text_hash().alias("t")] if with_text else []
+    schema = "doc_id string, n_shingles long, c long, bands array<long>" + (", t long" if with_text else "")
+    signed = ids_as_text(docs.select("doc_id", "text", *more), "doc_id").mapInPandas(_signed, schema)
     signed = settle(ids_as_long(signed, "doc_id"), "minhash")
     classes = signed.where("n_shingles > 0").groupBy("c").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
@@ -194,7 +208,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         now = placed.join(several, "key")
         if not ranked:
             by = Window.partitionBy("key").orderBy(F.xxhash64("c", "key"), "c")
-            now, ranked = now.withColumn("rank", F.row_number().over(by)).join(sets.select("c", "sketch"), "c"), True
+            now, ranked = now.withColumn("rank", F.row_number().over(by)).join(sets.select("c", "sketch").dropDuplicates(["c"]), "c"), True
         now = settle(now, "open")
         if now.isEmpty():
             break
@@ -220,10 +234,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     roots = settle(roots, "roots")
     placed = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(least, "root").select("c", "component_id")
+    also = ["t", "root"] if with_text else []
+    of = placed.join(least, "root").select("c", "component_id", *also[1:])
     return (
-        signed.select("doc_id", "n_shingles", "c")
+        signed.select("doc_id", "n_shingles", "c", *also[:1])
         .join(of, "c", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *also)
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )

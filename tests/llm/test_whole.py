@@ -1,5 +1,6 @@
 """Cases in which a part of the job used to be left out."""
 
+import corpus_pipeline
 import numpy as np
 from test_brute import rooted, shingles
 
@@ -46,3 +47,16 @@ def test_short_lines_by_exact_copies(spark, tmp_path):
         (3, 0): (first, 0, False), (3, 1): (ok, 0, False),
     }
     assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == {1: rows[0][1], 2: "\n \nOk", 4: " \n"}
+
+
+def test_near_duplicates_go_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "s"), (1, a, "s"), (1, b, "s"), (2, f"{a} more", "s"), (None, f"{b} more", "s"), (None, c, "s"), (None, f"{c} more", "s"), (3, None, "s"), (3, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted((x for x in got if x[0] == 1), key=repr) == [(1, a), (1, b)]
+    nulls = [x for x in got if x[0] is None]
+    assert len(nulls) == 1 and nulls[0][1] in (c, f"{c} more")
+    assert got.count((3, None)) == 2 and len(got) == 5
