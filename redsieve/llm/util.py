@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where it is unset (one
-    machine, as in tests) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` names it on a cluster. Where it is unset, a temporary folder takes its place on a local master,
+    as in tests; on any other it is an error, as each machine would write to a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir is not set, and the executors of {master} share no temporary folder")
         found = tempfile.mkdtemp(prefix="redsieve-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -17,6 +17,12 @@ def valid(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are scaled by their largest component first, as squares of very small or large ones aren't finite numbers above 0."""
+    x = x / np.abs(x).max(axis=1, initial=0.0)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def pack(rows: DataFrame, keys: list[str], block: int, extra: str | None = None) -> DataFrame:
     """Rows (keys, vec_id, embedding[, extra: long]) as blocks of at most `block` rows of one key.
 
