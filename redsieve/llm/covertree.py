@@ -4,13 +4,15 @@ For unit vectors a cosine of at least c is a distance of at most sqrt(2 - 2c). E
 block of vectors gets a cover tree: nested levels whose radii halve, every node a
 vector that is the centre of what hangs below it, with its true covering radius. A
 pair of blocks is traversed from both roots. A pair of nodes is dropped when their
-distance less both covering radii is over the threshold, and taken whole when their
-distance plus both is under it; what is left goes down to the vectors, which are
-compared in double precision.
+distance less both covering radii is over the threshold; what is left goes down to the
+vectors, which are compared in double precision. A node's centre is its first child, so
+levels are nested; centres of one level are apart by its radius under one parent.
 
-Vectors are put to the nearest of a bounded number of pivots, and pairs of pivots
-whose covering radii leave no room are dropped before any block is paired. Pairs of
-blocks that are left meet by joins on the pivots.
+Above the blocks stand two coarser levels. Vectors are put to the nearest of a bounded
+number of pivots, which grows with the table. A cell's vectors are cut into blocks by
+halving them between two far ends, so a block is near in space and has a radius of its own.
+Pairs of pivots, then pairs of blocks, whose covering radii leave no room are dropped by
+their centres alone; only blocks of pairs that are left travel.
 
 Links are counted where they are found, and each pair of blocks gives one row for
 each of its linked vectors, with the least vector it hangs together with there. So a
@@ -18,7 +20,8 @@ group of copies costs rows in proportion to its size, not to its square. Equal
 vectors are one vector with a weight before all this.
 
 Defined results: null or zero vectors, and such with null or non-finite
-components, link with nothing; vectors of different length never link; rows with one
+components, link with nothing; components may be as small or large as finite numbers
+are; vectors of different length never link; rows with one
 vec_id are different vectors of that id, each with its own row, and linked with it
 if alike; rows with a null vec_id take part, and are never kept; other columns are
 ignored; an empty table gives an empty result.
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +41,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .util import rows_a_batch, settle
-from .vectors import pack, unpack, valid
+from .vectors import unit, unpack, valid
 
 COSINE = 0.95
 BLOCK = 2048
-#: Vectors that others are dealt to, the first by a digest of their id.
-PIVOTS = 16
+#: Vectors that others are dealt to, the first by a digest of their id: one for each block that the table fills, within these bounds.
+PIVOTS = (16, 1024)
+#: So many blocks of a cell are cut apart in one task.
+AT_ONCE = 4
 LEVELS = 6
 #: Node pairs that are compared at once.
 CHUNK = 1 << 15
@@ -177,7 +183,7 @@ def _linked(cosine: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def tree(ids: bytes, vectors: bytes, weight: bytes, packed: bytes, dim: int) -> tuple:
             node, x = unpack(ids, vectors, dim)
-            return node, CoverTree.of(x / np.linalg.norm(x, axis=1)[:, None], packed), np.frombuffer(weight, np.int64)
+            return node, CoverTree.of(x, packed), np.frombuffer(weight, np.int64)
 
         for batch in batches:
             for r in batch.itertuples(index=False):
@@ -207,73 +213,125 @@ def _linked(cosine: float):
     return run
 
 
-def _planted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _halves(x: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in groups of at most BLOCK, near in space: the half nearer to one of two far ends, and the other half, as long as it takes."""
+    if len(rows) <= BLOCK:
+        yield rows
+        return
+    one = rows[np.argmin(x[rows] @ x[rows[0]])]
+    other = rows[np.argmin(x[rows] @ x[one])]
+    order = np.argsort(x[rows] @ (x[one] - x[other]), kind="stable")
+    yield from _halves(x, rows[order[: len(rows) // 2]])
+    yield from _halves(x, rows[order[len(rows) // 2 :]])
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (cell, c, unit vector, weight), sorted by cell, as blocks with their trees."""
+    from pyspark import TaskContext
+
+    task, made = TaskContext.get().partitionId(), 0
+
+    def out(cell: int, held: list) -> Iterator[pd.DataFrame]:
+        nonlocal made
+        ids, weight = (np.array([h[k] for h in held], np.int64) for k in (0, 2))
+        x = np.stack([np.asarray(h[1], np.float64) for h in held])
+        for rows in _halves(x, np.arange(len(x))):
+            made += 1
+            tree = CoverTree(x[rows])
+            # the root's centre is the block's first row
+            yield pd.DataFrame(
+                [{"cell": cell, "block": f"{task}-{made}", "dim": x.shape[1], "centre": x[rows[0]], "radius": float(tree.levels[0][1][0]), "ids": ids[rows].tobytes(),
+                  "vectors": x[rows].tobytes(), "weight": weight[rows].tobytes(), "tree": tree.packed()}]
+            )
+
+    key, held = None, []
     for batch in batches:
-        trees = []
-        for r in batch.itertuples(index=False):
-            x = unpack(r.ids, r.vectors, r.dim)[1]
-            trees.append(CoverTree(x / np.linalg.norm(x, axis=1)[:, None]).packed())
-        yield batch.assign(tree=trees)
+        for cell, c, x, weight in batch[["cell", "c", "unit", "weight"]].itertuples(index=False, name=None):
+            now = (cell, len(x))
+            if held and (now != key or len(held) >= AT_ONCE * BLOCK):
+                yield from out(key[0], held)
+                held = []
+            key = now
+            held.append((c, x, weight))
+    if held:
+        yield from out(key[0], held)
+
+
+def _pivots(rows: DataFrame, k: int) -> dict[int, np.ndarray]:
+    """At most k vectors for each of the lengths found; of very many lengths, the rest is dealt to one cell each by the length alone."""
+    out: dict[int, np.ndarray] = {}
+    for dim in [r[0] for r in rows.select("dim").distinct().limit(64).collect()]:
+        got = rows.where(F.col("dim") == dim).orderBy(F.md5(F.col("c").cast("string"))).limit(k).select("embedding").toLocalIterator()
+        out[dim] = unit(np.array([r[0] for r in got], np.float64))
+    return out
 
 
-def _pivots(rows: DataFrame, k: int) -> tuple[list[int], dict[int, np.ndarray]]:
-    """At most k vectors for each of the lengths found."""
-    lengths = [r[0] for r in rows.select("dim").distinct().limit(64).collect()]
-    out: dict[int, np.ndarray] = {}
-    for dim in lengths:
-        got = rows.where(F.col("dim") == dim).orderBy(F.md5(F.col("vec_id").cast("string"))).limit(k).select("embedding").collect()
-        x = np.array([r[0] for r in got], np.float64)
-        out[dim] = x / np.linalg.norm(x, axis=1)[:, None]
-    return lengths, out
+def _dealt(pivots: dict[int, np.ndarray]):
+    """c, weight, unit vector, cell, distance from the cell's pivot; cells are numbered by length and pivot."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell, dist, units = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.empty(len(batch), object)
+            for dim, group in batch.groupby("dim"):
+                at = batch.index.get_indexer(group.index)
+                x = unit(np.stack([np.asarray(e, np.float64) for e in group["embedding"]]))
+                for i, row in zip(at, x, strict=True):
+                    units[i] = row
+                cell[at] = int(dim) * PIVOTS[1]
+                if (p := pivots.get(int(dim))) is not None:
+                    d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
+                    cell[at] += d.argmin(axis=1)
+                    dist[at] = d.min(axis=1)
+                else:
+                    dist[at] = 2.0
+            yield pd.DataFrame({"c": batch["c"].to_numpy(), "weight": batch["weight"].to_numpy(), "unit": units, "cell": cell, "dist": dist})
+
+    return run
+
+
+def _cell_pairs(radius: dict[int, float], pivots: dict[int, np.ndarray], eps: float) -> list[tuple[int, int]]:
+    """Pairs of cells, of vectors of one length, that may hold linked vectors."""
+    out, by_dim = [], defaultdict(list)
+    for cell in sorted(radius):
+        by_dim[cell // PIVOTS[1]].append(cell)
+    for dim, cells in by_dim.items():
+        r = np.array([radius[c] for c in cells])
+        p = pivots.get(dim)
+        at = [c % PIVOTS[1] for c in cells]
+        gap = np.zeros((len(cells), len(cells))) if p is None else np.sqrt(np.maximum(0.0, 2 - 2 * (p[at] @ p[at].T)))
+        i, j = np.nonzero(np.triu(gap - r[:, None] - r[None, :] <= eps + _SLACK))
+        out += [(cells[a], cells[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    return out
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row for each row of embeddings."""
+    spark = embeddings.sparkSession
     sound = valid(embeddings).withColumn("c", F.xxhash64("embedding"))
     classes = settle(
         sound.groupBy("c").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("embedding")),
         "vectors",
     )
-    spark = embeddings.sparkSession
-    _, pivots = _pivots(classes, PIVOTS)
+    pivots = _pivots(classes, min(max(PIVOTS[0], math.ceil(classes.count() / BLOCK)), PIVOTS[1]))
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cell, dist = np.full(len(batch), -1, np.int64), np.zeros(len(batch))
-            for dim, group in batch.groupby("dim"):
-                at = batch.index.get_indexer(group.index)
-                p = pivots.get(int(dim))
-                if p is None:
-                    continue
-                x = np.stack([np.asarray(e, np.float64) for e in group["embedding"]])
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
-                cell[at], dist[at] = d.argmin(axis=1) + int(dim) * PIVOTS, d.min(axis=1)
-            yield pd.DataFrame({"cell": cell, "dist": dist, "vec_id": batch["c"], "embedding": batch["embedding"], "weight": batch["weight"], "dim": batch["dim"]})
-
-    put = settle(classes.select("c", "embedding", "weight", "dim").mapInPandas(dealt, "cell long, dist double, vec_id long, embedding array<double>, weight long, dim int"), "dealt")
+    put = settle(classes.select("c", "embedding", "weight", "dim").mapInPandas(_dealt(pivots), "c long, weight long, unit array<double>, cell long, dist double"), "dealt")
     # a row for each pivot
     cells = put.groupBy("cell").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()
-    radius = {r["cell"]: r["r"] for r in cells}
-    parts = F.coalesce(F.create_map(*(F.lit(x) for r in cells for x in (r["cell"], math.ceil(r["n"] / BLOCK)))).getItem(F.col("cell")), F.lit(1)) if cells else F.lit(1)
-    pairs = []
-    for i, ri in radius.items():
-        for j, rj in radius.items():
-            if i > j or (i < 0) != (j < 0) or (i >= 0 and i // PIVOTS != j // PIVOTS):
-                continue
-            gap = 0.0 if i < 0 else float(np.linalg.norm(pivots[i // PIVOTS][i % PIVOTS] - pivots[j // PIVOTS][j % PIVOTS]))
-            if gap - ri - rj <= eps + _SLACK:
-                pairs.append((i, j))
-    # a cell is dealt to as many tasks as it fills blocks
-    spread = put.repartition("cell", F.pmod(F.xxhash64("vec_id"), parts))
-    blocks = settle(pack(spread, ["cell"], BLOCK, "weight"), "packed")
-    with rows_a_batch(spark, 8):
-        blocks = settle(blocks.mapInPandas(_planted, blocks.schema.simpleString()[7:-1].replace(":", " ") + ", tree binary"), "blocks")
-    cell_pairs = spark.createDataFrame(pairs or [(-9, -9)], "cell_a long, cell_b long")
-    side = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cell", "ids", "vectors", "weight", "tree")), F.col("block_id").alias(f"block_{s}"), F.col("dim").alias("dim" if s == "a" else "dim_b"))
-    met = side("a").join(F.broadcast(cell_pairs), "cell_a").join(side("b"), "cell_b").where("dim = dim_b and (cell_a < cell_b or block_a <= block_b)")
-    met = met.select("block_a", "block_b", "dim", *(f"{c}_{s}" for s in "ab" for c in ("ids", "vectors", "weight", "tree")))
+    parts = spark.createDataFrame([(r["cell"], math.ceil(r["n"] / (AT_ONCE * BLOCK))) for r in cells], "cell long, parts int")
+    # a cell is dealt to as many tasks as it fills
+    spread = put.join(F.broadcast(parts), "cell").repartition("cell", F.pmod(F.xxhash64("c"), F.col("parts"))).select("cell", "c", "unit", "weight")
+    schema = "cell long, block string, dim int, centre array<double>, radius double, ids binary, vectors binary, weight binary, tree binary"
+    with rows_a_batch(spark, 2048):
+        blocks = settle(spread.sortWithinPartitions("cell", "c").mapInPandas(_blocks, schema), "blocks")
+    cell_pairs = spark.createDataFrame(_cell_pairs({r["cell"]: r["r"] for r in cells}, pivots, eps), "cell_a long, cell_b long")
+    # blocks meet by their centres first; at most PIVOTS squared pairs of cells, some 8 MB
+    head = lambda s: blocks.select(F.col("cell").alias(f"cell_{s}"), F.col("block").alias(f"block_{s}"), "dim", F.col("centre").alias(f"centre_{s}"), F.col("radius").alias(f"radius_{s}"))
+    heads = head("a").join(F.broadcast(cell_pairs), "cell_a").join(head("b").drop("dim"), "cell_b").where("cell_a < cell_b or block_a <= block_b")
+    cos = "aggregate(zip_with(centre_a, centre_b, (x, y) -> x * y), 0D, (s, z) -> s + z)"
+    room = f"block_a = block_b or sqrt(greatest(0D, 2 - 2 * {cos})) - radius_a - radius_b <= {eps + _SLACK}D"
+    pairs = settle(heads.where(room).select("block_a", "block_b", "dim"), "block-pairs")
+    side = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "vectors", "weight", "tree")))
+    met = pairs.join(side("a"), "block_a").join(side("b"), "block_b")
     with rows_a_batch(spark, 8):
         found = settle(met.mapInPandas(_linked(cosine), "node long, links long, root long"), "found")
     roots = settle(components(found, "node", "root"), "vector-roots")
@@ -284,7 +342,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
         .join(roots, "node", "left")
         .select("node", "least", F.coalesce("links", F.lit(0)).alias("links"), "weight", F.coalesce("root", "node").alias("root"))
     )
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = settle(of, "vector-of")
+    least = settle(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of = of.join(least, "root").select(F.col("node").alias("c"), (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sound = valid(every)
