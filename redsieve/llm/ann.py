@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: learned partitions of a neighbour graph.
 
-On a bounded sample the graph of exact nearest neighbours is cut into PARTS parts
-of equal size: from balanced seeds, vectors move to the part that most of their
+On a bounded sample the graph of exact nearest neighbours is cut into parts
+of equal size, one for each PART vectors of the table within the bounds PARTS: from balanced seeds, vectors move to the part that most of their
 neighbours are in, as long as it has room. A small classifier, multinomial
 logistic regression on the vector, learns the parts. It then puts every vector of
 the whole table into its most probable part, and sends a query to its several most
@@ -11,6 +11,9 @@ How many parts a query visits is measured, not set: the fewest with which, for
 queries of the sample, SURE of the nearest neighbours in the sample are reached.
 On vectors without structure that is most of the parts.
 
+A query that has found fewer than TOP, as the parts it visited hold no more, is sent to
+all parts, so that it gets all candidates there are.
+
 Parts are cut into blocks of vectors; blocks of queries meet blocks of vectors by
 a join on the part, each meeting gives at most TOP rows for each query, and a window
 over these keeps the nearest.
@@ -18,8 +21,9 @@ over these keeps the nearest.
 Defined results: vectors that are null, zero or hold null or non-finite
 components are neither queries nor candidates, nor are rows with a null vec_id;
 queries meet vectors of their own length; a query never meets rows of its own vec_id;
-repeated rows of a candidate are candidates each, repeated rows of a query count once;
-ties go to the smaller vec_id; other columns are ignored; an empty table gives an
+repeated rows of a candidate are candidates each; of rows of one query with different
+vectors the least vector asks; a product beyond the range of a double is infinite, and ranks
+as such, one that is not a number ranks last; ties go to the smaller vec_id; other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -33,12 +37,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import rows_a_batch, settle
-from .vectors import pack, unpack, valid
+from .vectors import pack, unit, unpack, valid
 
 TOP = 20
 QUERY_EVERY = 20
+#: A part is to hold so many vectors; of the parts there are so many at least and at most.
+PART = 4096
+PARTS = (16, 128)
+#: The sample: so many vectors for each part, and so many at least.
+PER_PART = 64
 SAMPLE = 4096
-PARTS = 16
 NEIGHBOURS = 10
 SURE = 0.97
 BLOCK = 4096
@@ -115,28 +123,32 @@ class Router:
         return np.argsort(-(x @ self.weights + self.bias), axis=1, kind="stable")
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1)[:, None]
+def _most_alike(rows: np.ndarray, others: np.ndarray, k: int, own: int | None = None) -> np.ndarray:
+    """For each row the k others with the largest product, in pieces; with own, row i is other own + i, which is left out."""
+    out = []
+    for s in range(0, len(rows), 1024):
+        near = rows[s : s + 1024] @ others.T
+        if own is not None:
+            near[np.arange(len(near)), own + s + np.arange(len(near))] = -np.inf
+        out.append(np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, :k])
+    return np.concatenate(out)
 
 
-def train(x: np.ndarray) -> Router:
-    """From a sample of vectors; the last eighth stays out of the classifier and tells how many parts to visit."""
+def train(x: np.ndarray, most: int = PARTS[0]) -> Router:
+    """From a sample of vectors, at most so many parts; the last eighth stays out of the classifier and tells how many parts to visit."""
     n = len(x)
-    k = max(1, min(PARTS, n // 64))
-    u = _unit(x)
+    k = max(1, min(most, n // PER_PART))
+    u = unit(x)
     if k == 1:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), 1)
     held = max(1, n // 8)
     base, test = slice(0, n - held), slice(n - held, n)
-    near = u[base] @ u[base].T
-    np.fill_diagonal(near, -np.inf)
-    graph = np.argpartition(-near, NEIGHBOURS, axis=1)[:, :NEIGHBOURS]
-    del near
+    graph = _most_alike(u[base], u[base], NEIGHBOURS, 0)
     w, b = Router.fit(u[base], balanced_parts(graph, k), k)
     router = Router(w, b, k)
     home = router.ranked(u[base])[:, 0]
-    inner = u[test] @ x[base].T
-    best = np.argpartition(-inner, min(TOP, inner.shape[1] - 1), axis=1)[:, :TOP]
+    # for a query's nearest its length doesn't matter; that of the others does, relative to the largest component of all
+    best = _most_alike(u[test], x[base] / np.abs(x).max(), TOP)
     order = router.ranked(u[test])
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(k)[None, :], axis=1)
@@ -147,13 +159,15 @@ def train(x: np.ndarray) -> Router:
     return Router(w, b, probes)
 
 
-def _routed(router: Router, dim: int, every: bool):
+def _routed(router: Router, every: bool):
     """(part, vec_id, embedding): each vector in its part, or in each of the parts that a query visits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.stack([np.asarray(e, np.float64) for e in batch["embedding"]]) if len(batch) else np.empty((0, dim))
-            parts = router.ranked(_unit(x))[:, : 1 if every else router.probes]
+            if not len(batch):
+                continue
+            x = np.stack([np.asarray(e, np.float64) for e in batch["embedding"]])
+            parts = router.ranked(unit(x))[:, : 1 if every else router.probes]
             yield pd.DataFrame({"part": parts.ravel(), "vec_id": batch["vec_id"].repeat(parts.shape[1]).to_numpy(), "embedding": batch["embedding"].repeat(parts.shape[1]).to_numpy()})
 
     return run
@@ -164,18 +178,22 @@ def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in batch.itertuples(index=False):
             q, x = unpack(r.ids_q, r.vectors_q, r.dim)
             c, y = unpack(r.ids_c, r.vectors_c, r.dim)
-            inner = x @ y.T
-            inner[q[:, None] == c[None, :]] = -np.inf
+            with np.errstate(over="ignore", invalid="ignore"):
+                inner = np.nan_to_num(x @ y.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            other = q[:, None] != c[None, :]
+            inner[~other] = -np.inf
             if len(c) > TOP:
                 # all that tie with the last in are kept for the exact order; sums of another order may differ by a little
                 last = np.partition(inner, len(c) - TOP, axis=1)[:, len(c) - TOP]
-                near = inner >= (last - 1e-9 * np.maximum(1.0, np.abs(last)))[:, None]
+                slack = 1e-9 * np.maximum(1.0, np.abs(last, where=np.isfinite(last), out=np.zeros_like(last)))
+                near = (inner >= (last - slack)[:, None]) & other
             else:
-                near = np.ones_like(inner, bool)
-            near &= np.isfinite(inner)
+                near = other
             i, j = np.nonzero(near)
-            exact = (x[i] * y[j]).sum(axis=1)
-            order = np.lexsort((c[j], -exact, i))
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = (x[i] * y[j]).sum(axis=1)
+            rank_by = np.nan_to_num(exact, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            order = np.lexsort((c[j], -rank_by, i))
             i, j, exact = i[order], j[order], exact[order]
             rank = np.arange(len(i)) - np.searchsorted(i, i)
             ok = rank < TOP
@@ -187,21 +205,37 @@ def nearest(embeddings: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
     rows = settle(valid(embeddings).where("vec_id is not null").withColumn("dim", F.size("embedding")), "vectors")
     out = None
     for dim in sorted(r[0] for r in rows.select("dim").distinct().toLocalIterator()):
-        own = rows.where(F.col("dim") == dim).select("vec_id", "embedding")
-        got = own.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(SAMPLE).select("embedding").toLocalIterator()
-        router = train(np.array([r[0] for r in got], np.float64))
-        base = own.mapInPandas(_routed(router, dim, True), "part long, vec_id long, embedding array<double>")
-        asked = own.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInPandas(_routed(router, dim, False), "part long, vec_id long, embedding array<double>")
-        # a part is dealt to as many tasks as it fills blocks
-        spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 + own.count() // (PARTS * BLOCK)))
-        base = settle(pack(base.repartition("part", spread), ["part"], BLOCK), "base")
-        asked = settle(pack(asked.repartition("part", spread), ["part"], QUERIES), "queries")
-        side = lambda d, s: d.select("part", "dim", F.col("ids").alias(f"ids_{s}"), F.col("vectors").alias(f"vectors_{s}"))
-        met = side(asked, "q").join(side(base, "c"), ["part", "dim"])
-        with rows_a_batch(embeddings.sparkSession, 8):
-            found = settle(met.mapInPandas(_nearest, "query_id long, vec_id long, score double"), "found")
+        found = _nearest_of(rows.where(F.col("dim") == dim).select("vec_id", "embedding"), every)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_of(own: DataFrame, every: int) -> DataFrame:
+    """query_id, vec_id, score, of vectors of one length: at most TOP rows of each meeting of a query with a block."""
+    spark, n = own.sparkSession, own.count()
+    parts = min(max(PARTS[0], n // PART), PARTS[1])
+    got = own.orderBy(F.md5(F.col("vec_id").cast("string")), "embedding").limit(max(SAMPLE, PER_PART * parts)).select("embedding").toLocalIterator()
+    router = train(np.array([r[0] for r in got], np.float64), parts)
+    routed = "part long, vec_id long, embedding array<double>"
+    first = own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # a part is dealt to as many tasks as it fills blocks
+    spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 + n // (parts * BLOCK)))
+    packed = lambda df, size, name: settle(pack(df.repartition("part", spread), ["part"], size), name)
+    base = packed(own.mapInPandas(_routed(router, True), routed), BLOCK, "base")
+    side = lambda d, s: d.select("part", F.col("dim").alias(f"dim_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("vectors").alias(f"vectors_{s}"))
+
+    def met(asked: DataFrame) -> DataFrame:
+        both = side(packed(asked, QUERIES, "queries"), "q").join(side(base, "c"), "part").withColumnRenamed("dim_q", "dim")
+        with rows_a_batch(spark, 8):
+            return settle(both.mapInPandas(_nearest, "query_id long, vec_id long, score double"), "found")
+
+    found = met(first.mapInPandas(_routed(router, False), routed))
+    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TOP)
+    short = settle(first.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
+    if short.isEmpty() or router.probes == router.weights.shape[1]:
+        return found
+    again = met(short.select(F.explode(F.sequence(F.lit(0), F.lit(router.weights.shape[1] - 1))).cast("long").alias("part"), "vec_id", "embedding"))
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
