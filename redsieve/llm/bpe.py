@@ -1,22 +1,26 @@
-"""BPE encoding and decoding by a deterministic automaton over token arcs.
-
-The merges are compiled one after the other, each by a gadget on the automaton
-whose states are "the last token was x" and whose arcs are tokens. The gadget of
-merge i, (u, v) -> uv, does three things: the state after u loses its arc v; every
-state with an arc u gets an arc uv; and the state after uv starts as the state
-after v is at that moment. States are kept as versions: what a state lost, with
-the number of the merge, and the state and merge it started from. An arc w leaves
-state x for good at the first merge that took it, so the automaton accepts exactly
-the token sequences that the merges produce.
-
-To encode a word, one token ends at each position of it: the only one whose arc
-leaves the state at its beginning. Tables give the tokens that end with the bytes
-read (a trie of reversed labels) and, filled as asked for, whether an arc is there.
-Decoding emits the labels of the arcs.
-
-Text is pre-split as the vocabulary's file says: NFC, lower case by character,
-letters, single digits, runs of marks; white space goes. Pieces between white
-space don't touch each other, so a worker remembers those it has seen.
+"""BPE encoding and decoding by a deterministic automaton over tokens.
+
+A state of the automaton is the token that was read last, an arc the token that may
+come next. It starts with the symbols, any of which may follow any other, and is
+compiled by a gadget for each merge (u, v) -> uv, in order, which does three things:
+the state after u loses its arc v; the state after uv is added, with the arcs that the
+state after v has at that moment; and every state with an arc u gets an arc uv. What
+remains accepts exactly the sequences that the merges produce, one for each word.
+
+With 49,000 tokens there would be some two thousand million arcs, nearly all of them
+copies. So a gadget writes down what it changes: the arc that is lost and its merge,
+the state that a new state is a copy of, the arc that a new arc goes with, and when. From
+these the arcs of the transition table are filled in as words ask for them: an arc
+is missing if it, or one that it was copied from, was lost before it was copied.
+
+A word is encoded from left to right. At each position stands at most one state;
+a tree of the tokens' bytes tells which tokens begin there, and the table which of them
+the state has arcs for, each of which puts its state where it ends. Decoding emits the labels of the
+arcs.
+
+Normal form, pre-splitting, special tokens and decoder are those of the vocabulary's file; a
+component that isn't known here is an error. Pieces between white space don't touch each
+other, so a worker remembers those it has seen.
 
 Defined results: null text is empty, and an empty text has no tokens; texts are
 encoded whole; rows are independent, so ties and repeats need nothing; other columns
@@ -44,8 +48,8 @@ WORD_END = "</w>"
 #: A worker remembers so many pieces, and so many of the words that they are split into.
 PIECE_CACHE = 200_000
 WORD_CACHE = 300_000
-#: And whether so many arcs are there.
-KNOWN_PAIRS = 300_000
+#: And so many entries of the transition table, besides those that gadgets wrote.
+KNOWN_ARCS = 500_000
 NEVER = 1 << 60
 
 #: Fixed values. The vocabulary's library tells letters and digits by Unicode 16, later ones are marks to it; and
@@ -65,7 +69,6 @@ _CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c
 #: By character, so a final sigma is lower-cased as any other.
 _LOWER = {0x3A3: 0x3C3} | _CAPITALS
 
-_SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|[\p{{N}}--[{_LATER}]]|(?:[^\s\p{{L}}\p{{N}}]|[{_LATER}])+", regex.V1)
 _SPACE = regex.compile(r"\s+")
 
 
@@ -77,112 +80,165 @@ def _byte_chars() -> list[str]:
 
 
 class MergeAutomaton:
-    def __init__(self, merges: list[tuple[str, str]], vocabulary: dict[str, int]):
+    """States are numbered by their tokens; START, before any token, has all arcs."""
+
+    START = -1
+
+    def __init__(self, merges: list[tuple[str, str]], vocabulary: dict[str, int], end: str = WORD_END):
         self.labels: dict[int, str] = {i: s for s, i in vocabulary.items()}
-        self.halves: dict[int, tuple[int, int, int]] = {}
-        self.lost: dict[int, int] = {}
-        self.dead: set[int] = set()
-        self._known: dict[int, int] = {}
-        for rank, (left, right) in enumerate(merges):
-            self._gadget(rank, vocabulary[left], vocabulary[right], vocabulary[left + right])
-        #: The reversed labels as a tree: node << 9 | byte -> node, with 256 for the end of a word; and node -> (token, bytes).
+        #: (state, arc) -> the merge whose gadget took it.
+        self.lost: dict[tuple[int, int], int] = {}
+        #: state -> the states whose arcs it has by copying, itself first, each with the merge before which they were copied.
+        self.copied: dict[int, list[tuple[int, int]]] = {}
+        #: arc -> the arcs that it goes with, itself first, each with the last merge that counts.
+        self.goes_with: dict[int, list[tuple[int, int]]] = {}
+        #: The transition table: state << 20 | arc -> is it there?
+        self.table: dict[int, bool] = {}
+        made = {left + right for left, right in merges}
+        for label, token in vocabulary.items():
+            if label not in made:
+                self.copied[token], self.goes_with[token] = [(token, NEVER)], [(token, NEVER)]
+        for merge, (left, right) in enumerate(merges):
+            self._gadget(merge, vocabulary[left], vocabulary[right], vocabulary[left + right])
+        #: The tokens' bytes as a tree: node << 9 | byte -> node, with 256 for the end of a word; and node -> token.
         self.next: dict[int, int] = {}
-        self.token: dict[int, tuple[int, int]] = {}
+        self.token: dict[int, int] = {}
         chars = {c: b for b, c in enumerate(_byte_chars())}
-        for token, label in self.labels.items():
-            if token not in self.dead:
-                self._index(token, label, chars)
-
-    def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
-        """The state after u loses arc v at this merge; uv, which starts as v is now, may follow whatever u may follow.
-
-        When v can't follow u by now, the merge makes nothing.
-        """
-        if u in self.dead or v in self.dead or self.removed_at(u, v) != NEVER:
-            self.dead.add(uv)
+        for token in self.copied:
+            label = self.labels[token]
+            node = 0
+            for step in [chars[c] for c in label.removesuffix(end)] + [256] * label.endswith(end):
+                node = self.next.setdefault(node << 9 | step, len(self.next) + 1)
+            self.token[node] = token
+
+    def _gadget(self, merge: int, u: int, v: int, uv: int) -> None:
+        """One merge; where the state after u has no arc v, there is nothing to merge and no state is added."""
+        if u not in self.copied or v not in self.copied or not self._filled(u, v):
             return
-        self.lost[u << 20 | v] = self._known[u << 20 | v] = rank
-        self.halves[uv] = (u, v, rank)
-
-    def _index(self, token: int, label: str, chars: dict[str, int]) -> None:
-        last = label.endswith(WORD_END)
-        body = label.removesuffix(WORD_END)
-        node = 0
-        for step in [256] * last + [chars[c] for c in reversed(body)]:
-            node = self.next.setdefault(node << 9 | step, len(self.next) + 1)
-        self.token[node] = (token, len(body))
-
-    def removed_at(self, x: int, w: int) -> int:
-        """The merge at which the state after x lost arc w or failed to get it; NEVER if it has it."""
-        key = x << 20 | w
-        known = self._known.get(key)
-        if known is not None:
-            return known
-        at = self.lost.get(key, NEVER)
-        if x in self.halves:
-            _, last, rank = self.halves[x]
-            # what the state after x started as
-            if (was := self.removed_at(last, w)) < rank:
-                at = min(at, was)
-        if w in self.halves:
-            first, _, rank = self.halves[w]
-            # w follows what its left half could follow once the gadget had taken arcs: no x may follow x x with xx
-            if (was := self.removed_at(x, first)) <= rank:
-                at = min(at, was)
-        if len(self._known) < KNOWN_PAIRS:
-            self._known[key] = at
-        return at
+        self.lost[u, v] = merge
+        self.table[u << 20 | v] = False
+        self.copied[uv] = [(uv, NEVER), *((state, min(merge, until)) for state, until in self.copied[v])]
+        self.goes_with[uv] = [(uv, NEVER), *((arc, min(merge, until)) for arc, until in self.goes_with[u])]
+
+    def _filled(self, state: int, arc: int) -> bool:
+        """Has the state the arc, by all merges so far?"""
+        for of, before in self.copied[state]:
+            for with_, until in self.goes_with[arc]:
+                taken = self.lost.get((of, with_))
+                # a state is copied before its merge takes arcs, an arc goes with one that its merge has left: no x follows xx by xx
+                if taken is not None and taken < before and taken <= until:
+                    return False
+        return True
+
+    def has(self, state: int, arc: int) -> bool:
+        """Has the state the arc? The table remembers."""
+        key = state << 20 | arc
+        there = self.table.get(key)
+        if there is None:
+            there = self._filled(state, arc)
+            if len(self.table) < KNOWN_ARCS:
+                self.table[key] = there
+        return there
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one pre-split word."""
-        n, step, token, known = len(word), self.next.get, self.token.get, self._known.get
-        # of the one token that ends at each position, 0 where none does: id + 1 and length
-        last, sizes = [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            node = step(256) if end == n else 0
-            at = end
-            while at:
-                at -= 1
-                node = step(node << 9 | word[at])
+        n, step, token, table = len(word), self.next.get, self.token.get, self.table.get
+        # the state at each position, and where its token began
+        state: list[int | None] = [None] * (n + 1)
+        began = [0] * (n + 1)
+        state[0] = self.START
+        for at in range(n):
+            here = state[at]
+            if here is None:
+                continue
+            node = 0
+            for end in range(at + 1, n + 1):
+                node = step(node << 9 | word[end - 1])
                 if node is None:
                     break
-                got = token(node)
-                if got is None:
+                last = step(node << 9 | 256) if end == n else node
+                arc = token(last) if last is not None else None
+                if arc is None or state[end] is not None:
                     continue
                 if at:
-                    if not last[at]:
-                        continue
-                    gone = known((last[at] - 1) << 20 | got[0])
-                    if (self.removed_at(last[at] - 1, got[0]) if gone is None else gone) != NEVER:
+                    there = table(here << 20 | arc)
+                    if there is False or (there is None and not self.has(here, arc)):
                         continue
-                last[end], sizes[end] = got[0] + 1, end - at
-                break
+                state[end], began[end] = arc, at
         out, at = [], n
         while at:
-            out.append(last[at] - 1)
-            at -= sizes[at]
+            out.append(state[at])
+            at = began[at]
         return out[::-1]
 
-    def decode(self, ids) -> str:
-        return " ".join(map(self.labels.__getitem__, ids))
+
+def _normaliser(spec: dict | None):
+    """A function of text without white space, as the file's normalizer declares it."""
+    if spec is None:
+        return lambda text: text
+    kind = spec["type"]
+    if kind == "Sequence":
+        steps = [_normaliser(s) for s in spec["normalizers"]]
+
+        def all_of(text: str) -> str:
+            for step in steps:
+                text = step(text)
+            return text
+
+        return all_of
+    if kind in ("NFC", "NFD", "NFKC", "NFKD"):
+        return lambda text: unicodedata.normalize(kind, text)
+    if kind == "Lowercase":
+        return lambda text: text.lower() if text.isascii() else text.translate(_LOWER).lower()
+    if kind == "Replace":
+        pattern, new = _pattern(spec["pattern"]), spec["content"]
+        if pattern.pattern == r"\s+" and not new.strip():
+            # white space is where pieces end
+            return lambda text: text
+        return lambda text: pattern.sub(lambda _: new, text)
+    raise NotImplementedError(f"normalizer {kind}")
+
+
+def _pattern(spec: dict) -> regex.Pattern:
+    """A declared pattern, whose letters and numbers are those of the library's Unicode tables."""
+    text = spec["Regex"] if "Regex" in spec else regex.escape(spec["String"])
+    for c in "LN":
+        text = text.replace(rf"\p{{{c}}}", rf"[\p{{{c}}}--[{_LATER}]]")
+    return regex.compile(text, regex.V1)
+
+
+def _splitter(spec: dict) -> regex.Pattern:
+    """What the pre-tokenizer keeps: matches of its pattern, as bytes; all else goes."""
+    first, *rest = spec["pretokenizers"] if spec["type"] == "Sequence" else [spec]
+    if first["type"] != "Split" or first["behavior"] != "Removed" or not first["invert"] or [(r["type"], r["use_regex"], r["add_prefix_space"]) for r in rest] != [("ByteLevel", False, False)]:
+        raise NotImplementedError(f"pre-tokenizer {spec}")
+    pattern = _pattern(first["pattern"])
+    if pattern.search(" \t\r\n\x85\u2003"):
+        raise NotImplementedError("words with white space in them")
+    return pattern
 
 
 class WordTokenizer:
     def __init__(self, spec: dict):
-        vocabulary = dict(spec["model"]["vocab"])
-        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
-        self.automaton = MergeAutomaton(merges, vocabulary)
+        model = spec["model"]
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise NotImplementedError("a model with options that aren't known here")
+        if spec["decoder"] is not None or spec["post_processor"] is not None:
+            raise NotImplementedError("a decoder or post-processor")
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise NotImplementedError("added tokens with options")
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.automaton = MergeAutomaton(merges, dict(model["vocab"]), model["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.automaton.labels.update({i: s for s, i in self.special.items()})
+        self.labels = self.automaton.labels | {i: s for s, i in self.special.items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._normal, self._words = _normaliser(spec["normalizer"]), _splitter(spec["pre_tokenizer"])
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        text = unicodedata.normalize("NFC", piece)
-        text = text.lower() if text.isascii() else text.translate(_LOWER).lower()
         out = b""
-        for word in _SPLIT.findall(text):
+        for word in self._words.findall(self._normal(piece)):
             ids = self.words.get(word)
             if ids is None:
                 ids = array("I", self.automaton.encode(word.encode("utf-8"))).tobytes()
@@ -195,10 +251,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self._special and "<|" in text:
-            parts = self._special.split(text)
-        else:
-            parts = [text]
+        parts = self._special.split(text) if any(s in text for s in self.special) else [text]
         out = []
         for k, part in enumerate(parts):
             if k % 2:
@@ -211,7 +264,8 @@ class WordTokenizer:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        return self.automaton.decode(memoryview(ids).cast("I"))
+        """The labels of the arcs; without a decoder in the file, they are set apart by blanks."""
+        return " ".join(map(self.labels.__getitem__, memoryview(ids).cast("I")))
 
 
 #: White space for str.split() and not for the vocabulary's pattern.
