@@ -2,23 +2,24 @@
 
 First the entities: e-mail and IP addresses, card and phone numbers, by pattern
 and check digits, leftmost and non-overlapping for each kind. Then the method:
-terms that stand near an entity are weighed by how much they disclose of it. With
-document counts N, n(e), n(t) and n(t, e),
+terms of a document that holds an entity are weighed by how much they disclose of it. With
+counts N, n(e), n(t) and n(t, e) of documents, all of whole texts and of rows,
 
     PMI(t, e) = log(N n(t, e) / (n(t) n(e))),    IC(e) = log(N / n(e)),
 
 and PMI / IC, at most 1, is the share of the entity's information that the term
 gives away: 1 when every document with the term has the entity. A term at or over
-DISCLOSE is generalised where it stands near that entity, one at or over REMOVE is
-removed. It needs two different texts as evidence, as in a single one any rare
+DISCLOSE is generalised wherever it stands in a document with that entity, one at or over
+REMOVE is removed. It needs two different texts as evidence, as in a single one any rare
 word would seem to reveal it. Documents without an entity are left alone.
 
-All of it is DataFrame expressions. Matches become rows, of which a running sum
-of lengths gives the offsets; only documents with a match are ever shuffled, and
-of the corpus only counts of terms, summed before the shuffle.
+All of it is DataFrame expressions. Documents with an entity are written once; their
+terms are paired with those of their entities that other texts hold too, and summed before
+the shuffle. Matches and words become rows, of which a running sum of lengths gives the
+offsets. Of the rest of the corpus only counts of terms are shuffled.
 
 Defined results: null text is empty and gives the digest of an empty string;
-offsets count code points; rows that share doc_id and text share one result; other
+offsets count code points; rows that share doc_id and text share one result, but count each; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -40,14 +41,12 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: A cheap test that a text with a match of the kind passes.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CONTEXT = 160
 MIN_TERM = 4
 TERM = r"\p{L}{%d,}" % MIN_TERM
 DISCLOSE = 0.9
 REMOVE = 0.97
-MIN_DOCS = 2
-#: Up to so many terms a copy of them goes to each executor; beyond, terms are counted first and joined then.
-FEW_TERMS = 20_000
+#: Up to so many terms, or keys of entities, a copy of them goes to each executor; beyond, terms are counted first and joined then.
+FEW_TERMS = 100_000
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -69,112 +68,98 @@ def _hinted(kind: str) -> Column:
     return F.contains("text", F.lit(hint)) & F.col("text").rlike("[0-9]" if kind != "email" else "@[A-Za-z0-9-]")
 
 
-def _steps(order: int, kind: str) -> Column:
-    """The matches of a kind, each with what lies before and after it."""
-    zipped = F.arrays_zip(F.col(f"m_{kind}").alias("value"), F.slice(f"g_{kind}", 1, F.size(f"m_{kind}")).alias("gap"), F.slice(f"g_{kind}", 2, F.size(f"m_{kind}")).alias("next"))
+def _matches(kind: str) -> Column:
+    return F.when(_hinted(kind), F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def holders(documents: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text), text, m_<kind> (matches, valid or not), es (kind and value of each valid entity, once): rows with an entity."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    found = docs.select("*", *(_matches(k).alias(f"m_{k}") for k in KINDS)).where(" or ".join(f"size(m_{k}) > 0" for k in KINDS))
+    sound = lambda o, k: F.transform(F.filter(f"m_{k}", lambda v: _valid(F.lit(k), v)), lambda v: F.concat(F.lit(f"{o}:"), F.lower(v)))
+    return found.withColumn("es", F.array_distinct(F.concat(*(sound(o, k) for o, k in enumerate(KINDS))))).where("size(es) > 0")
+
 
-    def step(z: Column, i: Column) -> Column:
-        return F.struct(
-            F.lit(order).alias("k"),
-            i.alias("i"),
-            F.length(z["gap"]).alias("skip"),
-            z["value"].alias("value"),
-            F.right(z["gap"], F.lit(CONTEXT + 1)).alias("before"),
-            F.left(z["next"], F.lit(CONTEXT + 1)).alias("after"),
-        )
+def _steps(order: int, kind: str) -> Column:
+    """The matches of a kind, each with the length of what lies before it."""
+    zipped = F.arrays_zip(F.col(f"m_{kind}").alias("value"), F.slice(f"g_{kind}", 1, F.size(f"m_{kind}")).alias("gap"))
+    return F.transform(zipped, lambda z, i: F.struct(F.lit(order).alias("k"), i.alias("i"), F.length(z["gap"]).alias("skip"), z["value"].alias("value")))
 
-    return F.transform(zipped, step)
 
+def _placed(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows (keys, i, skip, value) with start and end: the i-th value of its keys stands skip behind the one before."""
+    so_far = Window.partitionBy(*keys).orderBy("i")
+    end = F.sum(F.col("skip") + F.length("value")).over(so_far).cast("long")
+    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
 
-def entity_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text), start, end, k (place in KINDS), value, before, after: every entity that is valid.
 
-    before and after are up to CONTEXT + 1 code points around it, at most to the neighbouring matches of its kind.
-    """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+def entity_spans(held: DataFrame) -> DataFrame:
+    """doc_id, t, start, end, k (place in KINDS), value: every entity that is valid, of holders()."""
     empty = F.array().cast("array<string>")
-    matched = docs.select(
-        "doc_id",
-        "t",
-        *(F.when(_hinted(k), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(empty).alias(f"m_{k}") for k, p in PATTERNS.items()),
-        "text",
-    ).where(" or ".join(f"size(m_{k}) > 0" for k in KINDS))
-    # the text between matches, from which offsets and contexts follow
-    gaps = matched.select("doc_id", "t", *(f"m_{k}" for k in KINDS), *(F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).otherwise(empty).alias(f"g_{k}") for k, p in PATTERNS.items()))
+    # the text between matches, from which offsets follow
+    gaps = held.select("doc_id", "t", *(f"m_{k}" for k in KINDS), *(F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).otherwise(empty).alias(f"g_{k}") for k, p in PATTERNS.items()))
     each = F.flatten(F.array(*(_steps(o, k) for o, k in enumerate(KINDS))))
     rows = gaps.select("doc_id", "t", F.explode(each).alias("x")).select("doc_id", "t", "x.*").distinct()
-    so_far = Window.partitionBy("doc_id", "t", "k").orderBy("i")
-    end = F.sum(F.col("skip") + F.length("value")).over(so_far).cast("long")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1)
-    return (
-        rows.withColumn("end", end)
-        .withColumn("start", F.col("end") - F.length("value"))
-        .where(_valid(kind, F.col("value")))
-        .select("doc_id", "t", "start", "end", "k", "value", "before", "after")
-    )
+    return _placed(rows, "doc_id", "t", "k").where(_valid(kind, F.col("value"))).select("doc_id", "t", "start", "end", "k", "value")
 
 
-def _near_terms(entities: DataFrame) -> DataFrame:
-    """doc_id, t, e, term, start, end: whole words in the context of an entity, with the entity."""
-    sides = (("before", r"(?<=\P{L})" + TERM + r"(?!\p{L})", F.col("start") - F.length("before")), ("after", r"(?<!\p{L})" + TERM + r"(?=\P{L})", F.col("end")))
-    parts = []
-    for side, pattern, origin in sides:
-        zipped = F.arrays_zip(F.split(side, pattern, -1).alias("gap"), F.regexp_extract_all(side, F.lit(pattern), F.lit(0)).alias("word"))
-        steps = F.transform(zipped, lambda z: F.struct(F.length(z["gap"]).alias("skip"), z["word"].alias("word")))
-        # a context is short, so the running sum over its words may be quadratic in them
-        placed = F.transform(
-            "steps",
-            lambda z, i: F.struct(
-                z["word"].alias("word"),
-                F.aggregate(F.slice(F.col("steps"), 1, i + 1), F.lit(0), lambda acc, y: acc + y["skip"] + F.coalesce(F.length(y["word"]), F.lit(0))).alias("to"),
-            ),
-        )
-        parts.append(
-            entities.select("doc_id", "t", "e", origin.alias("origin"), steps.alias("steps"))
-            .select("doc_id", "t", "e", "origin", F.explode(placed).alias("x"))
-            .where("x.word is not null")
-            .select(
-                "doc_id",
-                "t",
-                "e",
-                F.lower("x.word").alias("term"),
-                (F.col("origin") + F.col("x.to") - F.length("x.word")).alias("start"),
-                (F.col("origin") + F.col("x.to")).alias("end"),
-            )
-        )
-    return parts[0].unionByName(parts[1])
-
-
-def disclosing_terms(documents: DataFrame, near: DataFrame, entities: DataFrame) -> DataFrame:
-    """e, term, share: terms that give away at least DISCLOSE of an entity."""
-    pairs = near.select("doc_id", "t", "e", "term").distinct().groupBy("e", "term").agg(
-        F.count(F.lit(1)).alias("n_te"), F.min("t").alias("lo"), F.max("t").alias("hi")
-    )
-    pairs = settle(pairs.where(f"n_te >= {MIN_DOCS} and lo < hi").select("e", "term", "n_te"), "pairs")
-    terms = settle(pairs.select("term").distinct(), "terms")
-    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{%d,}" % MIN_TERM), F.lit(0)))).alias("term"))
-    if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
-        df = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+def _few(keys: DataFrame) -> bool:
+    return keys.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+
+
+def disclosing_terms(documents: DataFrame, held: DataFrame) -> DataFrame:
+    """e, term, share: terms that give away at least DISCLOSE of an entity; held is holders(documents)."""
+    entities = held.select("t", F.explode("es").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    entities = settle(entities.where("lo < hi").select("e", "n_e"), "shared-entities")
+    each = held.select("t", "text", F.explode("es").alias("e"))
+    if not _few(entities):
+        # rows meet their entities without their texts first, and only those that share one take their text along
+        mine = held.select("doc_id", "t", F.explode("es").alias("e")).join(entities.select("e"), "e").select("doc_id", "t", "e").distinct()
+        rows = held.select(F.col("doc_id").alias("d"), F.col("t").alias("of"), "text")
+        each = rows.join(mine, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("t"))).select("t", "text", "e")
+    else:
+        each = each.join(F.broadcast(entities.select("e")), "e", "left_semi")
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    pairs = each.select("t", "e", F.explode(terms).alias("term")).groupBy("e", "term").agg(F.count(F.lit(1)).alias("n_te"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    pairs = settle(pairs.where("lo < hi").select("e", "term", "n_te"), "pairs")
+    wanted = settle(pairs.select("term").distinct(), "terms")
+    words = documents.select(F.explode(terms).alias("term"))
+    if _few(wanted):
+        n_t = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     else:
-        df = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term", "left_semi")
-    n_e = entities.select("doc_id", "t", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+        n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi")
     n = documents.count()
     pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
     # an entity in every document has no information that a term could give away
-    shared = pairs.join(df, "term").join(n_e, "e").withColumn("share", F.when(F.col("n_e") < n, pmi / ic))
+    shared = pairs.join(n_t, "term").join(entities, "e").withColumn("share", F.when(F.col("n_e") < n, pmi / ic))
     return shared.where(F.col("share") >= DISCLOSE).select("e", "term", "share")
 
 
+def _term_spans(held: DataFrame, telling: DataFrame) -> DataFrame:
+    """doc_id, t, start, end, share: every place of a telling term in a document with the entity it tells of."""
+    of = held.select("doc_id", "t", F.explode("es").alias("e")).distinct().join(telling, "e").groupBy("doc_id", "t", "term").agg(F.max("share").alias("share"))
+    of = settle(of, "told")
+    texts = of.groupBy("doc_id", "t").agg(F.collect_set("term").alias("terms"))
+    rows = held.select(F.col("doc_id").alias("d"), F.col("t").alias("of"), "text")
+    here = rows.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("t"))).select("doc_id", "t", "terms", "text")
+    # the pattern of whole words: what is lower-cased is compared, what is placed is the word as it stands
+    zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("value"), F.split("text", TERM, -1).alias("gap"))
+    words = here.select("doc_id", "t", F.posexplode(zipped).alias("i", "x")).where("x.value is not null").select("doc_id", "t", "i", F.length("x.gap").alias("skip"), "x.value").distinct()
+    placed = _placed(words, "doc_id", "t").select(F.col("doc_id").alias("d"), F.col("t").alias("of"), "start", "end", F.lower("value").alias("word"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("t")) & (F.col("word") == F.col("term"))
+    return placed.join(of, same).select("doc_id", "t", "start", "end", "share")
+
+
 def spans(documents: DataFrame) -> DataFrame:
     """doc_id, t, start, end, k, kind, share: entities, and the terms that disclose them (k = number of kinds)."""
-    found = settle(entity_spans(documents).withColumn("e", F.concat_ws(":", F.col("k").cast("string"), F.lower("value"))), "entities")
-    near = settle(_near_terms(found).distinct(), "near")
-    telling = settle(disclosing_terms(documents, near, found), "disclosing")
-    terms = near.join(telling, ["e", "term"]).groupBy("doc_id", "t", "start", "end").agg(F.max("share").alias("share"))
+    held = settle(holders(documents), "holders")
+    found = settle(entity_spans(held), "entities")
+    telling = settle(disclosing_terms(documents, held), "disclosing")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1)
     base = found.select("doc_id", "t", "start", "end", "k", kind.alias("kind"), F.lit(1.0).alias("share"))
-    inside = terms.alias("x").join(
+    inside = _term_spans(held, telling).alias("x").join(
         found.select("doc_id", "t", F.col("start").alias("s"), F.col("end").alias("n")).alias("y"),
         F.expr("x.doc_id <=> y.doc_id and x.t = y.t and x.start < y.n and y.s < x.end"),
         "left_anti",
