@@ -9,10 +9,15 @@ documents further on that fit. Each pass ends at a cut in the order, so whether
 document is in follows from its own (key, doc_id) and size and the few cuts of its
 source, and no text is ever sorted or moved.
 
-The prefix sums are taken in two levels. Keys fall into SLICES equal parts of
-their distribution; sums by slice find the slice that holds the cut, and only
-that slice's rows are sorted. A source with a third of all rows is thus never
-sorted in one task.
+The prefix sums are taken in two levels. Keys fall into SLICES parts of the
+distribution of the lowest rate, LOWEST, so that a part holds at most a share of
+1 / (LOWEST * SLICES) of a source whatever the rates of its documents are; sums by
+slice find the slice that holds the cut, and only that slice's rows are sorted. A
+source with a third of all rows is thus never sorted in one task.
+
+The weight is a parameter: quality_weight() looks at the text alone, and the
+pipeline gives the score of the quality classifier. Size and key are worked out
+once for each document and written beside it.
 
 Targets: a total budget is shared by weight; a source's target stops at
 MAX_EPOCHS times its size, and what is over is shared again by weight, which is
@@ -20,7 +25,9 @@ the same as one level per unit of weight that all uncapped sources reach.
 
 Defined results: null text is empty; a null source is a source, the last; empty
 documents have size 0, and are taken whenever their key is before the cut; ties in
-key go by doc_id, and repeated rows are taken together; other columns are ignored.
+key go by doc_id, and repeated rows are taken together; a null weight, or one outside
+LOWEST to 1, is taken to the nearer end; other columns are ignored, and kept by mix()
+whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +40,9 @@ from .util import settle
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_EPOCHS = 2
-SLICES = 4096
+SLICES = 16384
+#: The least weight that a document may have.
+LOWEST = 0.1
 #: How often what is left of a target is filled from the documents that fit.
 PASSES = 3
 SEED = "mix"
@@ -56,10 +65,9 @@ def uniform(doc_id: str = "doc_id", seed: str = SEED) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
-def drawn(documents: DataFrame) -> DataFrame:
-    """documents with size, u and key added."""
-    out = documents.withColumn("size", size_of()).withColumn("u", uniform())
-    return out.withColumn("key", -F.log("u") / quality_weight())
+def drawn_key(weight: Column) -> Column:
+    """The document's exponential key, whose rate is its weight."""
+    return -F.log(uniform()) / F.greatest(F.least(F.coalesce(weight, F.lit(LOWEST)), F.lit(1.0)), F.lit(LOWEST))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MAX_EPOCHS) -> DataFrame:
@@ -75,9 +83,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
         .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0)))
         .withColumn("open", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
         .withColumn("level", (F.col("total") * budget - F.col("capped")) / F.col("open"))
+        .withColumn("turn", F.row_number().over(by_fill))
     )
-    # the level is right at the first source that it leaves uncapped
-    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct((F.col("cap") / F.col("w")).alias("f"), F.col("level").alias("level")))).over(everything)["level"]
+    # the level is right at the first source that it leaves uncapped; sources may fill at one level, so their turns tell them apart
+    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("turn", "level"))).over(everything)["level"]
     return filled.withColumn("share", level).select(
         "source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("share") * F.col("w"), F.col("cap").cast("double"))).alias("target")
     )
@@ -91,7 +100,7 @@ def _after(key: str, last: str, identity: str) -> Column:
 
 def _cut(rows: DataFrame, goal: DataFrame) -> DataFrame:
     """of, cut_key, cut_id, got: for each source in goal (of, rest) the last row, in order of (key, doc_id), up to which sizes sum to rest at most."""
-    part = F.least(F.floor((F.lit(1) - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1)).cast("int")
+    part = F.least(F.floor((F.lit(1) - F.exp(F.col("key") * -LOWEST)) * SLICES), F.lit(SLICES - 1)).cast("int")
     parts = rows.groupBy("source", part.alias("part")).agg(F.sum("size").alias("s"), F.max(F.struct("key", "doc_id")).alias("last"))
     up_to = Window.partitionBy("source").orderBy("part")
     summed = settle(parts.withColumn("past", F.sum("s").over(up_to) - F.col("s")), "parts")
@@ -156,18 +165,21 @@ def _with_cuts(rows: DataFrame, cut: DataFrame) -> DataFrame:
     return rows.join(side, F.col("source").eqNullSafe(F.col("_source")))
 
 
-def mix_plan(documents: DataFrame) -> DataFrame:
+def mix_plan(documents: DataFrame, weight: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken; one row for each row of documents."""
-    rows = drawn(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "size", "key")
+    key = drawn_key(quality_weight() if weight is None else weight)
+    rows = documents.withColumns({"doc_id": F.col("doc_id").cast("long"), "size": size_of(), "key": key}).select("doc_id", "source", "size", "key")
     rows = settle(rows, "drawn")
     return _with_cuts(rows, cuts(rows)).select(
         "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * times(F.col("size"))).alias("taken")
     )
 
 
-def mix(documents: DataFrame) -> DataFrame:
+def mix(documents: DataFrame, weight: Column | None = None) -> DataFrame:
     """The mixture itself: each document as often as it is taken, its columns as they were."""
-    slim = drawn(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "size", "key")
-    cut = cuts(settle(slim, "drawn"))
-    rows = _with_cuts(documents.withColumn("_drawn", -F.log(uniform()) / quality_weight()), cut)
-    return rows.withColumn("_n", times(size_of(), "_drawn").cast("int")).where("_n > 0").select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).drop("_k")
+    key = drawn_key(quality_weight() if weight is None else weight)
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    rows = settle(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), size_of().alias("size"), key.alias("key"), whole), "drawn")
+    cut = cuts(rows.select("doc_id", "source", "size", "key"))
+    taken = _with_cuts(rows, cut).withColumn("n", times(F.col("size")).cast("int")).where("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("row.*")
