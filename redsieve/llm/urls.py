@@ -1,17 +1,19 @@
 """URL filters: rules by host and path, then a list behind a blocked Bloom filter.
 
-A URL's canonical form drops scheme, port, leading "www.", query, fragment and
-trailing slashes. It is listed when one of its expressions is: its host or a
+The canonical form of a URL, and of an entry of the list, is its host without port and
+leading "www.", A-Z lower-cased, and its path without slashes at its ends, query and fragment; scheme is
+dropped, and an entry needs none. A URL is listed when one of its expressions is: its host or a
 domain above it, with its whole path or a leading part of it. Of these, those are made
 that have as many labels and folders as some entry of the list; no other can be listed. The expressions are
 tested against a blocked Bloom filter, each in one block of eight words. Only
 possible hits go to an exact join with the list, which removes false positives.
-The filter has a fixed size; a longer list makes it pass more, never fewer.
+The filter grows with the list up to MOST blocks; beyond, it passes more, never fewer.
 
 Defined results: null and no "://" give an empty host and path, which no rule and
 no list matches, so they are allowed; repeated rows are judged alike; ties between
-rules can't arise, as rules that fit one URL differ in length; other columns are
-ignored; an empty table or list gives an empty result or no hits.
+rules can't arise, as rules that fit one URL differ in length; null entries and such without
+a host list nothing; other columns are ignored; an empty table or list gives an empty
+result or no hits.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import settle
+
 #: verdict, host, path
 RULES = (
     ("allow", "org", "/"),
@@ -31,8 +35,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Blocks of eight 32-bit words; 2 MB in all, whatever the list's length.
-BLOCKS = 1 << 16
+#: Entries for each block of eight 32-bit words; and how many blocks there are at least, and at most (32 MB).
+PER_BLOCK = 8
+FEWEST, MOST = 1 << 10, 1 << 20
 LANES = 8
 _SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint32)
 
@@ -61,17 +66,29 @@ def _clean_host(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, ":[0-9]*$", ""), r"^www\.", "")
 
 
-def canonical(host: str = "host", path: str = "path") -> Column:
-    """host/path without what doesn't tell pages apart; null for no host."""
-    whole = F.concat(_clean_host(F.col(host)), F.regexp_replace(F.col(path), "/+$", ""), F.lit("/"))
-    return F.when(F.col(host) != "", whole)
+def _folders(path: Column) -> Column:
+    """The parts of a path; none for a path of slashes."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, "/+$", ""), "^/+", ""), "/")
+    return F.when(parts[0] == "", F.array().cast("array<string>")).when(F.size(parts) > 0, parts)
+
+
+def _joined(labels: Column, folders: Column) -> Column:
+    return F.concat(F.array_join(labels, "."), F.lit("/"), F.array_join(F.concat(folders, F.array(F.lit(""))), "/"))
+
+
+def entries(listed: DataFrame) -> DataFrame:
+    """entry: the canonical forms of listed (column entry), each once."""
+    whole = listed.select(F.when(F.contains("entry", F.lit("://")), F.col("entry")).otherwise(F.concat(F.lit("://"), F.col("entry"))).alias("u"))
+    parts = whole.select(host_of("u").alias("host"), path_of("u").alias("path")).select(_clean_host(F.col("host")).alias("host"), _folders(F.col("path")).alias("folders"))
+    # a host alone has no folders, and its path is empty
+    return parts.where("host != ''").select(_joined(F.split("host", r"\."), F.col("folders")).alias("entry")).distinct()
 
 
 def depths(listed: DataFrame) -> list[tuple[int, int]]:
-    """The numbers of host labels and of folders that entries have; entries without a final slash match nothing."""
+    """The numbers of host labels and of folders that canonical entries have."""
     host = F.substring_index("entry", "/", 1)
     count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x)))
-    pairs = listed.where(F.endswith("entry", F.lit("/"))).select((count(host, ".") + 1).alias("labels"), (count(F.col("entry"), "/") - 1).alias("folders"))
+    pairs = listed.select((count(host, ".") + 1).alias("labels"), (count(F.col("entry"), "/") - 1).alias("folders"))
     return sorted((r["labels"], r["folders"]) for r in pairs.distinct().toLocalIterator())
 
 
@@ -80,48 +97,46 @@ def expressions(of: list[tuple[int, int]], host: str = "host", path: str = "path
     none = F.array().cast("array<string>")
     if not of:
         return none
-    parts = F.split(_clean_host(F.col(host)), r"\.")
-    n = F.size(parts)
-    folders = F.split(F.regexp_replace(F.regexp_replace(F.col(path), "/+$", ""), "^/+", ""), "/")
-    depth = F.when(folders[0] == "", 0).otherwise(F.size(folders))
+    labels, folders = F.split(_clean_host(F.col(host)), r"\."), _folders(F.col(path))
+    n = F.size(labels)
     held = F.array(*(F.struct(F.lit(a).alias("labels"), F.lit(b).alias("folders")) for a, b in of))
     each = F.transform(
-        F.filter(held, lambda d: (d["labels"] <= n) & (d["folders"] <= depth)),
-        lambda d: F.concat(
-            F.array_join(F.slice(parts, n - d["labels"] + 1, d["labels"]), "."),
-            F.lit("/"),
-            F.array_join(F.concat(F.slice(folders, 1, d["folders"]), F.array(F.lit(""))), "/"),
-        ),
+        F.filter(held, lambda d: (d["labels"] <= n) & (d["folders"] <= F.size(folders))),
+        lambda d: _joined(F.slice(labels, n - d["labels"] + 1, d["labels"]), F.slice(folders, 1, d["folders"])),
     )
-    return F.when(F.col(host) != "", F.array_distinct(each)).otherwise(none)
+    return F.when(F.col(host) != "", each).otherwise(none)
 
 
-def _masks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Block, and a bit for each of its words."""
-    block = ((h >> np.uint64(32)) % np.uint64(BLOCKS)).astype(np.int64)
-    low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    bits = (low[:, None] * _SALTS[None, :]) >> np.uint32(27)
-    return block, np.uint32(1) << bits
+class BlockedBloom:
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
+    @classmethod
+    def of_size(cls, blocks: int) -> BlockedBloom:
+        return cls(np.zeros((blocks, LANES), np.uint32))
 
-class BlockedBloom:
-    def __init__(self):
-        self.words = np.zeros((BLOCKS, LANES), np.uint32)
+    def _masks(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Block, and a bit for each of its words."""
+        block = ((h >> np.uint64(32)) % np.uint64(len(self.words))).astype(np.int64)
+        low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        bits = (low[:, None] * _SALTS[None, :]) >> np.uint32(27)
+        return block, np.uint32(1) << bits
 
     def add(self, h: np.ndarray) -> None:
-        block, mask = _masks(h)
+        block, mask = self._masks(h)
         np.bitwise_or.at(self.words, block, mask)
 
     def may_hold(self, h: np.ndarray) -> np.ndarray:
-        block, mask = _masks(h)
+        block, mask = self._masks(h)
         return ((self.words[block] & mask) == mask).all(axis=1)
 
 
 def build(listed: DataFrame) -> BlockedBloom:
-    """The filter of listed (column entry); each task sends at most one row for each block."""
+    """The filter of canonical entries; each task sends at most one row for each block."""
+    blocks = min(max(FEWEST, 1 << (listed.count() // PER_BLOCK).bit_length()), MOST)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = BlockedBloom()
+        own = BlockedBloom.of_size(blocks)
         for batch in batches:
             own.add(batch["h"].to_numpy(np.int64).view(np.uint64))
         used = np.flatnonzero(own.words.any(axis=1))
@@ -130,26 +145,24 @@ def build(listed: DataFrame) -> BlockedBloom:
 
     parts = listed.select(F.xxhash64("entry").alias("h")).mapInPandas(run, "block long, " + ", ".join(f"w{i} long" for i in range(LANES)))
     rows = parts.groupBy("block").agg(*(F.expr(f"bit_or(w{i})").alias(f"w{i}") for i in range(LANES)))
-    out = BlockedBloom()
+    out = BlockedBloom.of_size(blocks)
     for row in rows.toLocalIterator():
         out.words[row["block"]] = [row[f"w{i}"] for i in range(LANES)]
     return out
 
 
 def listed_hits(pages: DataFrame, listed: DataFrame) -> DataFrame:
-    """page_id and url of pages of which an expression is listed; pages has page_id, url, host, path."""
-    spark = pages.sparkSession
-    words = spark.sparkContext.broadcast(build(listed).words)
+    """url of pages of which an expression is listed; pages has url, host, path."""
+    held = settle(entries(listed), "listed")
+    words = pages.sparkSession.sparkContext.broadcast(build(held).words)
 
     @F.pandas_udf("boolean")
     def possible(h: pd.Series) -> pd.Series:
-        bloom = BlockedBloom.__new__(BlockedBloom)
-        bloom.words = words.value
-        return pd.Series(bloom.may_hold(h.to_numpy(np.int64).view(np.uint64)))
+        return pd.Series(BlockedBloom(words.value).may_hold(h.to_numpy(np.int64).view(np.uint64)))
 
-    each = pages.select("url", F.explode(expressions(depths(listed))).alias("entry")).distinct()
-    maybe = each.where(possible(F.xxhash64("entry")))
-    return maybe.join(listed.select("entry").distinct(), "entry", "left_semi").select("url").distinct()
+    each = pages.select("url", F.explode(expressions(depths(held))).alias("entry"))
+    maybe = each.where(possible(F.xxhash64("entry"))).distinct()
+    return maybe.join(held, "entry", "left_semi").select("url").distinct()
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
