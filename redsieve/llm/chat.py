@@ -8,7 +8,11 @@ read back: every escape character, and the first character of each of the
 template's control strings, gets an escape character before it, and a character
 that stands within a control string is kept apart from the next one.
 
-Turns are sorted on disk and streamed, so one conversation may be of any length.
+What is read back comes from the emitted text alone: turns are found by their marks,
+roles and texts by undoing the escapes; only the loss mask is taken from the segments.
+
+Turns are sorted on disk and streamed, so one conversation may be of any length. Its turns
+are read in one task, as the digest over them is one chain.
 
 Defined results: null text and null role are empty; a null turn comes first, ties
 in turn go by role, then text; repeated rows are turns of their own; rows with a
@@ -63,9 +67,25 @@ class Template:
     def opening(self, role: str) -> str:
         return self.open.replace("{role}", self.escaped(role).replace(":", ESCAPE + ":"))
 
-    def role_of(self, opening: str) -> str:
+    def _first(self, mark: str, text: str) -> int:
+        """Where a mark begins that is not escaped, or -1."""
+        for m in re.finditer(rf"\\.|{re.escape(mark)}", text, re.DOTALL):
+            if m[0] == mark:
+                return m.start()
+        return -1
+
+    def turn_of(self, emitted: str) -> tuple[str, str, str] | None:
+        """Role, text and what is left behind the first whole turn of what was emitted; None if its closing mark isn't there yet."""
         before, after = self.open.split("{role}")
-        return self.unescaped(opening[len(before) : len(opening) - len(after)])
+        end = self._first(self.close, emitted)
+        if end < 0:
+            return None
+        body = emitted[:end]
+        at = self._first(after, body[len(before) :])
+        if not body.startswith(before) or at < 0:
+            raise ValueError("a turn without its opening mark")
+        at += len(before)
+        return self.unescaped(body[len(before) : at]), self.unescaped(body[at + len(after) :]), emitted[end + len(self.close) :]
 
 
 #: Ids are text on their way through Python.
@@ -119,22 +139,24 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = chars = loss_chars = 0
-        turns, loss = hashlib.sha256(), hashlib.sha256()
+        turns, loss, left = hashlib.sha256(), hashlib.sha256(), ""
         for batch in batches:
             out = []
-            for c, _, seq, part, text, flag, valid in batch.itertuples(index=False, name=None):
+            for c, _, seq, _, text, flag, valid in batch.itertuples(index=False, name=None):
                 chars += len(text)
-                if part == "open":
-                    n += 1
-                    turns.update(template.role_of(text).encode("utf-8", "surrogatepass") + b"\n")
-                elif part == "text":
+                left += text
+                if flag:
                     plain = template.unescaped(text)
-                    data = plain.encode("utf-8", "surrogatepass")
-                    turns.update(data + b"\n")
-                    if flag:
-                        loss_chars += len(plain)
-                        loss.update(data)
-                elif seq == -1:
+                    loss_chars += len(plain)
+                    loss.update(plain.encode("utf-8", "surrogatepass"))
+                # text is added piece by piece, so whole turns are looked for only where a closing mark may have ended
+                while left and text.endswith(template.close[-1]) and (turn := template.turn_of(left)):
+                    role, said, left = turn
+                    n += 1
+                    turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                if seq == -1:
+                    if left:
+                        raise ValueError("a turn without its closing mark")
                     out.append((c, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, valid))
                     n = chars = loss_chars = 0
                     turns, loss = hashlib.sha256(), hashlib.sha256()
