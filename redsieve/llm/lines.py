@@ -5,7 +5,9 @@ segments, at least one segment at nearly the same place. So every distinct line
 puts its segments into an index keyed by (line length, segment number, segment),
 and probes the indexes of its own and of slightly smaller lengths with the
 substrings that the multi-match-aware bounds leave. Keys at which no two lines meet
-are dropped by counts before anything is paired; two lines at a key are a pair only
+are dropped by counts before anything is paired, and keys at which very many meet, as
+those of templated lines do, are made finer by a second segment of what is left of the
+line, which is exact (see _narrowed). Two lines at a key are a pair only
 if sketches of their characters are as near as THRESHOLD edits leave them, which no
 similar pair fails. Pairs are verified by a bit-parallel automaton over the band of
 2 * THRESHOLD + 1 diagonals. Linked lines
@@ -37,6 +39,9 @@ MIN_CHARS = 24
 FEW_IDS = 250_000
 #: And so many rows of about 100 bytes.
 FEW_ROWS = 50_000
+#: A key with more index rows than this is made finer, so many times at most.
+HOT = 64
+DEPTH = 3
 
 
 def _segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -51,28 +56,32 @@ def _segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), F.substring(line, start + 1, size))
+def _slots(n: Column, tau: int) -> list[tuple[bool, int, Column, Column, Column]]:
+    """(own, segment number, length of the line that is looked for, start from 0, size) of all keys of a line of n code points.
+
+    The first tau + 1 are its segments, its own keys in the index. Under the others, lines at most as long, within tau edits, may be
+    found; some of these places leave the line.
+    """
+    out = [(True, i, n, start, size) for i, (start, size) in enumerate(_segments(n, tau))]
+    for delta in range(tau + 1):
+        for i, (start, size) in enumerate(_segments(n - delta, tau)):
+            lo, hi = max(-i, delta - (tau - i)), min(i, delta + (tau - i))
+            out += [(False, i, n - delta, start + shift, size) for shift in range(lo, hi + 1) if delta or shift]
+    return out
 
 
-def index_keys(line: Column, tau: int) -> list[Column]:
+def keys_of(line: Column, tau: int) -> list[Column]:
+    """Of a line's slots, the keys; null where a place leaves the line."""
     n = F.length(line)
-    return [_key(line, n, i, start, size) for i, (start, size) in enumerate(_segments(n, tau))]
+    key = lambda i, of, at, size: F.xxhash64(of.cast("int"), F.lit(i), F.substring(line, at + 1, size))
+    return [F.when(F.lit(own) | ((at >= 0) & (at + size <= n)), key(i, of, at, size)) for own, i, of, at, size in _slots(n, tau)]
 
 
-def probe_keys(line: Column, tau: int) -> list[Column]:
-    """Besides its own index keys, those under which lines at most as long, within tau edits, may be found; null where a window leaves the line."""
-    n, out = F.length(line), []
-    for delta in range(tau + 1):
-        shorter = n - delta
-        for i, (start, size) in enumerate(_segments(shorter, tau)):
-            lo, hi = max(-i, delta - (tau - i)), min(i, delta + (tau - i))
-            for shift in range(lo, hi + 1):
-                if not delta and not shift:
-                    continue
-                at = start + shift
-                out.append(F.when((at >= 0) & (at + size <= n), _key(line, shorter, i, at, size)))
-    return out
+def without_slot(line: Column, slot: Column, tau: int) -> Column:
+    """The line without what a slot's key covers."""
+    places = F.array(*(F.struct(at.cast("int").alias("at"), size.cast("int").alias("size")) for _, _, _, at, size in _slots(F.length(line), tau)))
+    at, size = places[slot]["at"], places[slot]["size"]
+    return F.concat(F.substring(line, F.lit(1), at), F.substring(line, at + size + 1, F.length(line)))
 
 
 def within(x: str, y: str, tau: int) -> Column:
@@ -124,16 +133,48 @@ def _few(ids: DataFrame, most: int = FEW_IDS) -> bool:
 
 
 def _met(occ: DataFrame, tau: int) -> DataFrame:
-    """key, h, n, own: the rows of keys under which a line's index meets another line; own tells index keys."""
-    keys = [*index_keys(F.col("line"), tau), *probe_keys(F.col("line"), tau)]
+    """key, h, n, slot, own, n_own: the rows of keys under which a line's index meets another line, and how many index rows the key has."""
+    keys = keys_of(F.col("line"), tau)
     every = [f"k{i}" for i in range(len(keys))]
     keyed = occ.select("h", F.length("line").alias("n"), *(k.alias(name) for k, name in zip(keys, every, strict=True)))
     # copies of a line have the same keys, so any of theirs will do
     keyed = settle(keyed.groupBy("h").agg(*(F.max(c).alias(c) for c in ("n", *every))), "segments")
-    rows = keyed.select("h", "n", F.posexplode(F.array(*every)).alias("i", "key")).where("key is not null").select("key", "h", "n", (F.col("i") <= tau).alias("own"))
-    shared = rows.groupBy("key").agg(F.max("own").alias("own"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("own and lo < hi").select("key")
-    shared = settle(shared, "shared")
-    return settle(rows.join(F.broadcast(shared) if _few(shared) else shared, "key"), "met")
+    rows = keyed.select("h", "n", F.posexplode(F.array(*every)).alias("slot", "key")).where("key is not null").select("key", "h", "n", "slot", (F.col("slot") <= tau).alias("own"))
+    return settle(_sharing(rows, "shared"), "met")
+
+
+def _sharing(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of keys at which an index row meets another line, with n_own."""
+    shared = rows.groupBy("key").agg(F.count_if("own").alias("n_own"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n_own > 0 and lo < hi").select("key", "n_own")
+    shared = settle(shared, name)
+    return rows.join(F.broadcast(shared) if _few(shared) else shared, "key")
+
+
+def _narrowed(met: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """key, h, n, own: met, with keys that more than HOT index rows share replaced by finer ones.
+
+    Two lines within tau edits of which one segment is left alone are, without it, still within tau edits. So what is left of
+    the lines at such a key is cut into segments again, and two of them need a second one in common. That goes on, at most DEPTH
+    times, where keys stay hot; no pair is lost by it.
+    """
+    out = met.where(F.col("n_own") <= HOT).select("key", "h", "n", "own")
+    hot = met.where(F.col("n_own") > HOT)
+    # n stays that of the whole line; rest is what is left of it
+    hot = settle(hot.join(texts, "h").select("key", "h", "n", "own", without_slot(F.col("line"), F.col("slot"), tau).alias("rest")).distinct(), "hot")
+    for depth in range(DEPTH):
+        if hot.isEmpty():
+            return out
+        each = hot.select("key", "h", "n", "own", "rest", F.posexplode(F.array(*keys_of(F.col("rest"), tau))).alias("slot", "k")).where("k is not null")
+        # of a row that probes, all keys probe
+        rows = each.select(F.xxhash64("key", "k").alias("key"), "h", "n", (F.col("own") & (F.col("slot") <= tau)).alias("own"), "slot", "rest")
+        rows = settle(_sharing(rows, "shared"), "met")
+        last = depth == DEPTH - 1
+        cold = rows if last else rows.where(F.col("n_own") <= HOT)
+        out = out.unionByName(cold.select("key", "h", "n", "own"))
+        if not last:
+            left = rows.where(F.col("n_own") > HOT)
+            hot = settle(left.select("key", "h", "n", "own", without_slot(F.col("rest"), F.col("slot"), tau).alias("rest")).distinct(), "hot")
+    return out
 
 
 def _sketch(chars: Column) -> Column:
@@ -149,7 +190,7 @@ def similar_lines(occ: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     texts = occ.select("h", "line").join(F.broadcast(wanted) if _few(wanted) else wanted, "h", "left_semi").dropDuplicates(["h"])
     texts = settle(texts, "texts")
     sketches = settle(texts.select("h", _sketch(F.split("line", "")).alias("s")), "sketches")
-    rows = met.join(sketches, "h")
+    rows = _narrowed(met, texts, tau).join(sketches, "h")
     index = rows.where("own").select("key", F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
     probes = rows.select("key", F.col("h").alias("b"), "n", "s")
     alike = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s"))) <= 4 * tau
@@ -195,17 +236,10 @@ def dedup_lines(documents: DataFrame, tau: int = THRESHOLD, min_chars: int = MIN
     A document of which no line is left goes; one that had no line that takes
     part stays as it is.
     """
-    gone = (
-        line_classes(documents, tau, min_chars, short=True)
-        .where("not kept")
-        .groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_of"))
-        .agg(F.collect_set("line_no").alias("_gone"))
-    )
-    docs = documents.withColumn("_t", F.xxhash64("text"))
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_of")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, cast(i as bigint))), '\\n')")
-    return (
-        left.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-        .where("_gone is null or trim(text) != ''")
-        .select(*documents.columns)
-    )
+    gone = line_classes(documents, tau, min_chars, short=True).where("not kept").groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("gone"))
+    # a document's columns travel in a struct, so no name of theirs meets one of ours
+    docs = documents.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("of"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    left = docs.join(gone, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("t")), "left")
+    kept = F.expr("array_join(filter(split(row.text, '\\n'), (x, i) -> not array_contains(gone, cast(i as bigint))), '\\n')")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    return left.select(F.col("row").withField("text", text).alias("row"), "gone").where("gone is null or trim(row.text) != ''").select("row.*")
