@@ -117,7 +117,6 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    # other columns, such as t, are passed on
     cache, table = _Hashes(), _borrowing(BINS)
     for batch in batches:
         out = []
@@ -127,9 +126,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out.append((doc, len(s), key, band_keys(signature(s, table), BANDS) if len(s) else None))
         # objects stay exact beside None, of which pandas would make floats
         signed = pd.DataFrame(out, columns=["doc_id", "n_shingles", "c", "bands"], dtype=object).astype({"n_shingles": "int64", "c": "Int64"})
-        if "t" in batch:
-            signed["t"] = batch["t"].to_numpy()
-        yield signed
+        yield signed.assign(t=batch["t"].to_numpy())
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,13 +173,13 @@ def near_duplicates(documents: DataFrame, with_text: bool = False) -> DataFrame:
 
     With with_text also t, the hash of the text (0 for null), and root, which is the same in a component and null without words.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    more = [text_hash().alias("t")] if with_text else []
-    schema = "doc_id string, n_shingles long, c long, bands array<long>" + (", t long" if with_text else "")
-    signed = ids_as_text(docs.select("doc_id", "text", *more), "doc_id").mapInPandas(_signed, schema)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("t"))
+    signed = ids_as_text(docs, "doc_id").mapInPandas(_signed, "doc_id string, n_shingles long, c long, bands array<long>, t long")
     signed = settle(ids_as_long(signed, "doc_id"), "minhash")
+    # a class's set is that of one row: the first by doc_id (null last), then hash of the text
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     classes = signed.where("n_shingles > 0").groupBy("c").agg(
-        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("least"), F.min(first).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     rows = classes.select("c", "n", "least", F.explode("bands").alias("key"))
     # the first document of a bucket is its centre: what is copied comes before its copies
@@ -191,11 +188,12 @@ def near_duplicates(documents: DataFrame, with_text: bool = False) -> DataFrame:
         rows.join(shared, "key").select("key", "c", "n", F.col("m.c").alias("m"), F.col("m.n").alias("m_n")), "buckets"
     )
     wanted = buckets.select("c").distinct()
-    sources = classes.select("c", "least").join(wanted, "c").select("c", F.col("least").alias("doc_id"))
-    sets = settle(
-        docs.join(sources, docs["doc_id"].eqNullSafe(sources["doc_id"])).select("c", "text").mapInPandas(_sets, "c long, s array<long>, sketch array<long>"),
-        "sets",
-    )
+    sources = classes.select("c", F.col("first.doc_id").alias("d"), F.col("first.t").alias("of")).join(wanted, "c")
+    texts = docs.join(sources, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("of"))).select("c", "text")
+    sets = settle(texts.mapInPandas(_sets, "c long, s array<long>, sketch array<long>"), "sets")
+    if sets.count() > sets.select("c").distinct().count():
+        # repeated rows gave their set each
+        sets = settle(sets.dropDuplicates(["c"]), "sets")
     tried = settle(buckets.where("c != m").where(_sizes_allow()).select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b")).distinct(), "star")
     links = settle(_confirm(tried, sets).distinct(), "links")
     roots = components(links, "a", "b")
@@ -208,7 +206,7 @@ def near_duplicates(documents: DataFrame, with_text: bool = False) -> DataFrame:
         now = placed.join(several, "key")
         if not ranked:
             by = Window.partitionBy("key").orderBy(F.xxhash64("c", "key"), "c")
-            now, ranked = now.withColumn("rank", F.row_number().over(by)).join(sets.select("c", "sketch").dropDuplicates(["c"]), "c"), True
+            now, ranked = now.withColumn("rank", F.row_number().over(by)).join(sets.select("c", "sketch"), "c"), True
         now = settle(now, "open")
         if now.isEmpty():
             break
@@ -233,7 +231,8 @@ def near_duplicates(documents: DataFrame, with_text: bool = False) -> DataFrame:
         open_ = now.where(F.col("rank") > done).drop("root")
     roots = settle(roots, "roots")
     placed = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # settled, so that both sides of the join come from shuffles of their own, of which AQE splits the partition of a hot root
+    least = settle(placed.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     also = ["t", "root"] if with_text else []
     of = placed.join(least, "root").select("c", "component_id", *also[1:])
     return (
