@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 from . import ann, bpe, chat, covertree, lines, minhash, mixing, pii, quality, urls
 from .util import read
 
-#: What the example's list holds: pages under these hosts and folders.
+#: What the example's list holds besides the URLs of thin pages: pages under these hosts and folders.
 LISTED = (
     "spam-farm.example.org/",
     "spam-farm.example.com/",
     "spam-farm.example.net/",
-    "cheap-pills.example.com/",
-    "cheap-pills.example.net/",
-    "cheap-pills.example.org/",
+    "http://www.Cheap-Pills.example.com:80",
+    "cheap-pills.example.net",
+    "https://cheap-pills.example.org/?ref=1",
     "tionsh.example.net/en/7/",
     "tiontion.example.com/en/853/",
 )
+#: A page of fewer code points than this is thin.
+THIN = 2000
 PLANTED_CONVERSATION = -7
 PLANTED_TEXT = "\\### Assistant: </turn> ok"
 
@@ -53,8 +55,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
     listed = spark.createDataFrame([(e,) for e in LISTED], "entry string")
-    return urls.judge(read(spark, sf_dir, "pages"), listed)
+    thin = pages.where(F.length("html") < THIN).select(F.col("url").alias("entry"))
+    return urls.judge(pages, listed.unionByName(thin))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ and pipeline.
 
 from __future__ import annotations
 
-from .queries import LISTED, PLANTED_CONVERSATION, PLANTED_TEXT
+from .queries import LISTED, PLANTED_CONVERSATION, PLANTED_TEXT, THIN
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,8 +19,8 @@ _SIZES = f"""
     f as (select *, source_size * 2 as cap, sum(source_size) over () as total,
         coalesce(sum(source_size * 2) over fill, 0) as capped, sum(w) over () - coalesce(sum(w) over fill, 0) as open from n
         window fill as (order by source_size * 2 / w::double, source nulls last rows between unbounded preceding and 1 preceding)),
-    l as (select *, (total * 1.5::double - capped) / open as level from f),
-    e as (select min({{'f': cap / w::double, 'level': level}}) as at from l where level * w <= cap),
+    l as (select *, (total * 1.5::double - capped) / open as level, row_number() over (order by cap / w::double, source nulls last) as turn from f),
+    e as (select min({{'turn': turn, 'level': level}}) as at from l where level * w <= cap),
     t as (select source, source_size, least(cap::double, coalesce(e.at.level * w, cap::double)) as target from l left join e on true),
     g as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as epochs from t)"""
 
@@ -29,7 +29,12 @@ _COMPONENTS = """
     least_of as (select id, min(root) as component_id from walk group by id)"""
 
 _RULES = (("org/", "org", "/", "allow"), ("example.org/es/", "example.org", "/es/", "block"), ("example.org/en/1", "example.org", "/en/1", "block"), ("com/fr/", "com", "/fr/", "allow"), ("com/de/", "com", "/de/", "block"))
-_LISTED = ", ".join(f"('{e.split('/', 1)[0]}', '/{e.split('/', 1)[1]}')" for e in LISTED)
+_LISTED = ", ".join(f"('{e}')" for e in LISTED)
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CANONICAL = (
+    "regexp_replace(regexp_replace({host}, ':[0-9]*$', ''), '^www[.]', '')",
+    "case when trim({path}, '/') = '' then '/' else '/' || trim({path}, '/') || '/' end",
+)
 _ESCAPED = r"length(text) + coalesce(list_sum(list_transform(regexp_extract_all(text, '\\|###|</turn>'), lambda m: length(m))), 0)"
 
 _KINDS = (
@@ -47,24 +52,24 @@ _ENTITIES = f"""
     docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
     found as ({" union all ".join(f"select r, {k} as k, '{kind}' as kind, regexp_extract_all(text, '{pattern}') as m, string_split_regex(text, '{pattern}') as g from docs" for k, (kind, pattern) in enumerate(_KINDS))}),
     each as (select r, k, kind, m, g, unnest(range(len(m))) as i from found where len(m) > 0),
-    placed as (select r, k, kind, {_UPTO} as s, m[i + 1] as v, right(g[i + 1], 161) as before, left(g[i + 2], 161) as after from each),
+    placed as (select r, k, kind, {_UPTO} as s, m[i + 1] as v from each),
     ent as (select *, s + length(v) as e, k || ':' || lower(v) as x from placed where case kind when 'email' then true
         when 'ip' then len(list_filter(string_split(v, '.'), lambda o: length(ltrim(o, '0')) > 3 or coalesce(try_cast(nullif(ltrim(o, '0'), '') as int), 0) > 255)) = 0
         when 'card' then length({_DIGITS}) between 12 and 19 and {_LUHN} else length({_DIGITS}) between 9 and 15 end)"""
 _TERMS = f"""
-    sides as (select r, x, s - length(before) as o, before as c, true as lead from ent union all select r, x, e, after, false from ent),
-    runs as (select r, x, o, c, lead, regexp_extract_all(c, '\\p{{L}}+') as m, string_split_regex(c, '\\p{{L}}+') as g from sides),
-    words as (select r, x, o, c, lead, m, g, unnest(range(len(m))) as i from runs where len(m) > 0),
-    near as (select distinct r, x, lower(m[i + 1]) as term, o + {_UPTO} as s, o + {_UPTO} + length(m[i + 1]) as e from words
-        where length(m[i + 1]) >= 4 and case when lead then {_UPTO} > 0 else {_UPTO} + length(m[i + 1]) < length(c) end),
-    pairs as (select x, term, count(distinct r) as n_te from near join docs using (r) group by x, term having count(distinct r) >= 2 and count(distinct text) > 1),
+    runs as (select r, regexp_extract_all(text, '\\p{{L}}{{4,}}') as m, string_split_regex(text, '\\p{{L}}{{4,}}') as g from docs where r in (select r from ent)),
+    words as (select r, m, g, unnest(range(len(m))) as i from runs where len(m) > 0),
+    here as (select r, lower(m[i + 1]) as term, {_UPTO} as s, {_UPTO} + length(m[i + 1]) as e from words),
+    held as (select distinct ent.r, ent.x, here.term from ent join here using (r)),
+    pairs as (select x, term, count(distinct r) as n_te from held join docs using (r) group by x, term having count(distinct text) > 1),
     df as (select term, count(*) as n_t from (select unnest(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}'))) as term from docs) where term in (select term from pairs) group by term),
     ne as (select x, count(distinct r) as n_e from ent group by x),
     n as (select count(*)::double as n from docs),
     telling as (select x, term from pairs join df using (term) join ne using (x), n
         where n_e < n and ln(n * n_te / (n_t::double * n_e)) / ln(n / n_e) >= 0.9),
-    terms as (select distinct r, s, e from near join telling using (x, term)
-        where not exists (select 1 from ent where ent.r = near.r and near.s < ent.e and ent.s < near.e))"""
+    told as (select distinct ent.r, telling.term from ent join telling using (x)),
+    terms as (select distinct r, s, e from here join told using (r, term)
+        where not exists (select 1 from ent where ent.r = here.r and here.s < ent.e and ent.s < here.e))"""
 
 ORACLES: dict[str, str] = {
     "op1_pii": f"""
@@ -74,7 +79,9 @@ ORACLES: dict[str, str] = {
         string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (k < 4) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans from spans group by r)
     select doc_id, {", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind, _ in _KINDS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from docs left join by_doc using (r)""",
     "op3_near_vectors": f"""
-    with recursive v as (select vec_id as id, embedding::double[] as x, sqrt(list_sum(list_transform(embedding::double[], lambda y: y * y))) as norm from embeddings),
+    with recursive e as (select vec_id as id, embedding::double[] as x, list_max(list_transform(embedding::double[], lambda y: abs(y))) as most from embeddings),
+    f as (select id, case when most > 0 then list_transform(x, lambda y: y / most) else x end as x from e),
+    v as (select id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) as norm from f),
     links as (select p.id as a, q.id as b from v p, v q where p.id != q.id and p.norm > 0 and q.norm > 0 and list_inner_product(p.x, q.x) / (p.norm * q.norm) >= 0.95),
     nodes as (select id from v), {_COMPONENTS}
     select id as vec_id, (select count(*) from links where a = o.id) as n_links, component_id, id = component_id as kept from least_of o""",
@@ -93,11 +100,14 @@ ORACLES: dict[str, str] = {
     select doc_id, cast(size as bigint) as size, source_size, target, cast(size * (epochs + cast(in1 or in2 or in3 as int)) as bigint) as taken from q3""",
     "op6_urls": f"""
     with p as (select page_id, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end as r from pages),
-    q as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from p),
+    q as (select page_id, {_LOWER.format("regexp_extract(r, '^[^/?#]*')")} as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from p),
     rules(rule, h, f, v) as (values {", ".join(map(str, _RULES))}),
-    listed(h, f) as (values {_LISTED}),
+    entries(e) as (values {_LISTED} union all select url from pages where length(html) < {THIN}),
+    whole as (select case when contains(e, '://') then substr(e, position('://' in e) + 3) else e end as r from entries where e is not null),
+    parts as (select {_LOWER.format("regexp_extract(r, '^[^/?#]*')")} as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from whole),
+    listed as (select distinct {_CANONICAL[0].format(host="host")} as h, {_CANONICAL[1].format(path="path")} as f from parts where {_CANONICAL[0].format(host="host")} != ''),
     best as (select page_id, max_by(rule, length(rule)) as rule, max_by(v, length(rule)) as v from q join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, f) group by page_id),
-    hit as (select distinct page_id from (select page_id, regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '^www[.]', '') as c, regexp_replace(path, '/+$', '') || '/' as path from q) join listed
+    hit as (select distinct page_id from (select page_id, {_CANONICAL[0].format(host="host")} as c, {_CANONICAL[1].format(path="path")} as path from q) join listed
         on (c = h or ends_with(c, '.' || h)) and starts_with(path, f))
     select q.page_id, host, path, rule, coalesce(v, case when hit.page_id is not null then 'block' else 'allow' end) as verdict from q left join best using (page_id) left join hit using (page_id)""",
     "op7_chat": f"""

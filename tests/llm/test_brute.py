@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from redsieve.llm import ann, bpe, covertree, lines, minhash, mixing, pii, queries, urls
+from redsieve.llm import ann, bpe, covertree, lines, minhash, mixing, pii, quality, queries, urls
 from redsieve.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -186,6 +186,27 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([a == b for a, b in told]) >= 0.93
 
 
+def test_quality_scores_by_hand(spark):
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn(docs, labels)
+    held = [zstandard.ZstdCompressionDict(d) for d in (model.good, model.bad)]
+
+    def by_hand(text):
+        sizes = [len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text.encode())) for d in held]
+        x = (sizes[1] - sizes[0]) / max(sizes) if text else 0.0
+        return 1 / (1 + np.exp(-(model.slope * x + model.intercept)))
+
+    rows = quality.score(docs, model).select("text", "score").collect()
+    query = {r.doc_id: (r.score, r.predicted) for r in queries.op5_quality(spark, SF).collect()}
+    assert len(rows) == len(query) and model.slope > 0
+    for r in rows:
+        assert r.score == pytest.approx(by_hand(r.text or ""), abs=1e-9)
+    assert sorted(s for s, _ in query.values()) == pytest.approx(sorted(r.score for r in rows))
+    assert all(p == (s >= 0.5) for s, p in query.values())
+
+
 def edits(a, b, most):
     if abs(len(a) - len(b)) > most:
         return most + 1
@@ -218,31 +239,31 @@ def test_line_links_exact(spark):
         assert got == want
 
 
-def test_line_classes(spark, texts):
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    every = [(d, i, x) for d, t in texts.items() for i, x in enumerate(t.split("\n")) if len(x) >= lines.MIN_CHARS]
+@pytest.mark.parametrize("hot", [2, 64])
+def test_line_classes(spark, monkeypatch, hot):
+    """All pairs of lines, n_links and classes; templated lines make keys hot."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    rng = np.random.default_rng(7)
+    names = ["".join(rng.choice(list("abcdé"), 5)) for _ in range(9)]
+    pool = [f"Posted on 2024-{m:02d}-{d:02d} by {n}" for m in (1, 2, 11) for d in (1, 2, 21) for n in names] + ["Share", "", " ", "Share!", "x" * 24, "x" * 25, "x" * 30]
+    docs = {d: "\n".join(pool[k] for k in rng.integers(0, len(pool), 8)) for d in range(60)}
+    every = [(d, i, x) for d, t in docs.items() for i, x in enumerate(t.split("\n")) if x.strip()]
     first = {}
-    for d, i, x in sorted(every):
+    for d, i, x in every:
         first.setdefault(x, (d, i))
     keys = sorted(first, key=lambda x: first[x])
-    by_length = defaultdict(list)
-    for n, x in enumerate(keys):
-        by_length[len(x)].append(n)
-    links = []
-    for n, x in enumerate(keys):
-        for k in range(3):
-            for m in by_length[len(x) + k]:
-                same = sum(a == b for a, b in zip(x[:10], keys[m][:10], strict=True)) > 5 or x[-6:] == keys[m][-6:]
-                if m != n and (k or m > n) and same and edits(x, keys[m], 2) <= 2:
-                    links.append((min(m, n), max(m, n)))
-    roots = rooted(range(len(keys)), links)
-    place = {x: n for n, x in enumerate(keys)}
-    rows = lines.line_classes(df).collect()
-    assert len(rows) == len(every)
+    long = [n for n, x in enumerate(keys) if len(x) >= lines.MIN_CHARS]
+    links = [(m, n) for m in long for n in long if m < n and edits(keys[m], keys[n], 2) <= 2]
+    assert len(links) > 100
+    roots, place = rooted(range(len(keys)), links), {x: n for n, x in enumerate(keys)}
+    degree = np.bincount(np.array(links).ravel(), minlength=len(keys))
     text = {(d, i): x for d, i, x in every}
+    rows = lines.line_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), short=True).collect()
+    assert len(rows) == len(every)
     for r in rows:
-        want = first[keys[roots[place[text[r.doc_id, r.line_no]]]]]
-        assert (r.class_doc_id, r.class_line_no) == want and r.kept == (want == (r.doc_id, r.line_no))
+        n = place[text[r.doc_id, r.line_no]]
+        want = first[keys[roots[n]]]
+        assert (r.class_doc_id, r.class_line_no, r.n_links) == (*want, degree[n]) and r.kept == (want == (r.doc_id, r.line_no))
 
 
 def shingles(text):
@@ -294,7 +315,7 @@ def test_mix_plan_and_mixture_agree(spark):
 def test_bloom_has_no_false_negatives():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
-    bloom = urls.BlockedBloom()
+    bloom = urls.BlockedBloom.of_size(1 << 12)
     bloom.add(h)
     assert bloom.may_hold(h).all()
     assert bloom.may_hold(rng.integers(0, 2**64, 20_000, dtype=np.uint64)).mean() < 0.01

@@ -64,6 +64,17 @@ def test_pii_defined_results(docs):
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def test_pii_repeated_rows_count_each(spark):
+    rows = [(i, f"Zorblax of {'abcdefghij'[i]}eta wrote to x.y@corp.example and left Quuxville") for i in range(3)] + [(9 + i, f"nothing here but matter {'abcdefghij'[i]}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    once = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    # the first and the last word of a text are terms too
+    assert all("term:0:7" in once[i] and once[i].split(",")[-1].startswith("term:") for i in range(3))
+    thrice = df.unionByName(df).unionByName(df)
+    rows = pii.report(thrice).collect()
+    assert len(rows) == 3 * len(once) and all(r.spans == once[r.doc_id] for r in rows)
+
+
 def test_mixing_defined_results(docs):
     rows = {r.doc_id: r for r in mixing.mix_plan(docs).collect()}
     assert rows[3].source_size == 0 and rows[3].target == 0 and rows[3].taken == 0
@@ -77,6 +88,15 @@ def test_mixing_without_words(spark):
     assert {r.target for r in mixing.mix_plan(df).collect()} == {0.0}
 
 
+def test_mixing_by_a_weight_of_ones_own(spark):
+    rows = [(i, "some words here", "a", float(i % 2)) for i in range(2000)] + [(5000 + i, "others", "b", None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double").withColumn("key", F.lit(1)).withColumn("row", F.lit(2))
+    out = mixing.mix(df, F.col("w"))
+    assert out.columns == df.columns
+    heavy, light = (out.where(f"source = 'a' and w = {w}").count() for w in (1, 0))
+    assert heavy > 1.05 * light
+
+
 def test_lines_defined_results(docs):
     out = {(r.doc_id, r.text) for r in lines.dedup_lines(docs).collect()}
     # the null id comes first, so its copy of the line stays
@@ -92,6 +112,14 @@ def test_quality_without_labels(spark, docs):
     assert {r.score for r in quality.score(docs.drop("score"), model).collect()} == {0.5}
 
 
+def test_quality_samples_labels_that_have_a_text(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 30)
+    docs = spark.createDataFrame([(i, f"good words flow on here {i} and there" if i % 2 else f"%%% $$$ {i} ###") for i in range(200)], "doc_id long, text string")
+    labels = spark.range(200_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    rows = quality.score(docs, quality.learn(docs, labels)).collect()
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in rows)
+
+
 def test_quality_learns_little(spark):
     rows = [(i, f"good words flow on here {i} and there" if i % 2 else f"%%% $$$ {i} ###", i % 2) for i in range(40)] + [(99, None, 1), (98, "", 0)]
     model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
@@ -112,6 +140,24 @@ def test_vectors_defined_results(spark):
     assert by[7].n_links == 2 and by[7].kept and not by[None].kept
 
 
+def test_vectors_of_any_size(spark):
+    rows = [(i, [1.0, i / 1000]) for i in range(40)] + [(100, [1e-200, 0.0]), (101, [0.0, 5e-324]), (102, [1e300, 1e300]), (103, [2e-310, 2e-310])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    by = {r.vec_id: r for r in covertree.near_vectors(df).collect()}
+    assert all(by[i].n_links == 40 and by[i].component_id == 0 for i in (*range(40), 100))
+    assert by[101].n_links == 0 and by[102].n_links == by[103].n_links == 1 and by[103].component_id == 102
+    near = ann.nearest(df, 100).collect()
+    assert [(r.vec_id, r.rank) for r in near if r.query_id == 0][:2] == [(102, 1), (1, 2)] and len(near) == 40
+
+
+def test_ann_gets_all_candidates_and_is_steady(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(13)] + [(0, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df).collect()]
+    assert len(got) == 12 and {r[0] for r in got} == {0}
+    assert sorted(got) == sorted(tuple(r) for r in ann.nearest(df.orderBy(F.rand(3))).collect())
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert covertree.near_vectors(df).count() == 0
@@ -128,7 +174,7 @@ def test_ann_defined_results(spark):
 def test_urls_defined_results(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://WWW.Bad.Example.NET:80/a/b/?q"), (5, "x://a.org/"), (6, "x://y.example.org/en/12#z"), (6, "x://y.example.org/en/12#z"), (7, "x://com"), (8, "x://fine.net/\nnext")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("z")).withColumn("entry", F.lit("z"))
-    listed = spark.createDataFrame([("bad.example.net/a/",)], "entry string")
+    listed = spark.createDataFrame([("bad.example.net/a/",), (None,), ("://",), ("",)], "entry string")
     out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, listed).collect()}
     assert out[1] == out[2] == out[3] == ("", "", None, "allow")
     assert out[4] == ("www.bad.example.net:80", "/a/b/", None, "block")
@@ -158,7 +204,10 @@ def test_chat_defined_results(spark):
     for text in ("", "\\", "\\\\", "###", "####</turn></turn>", "\\### Assistant: </turn> ok", "a\nb"):
         assert t.unescaped(t.escaped(text)) == text
     for role in ("user", "", "a: b", "\\: ###"):
-        assert t.role_of(t.opening(role)) == role
+        for text in ("", "\\", "</turn>", "</turn>\n", "### x: y", "\\</turn>\n\\"):
+            emitted = t.opening(role) + t.escaped(text) + t.close
+            assert t.turn_of(emitted + "### ") == (role, text, "### ")
+            assert t.turn_of(emitted[:-1]) is None
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
