@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .util import rows_a_batch, settle
-from .vectors import unit, unpack, valid
+from .vectors import unit, valid
 
 COSINE = 0.95
-BLOCK = 2048
+BLOCK = 4096
 #: Vectors that others are dealt to, the first by a digest of their id: one for each block that the table fills, within these bounds.
 PIVOTS = (16, 1024)
 #: So many blocks of a cell are cut apart in one task.
-AT_ONCE = 4
+AT_ONCE = 2
 LEVELS = 6
 #: Node pairs that are compared at once.
 CHUNK = 1 << 15
@@ -182,8 +182,10 @@ def _least_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def _linked(cosine: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def tree(ids: bytes, vectors: bytes, weight: bytes, packed: bytes, dim: int) -> tuple:
-            node, x = unpack(ids, vectors, dim)
-            return node, CoverTree.of(x, packed), np.frombuffer(weight, np.int64)
+            node = np.frombuffer(ids, np.int64)
+            # vectors that floats hold travel as floats
+            x = np.frombuffer(vectors, np.float32 if len(vectors) == 4 * dim * len(node) else np.float64)
+            return node, CoverTree.of(unit(x.reshape(-1, dim).astype(np.float64)), packed), np.frombuffer(weight, np.int64)
 
         for batch in batches:
             for r in batch.itertuples(index=False):
@@ -226,7 +228,7 @@ def _halves(x: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (cell, c, unit vector, weight), sorted by cell, as blocks with their trees."""
+    """Rows (cell, c, embedding, weight), sorted by cell, as blocks with their trees."""
     from pyspark import TaskContext
 
     task, made = TaskContext.get().partitionId(), 0
@@ -234,19 +236,23 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def out(cell: int, held: list) -> Iterator[pd.DataFrame]:
         nonlocal made
         ids, weight = (np.array([h[k] for h in held], np.int64) for k in (0, 2))
-        x = np.stack([np.asarray(h[1], np.float64) for h in held])
+        raw = np.stack([np.asarray(h[1], np.float64) for h in held])
+        x = unit(raw)
+        with np.errstate(over="ignore"):
+            small = raw.astype(np.float32)
+        raw = small if (small == raw).all() else raw
         for rows in _halves(x, np.arange(len(x))):
             made += 1
             tree = CoverTree(x[rows])
             # the root's centre is the block's first row
             yield pd.DataFrame(
                 [{"cell": cell, "block": f"{task}-{made}", "dim": x.shape[1], "centre": x[rows[0]], "radius": float(tree.levels[0][1][0]), "ids": ids[rows].tobytes(),
-                  "vectors": x[rows].tobytes(), "weight": weight[rows].tobytes(), "tree": tree.packed()}]
+                  "vectors": raw[rows].tobytes(), "weight": weight[rows].tobytes(), "tree": tree.packed()}]
             )
 
     key, held = None, []
     for batch in batches:
-        for cell, c, x, weight in batch[["cell", "c", "unit", "weight"]].itertuples(index=False, name=None):
+        for cell, c, x, weight in batch[["cell", "c", "embedding", "weight"]].itertuples(index=False, name=None):
             now = (cell, len(x))
             if held and (now != key or len(held) >= AT_ONCE * BLOCK):
                 yield from out(key[0], held)
@@ -267,16 +273,14 @@ def _pivots(rows: DataFrame, k: int) -> dict[int, np.ndarray]:
 
 
 def _dealt(pivots: dict[int, np.ndarray]):
-    """c, weight, unit vector, cell, distance from the cell's pivot; cells are numbered by length and pivot."""
+    """c, weight, embedding, cell, distance from the cell's pivot; cells are numbered by length and pivot."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cell, dist, units = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.empty(len(batch), object)
+            cell, dist = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             for dim, group in batch.groupby("dim"):
                 at = batch.index.get_indexer(group.index)
                 x = unit(np.stack([np.asarray(e, np.float64) for e in group["embedding"]]))
-                for i, row in zip(at, x, strict=True):
-                    units[i] = row
                 cell[at] = int(dim) * PIVOTS[1]
                 if (p := pivots.get(int(dim))) is not None:
                     d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
@@ -284,7 +288,7 @@ def _dealt(pivots: dict[int, np.ndarray]):
                     dist[at] = d.min(axis=1)
                 else:
                     dist[at] = 2.0
-            yield pd.DataFrame({"c": batch["c"].to_numpy(), "weight": batch["weight"].to_numpy(), "unit": units, "cell": cell, "dist": dist})
+            yield pd.DataFrame({"c": batch["c"].to_numpy(), "weight": batch["weight"].to_numpy(), "embedding": batch["embedding"].to_numpy(), "cell": cell, "dist": dist})
 
     return run
 
@@ -314,12 +318,12 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
     pivots = _pivots(classes, min(max(PIVOTS[0], math.ceil(classes.count() / BLOCK)), PIVOTS[1]))
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    put = settle(classes.select("c", "embedding", "weight", "dim").mapInPandas(_dealt(pivots), "c long, weight long, unit array<double>, cell long, dist double"), "dealt")
+    put = settle(classes.select("c", "embedding", "weight", "dim").mapInPandas(_dealt(pivots), "c long, weight long, embedding array<double>, cell long, dist double"), "dealt")
     # a row for each pivot
     cells = put.groupBy("cell").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()
     parts = spark.createDataFrame([(r["cell"], math.ceil(r["n"] / (AT_ONCE * BLOCK))) for r in cells], "cell long, parts int")
     # a cell is dealt to as many tasks as it fills
-    spread = put.join(F.broadcast(parts), "cell").repartition("cell", F.pmod(F.xxhash64("c"), F.col("parts"))).select("cell", "c", "unit", "weight")
+    spread = put.join(F.broadcast(parts), "cell").repartition("cell", F.pmod(F.xxhash64("c"), F.col("parts"))).select("cell", "c", "embedding", "weight")
     schema = "cell long, block string, dim int, centre array<double>, radius double, ids binary, vectors binary, weight binary, tree binary"
     with rows_a_batch(spark, 2048):
         blocks = settle(spread.sortWithinPartitions("cell", "c").mapInPandas(_blocks, schema), "blocks")
@@ -332,7 +336,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     pairs = settle(heads.where(room).select("block_a", "block_b", "dim"), "block-pairs")
     side = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "vectors", "weight", "tree")))
     met = pairs.join(side("a"), "block_a").join(side("b"), "block_b")
-    with rows_a_batch(spark, 8):
+    with rows_a_batch(spark, 4):
         found = settle(met.mapInPandas(_linked(cosine), "node long, links long, root long"), "found")
     roots = settle(components(found, "node", "root"), "vector-roots")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
