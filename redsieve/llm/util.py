@@ -53,7 +53,10 @@ def rows_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table. One of texts in so few pieces that cores would be idle, such as a single file with one row group, is dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def tally(df: DataFrame, *cols: str) -> tuple[int, int]:
