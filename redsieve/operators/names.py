@@ -47,7 +47,7 @@ def is_name_like(phrase: Column, policy: Policy = DEFAULT) -> Column:
     def sound(t: Column) -> Column:
         bare = F.lower(stripped(t, ".,'&"))
         letters = (F.length(bare) >= 2) & F.replace(bare, F.lit("'"), F.lit("")).rlike(r"^\p{L}+$")
-        return t.rlike(INITIAL) | (letters & ~F.array_contains(blocked, bare) & ~F.array_contains(blocked, F.regexp_replace(bare, "s$", "")))
+        return t.rlike(INITIAL) | (letters & ~F.array_contains(blocked, bare))
 
     parts = F.filter(F.split(phrase, r"(?U)[\s\-]+"), lambda t: t != "")
     return let(parts, lambda p: F.size(p).between(2, 4) & F.forall(p, sound) & F.exists(p, lambda t: ~t.rlike(INITIAL)))
@@ -133,11 +133,14 @@ def looks_like_org(tail: Column, policy: Policy = DEFAULT) -> Column:
 def keyword_is_near(phrase: Column, context: Column, policy: Policy = DEFAULT) -> Column:
     """Some role keyword begins within PROXIMITY of the phrase's first place in the context; true where it has none."""
     reach = max(map(len, policy.keywords))
+    nearest = F.split(F.lit("\x1f".join(policy.keywords)), "\x1f")
 
     def near(at: Column) -> Column:
         start = F.greatest(at - PROXIMITY, F.lit(0))
-        first = F.regexp_instr(rx.slice_of(F.lower(context), start, at + PROXIMITY + reach), F.lit(rx.any_of(policy.keywords)))
-        return (at < 0) | ((first > 0) & (first - 1 + start <= at + PROXIMITY))
+        window = rx.slice_of(F.lower(context), start, at + PROXIMITY + reach)
+        # places count code points, as those of locate do
+        begins = let(window, lambda w: F.transform(nearest, lambda k: F.call_function("locate", k, w)))
+        return (at < 0) | F.exists(begins, lambda i: (i > 0) & (i - 1 + start <= at + PROXIMITY))
 
     return let(F.call_function("locate", F.lower(phrase), F.lower(context)) - 1, near)
 
