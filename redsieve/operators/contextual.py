@@ -28,7 +28,7 @@ def _span(start: Column, end: Column, pii_type: str, text: Column, score: float,
 
 def known(text: str, pattern: str, pii_type: str, source: str) -> Column:
     """Places of what a pattern column lists."""
-    return F.when(F.col(pattern).isNotNull(), as_spans(rx.spans_of(text, F.col(pattern)), pii_type, 0.9, source)).otherwise(empty_spans())
+    return F.when(F.col(pattern).isNotNull(), as_spans(rx.spans_in(f"`{text}`", f"`{pattern}`"), pii_type, 0.9, source)).otherwise(empty_spans())
 
 
 def by_surname(text: str, pattern: str, policy: Policy = DEFAULT) -> Column:
@@ -43,7 +43,7 @@ def by_surname(text: str, pattern: str, policy: Policy = DEFAULT) -> Column:
         phrase = F.array_join(F.transform(F.get(good, F.lit(0)), lambda w: w["text"]), " ")
         return _span(m["start"] + first, m["end"], "PERSON", phrase, 0.7, "PersonRecognizer:surname")
 
-    found = F.transform(rx.spans_of(text, F.col(pattern)), trimmed)
+    found = F.transform(rx.spans_in(f"`{text}`", f"`{pattern}`"), trimmed)
     return F.when(F.col(pattern).isNotNull(), F.filter(found, lambda s: s["start"].isNotNull())).otherwise(empty_spans())
 
 

@@ -54,7 +54,9 @@ def by_label_list(text: Column, policy: Policy = DEFAULT) -> Column:
 
 def by_short_block(text: Column, context: Column, policy: Policy = DEFAULT) -> Column:
     """Names in a short block, such as a cell, near a role in its row."""
-    candidates = rx.spans_of(text, "(?U)" + N.CANDIDATE)
+    # a block this long isn't looked into
+    short = F.when(F.length(text) <= N.MAX_CONTEXT_BLOCK, text)
+    candidates = rx.spans_of(short, "(?U)" + N.CANDIDATE)
     named = F.transform(candidates, lambda m: F.struct(m["start"].alias("start"), N.longest_name(m["text"], policy).alias("name")))
 
     def sound(x: Column) -> Column:
@@ -71,15 +73,6 @@ def people_in(text: Column, context: Column, policy: Policy = DEFAULT) -> tuple[
     return sure, F.concat(by_name_then_role(text, policy), by_label_list(text, policy), by_short_block(text, context, policy))
 
 
-def person_names(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """scope, name: people by title, mailbox, role, list of roles, or a role near by."""
-    rows = _block(blocks).where(~F.col("is_header") | N.has_person_context(F.col("text"), policy))
-    sure, by_role = (rows.select("scope", F.explode(x).alias("name")) for x in people_in(F.col("text"), F.col("context"), policy))
-    headers = header_texts(blocks, policy).groupBy("scope").agg(F.collect_set("header").alias("headers"))
-    guarded = by_role.distinct().join(headers, "scope", "left").where(~F.coalesce(F.exists("headers", lambda h: F.contains(h, F.lower(F.col("name")))), F.lit(False)))
-    return sure.unionByName(guarded.select("scope", "name")).distinct()
-
-
 def by_legal_form(text: Column, policy: Policy = DEFAULT) -> Column:
     """Organisations by their legal form, and what they are called without it if that is two words or more."""
     phrases = F.transform(F.regexp_extract_all(text, F.lit(N.org_pattern(policy)), F.lit(1)), lambda raw: N.org_phrase(raw, policy))
@@ -93,9 +86,30 @@ def by_legal_form(text: Column, policy: Policy = DEFAULT) -> Column:
     return F.when(contains_any(F.lower(text), policy.strong_suffixes), named).otherwise(F.array().cast("array<string>"))
 
 
+def mined(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """scope, people, orgs: arrays of the distinct names that each scope makes known, in one pass and one shuffle."""
+    rows = _block(blocks)
+    text = F.col("text")
+    label = F.col("is_header") & ~N.has_person_context(text, policy)
+    sure, by_role = people_in(text, F.col("context"), policy)
+    none = F.array().cast("array<string>")
+    kinds = {"sure": F.when(label, none).otherwise(sure), "by_role": F.when(label, none).otherwise(by_role), "orgs": by_legal_form(text, policy), "headers": F.when(label, F.array(F.lower(text))).otherwise(none)}
+    tagged = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    each = F.flatten(F.array(*(tagged(kind, values) for kind, values in kinds.items())))
+    found = rows.select("scope", F.explode(each).alias("x")).groupBy("scope").agg(*(F.collect_set(F.when(F.col("x.kind") == kind, F.col("x.value"))).alias(kind) for kind in kinds))
+    # a name in a header label is none
+    free = F.filter("by_role", lambda n: ~F.exists("headers", lambda h: F.contains(h, F.lower(n))))
+    return found.select("scope", F.array_union("sure", free).alias("people"), "orgs")
+
+
+def person_names(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """scope, name: people by title, mailbox, role, list of roles, or a role near by."""
+    return mined(blocks, policy).select("scope", F.explode("people").alias("name"))
+
+
 def org_names(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """scope, name: organisations by their legal form, and what they are called without it."""
-    return _block(blocks).select("scope", F.explode(by_legal_form(F.col("text"), policy)).alias("name")).distinct()
+    return mined(blocks, policy).select("scope", F.explode("orgs").alias("name"))
 
 
 def variants_of(name: Column) -> Column:
@@ -146,23 +160,20 @@ def _families(surnames: Column) -> Column:
 def row_patterns(text: Column, context: Column, is_header: Column, policy: Policy = DEFAULT) -> tuple[Column, Column]:
     """For rows that are scopes of their own: struct(person_re, surname_re), and org_re. No shuffle is needed."""
     sure, by_role = people_in(text, context, policy)
-    mined = ~is_header | N.has_person_context(text, policy)
-    names = F.when(mined, F.array_distinct(F.concat(sure, by_role))).otherwise(F.array().cast("array<string>"))
+    no_label = ~is_header | N.has_person_context(text, policy)
+    names = F.when(no_label, F.array_distinct(F.concat(sure, by_role))).otherwise(F.array().cast("array<string>"))
+    return let(names, lambda n: _person_patterns(n, policy)), let(by_legal_form(text, policy), _whole)
 
-    def both(n: Column) -> Column:
-        surnames = F.filter(F.transform(n, lambda x: surname_of(x, policy)), lambda x: x.isNotNull())
-        return F.struct(_whole(F.flatten(F.transform(n, variants_of))).alias("person_re"), _families(surnames).alias("surname_re"))
 
-    return let(names, both), let(by_legal_form(text, policy), _whole)
+def _person_patterns(names: Column, policy: Policy) -> Column:
+    surnames = F.filter(F.transform(names, lambda x: surname_of(x, policy)), lambda x: x.isNotNull())
+    return F.struct(_whole(F.flatten(F.transform(names, variants_of))).alias("person_re"), _families(surnames).alias("surname_re"))
 
 
 def patterns(blocks: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """scope, person_re, surname_re, org_re: what each scope has made known, as patterns; null where there is nothing."""
-    people, orgs = person_names(blocks, policy), org_names(blocks, policy)
-    person = person_variants(people).groupBy("scope").agg(F.collect_set("name").alias("x")).select("scope", _whole(F.col("x")).alias("person_re"))
-    family = surname_families(people, policy).groupBy("scope").agg(F.collect_set("surname").alias("x")).select("scope", _families(F.col("x")).alias("surname_re"))
-    org = orgs.groupBy("scope").agg(F.collect_set("name").alias("x")).select("scope", _whole(F.col("x")).alias("org_re"))
-    return person.join(family, "scope", "full").join(org, "scope", "full")
+    found = mined(blocks, policy).select("scope", _person_patterns(F.col("people"), policy).alias("p"), _whole(F.col("orgs")).alias("org_re"))
+    return found.select("scope", "p.*", "org_re")
 
 
 def propagate_by_words(blocks: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
