@@ -25,11 +25,15 @@ def locate(text: Column, needle: Column) -> Column:
 
 
 def load_truth(spark: SparkSession, path: str, blocks: DataFrame | None = None) -> DataFrame:
-    """block_idx, text, stratum, gold from a truth file; blocks (block_idx, text) supplies texts that the file names by index only.
+    """truth_of() a truth file."""
+    return truth_of(spark.read.schema(TRUTH).json(path, multiLine=True), blocks)
+
+
+def truth_of(raw: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """block_idx, text, stratum, gold from TRUTH; blocks (block_idx, text) supplies texts that it names by index only.
 
     A label that can't be found in its block, or a block that isn't there, fails the query.
     """
-    raw = spark.read.schema(TRUTH).json(path, multiLine=True)
     rows = raw.select(F.posexplode("blocks").alias("pos", "b")).select(
         F.coalesce("b.index", "pos").alias("block_idx"), F.col("b.text").alias("text"), F.coalesce("b.stratum", F.lit("all")).alias("stratum"), F.col("b.entities").alias("entities")
     )
@@ -104,8 +108,8 @@ def _raw_per_type(blocks: DataFrame) -> DataFrame:
 
 
 def per_type(blocks: DataFrame) -> DataFrame:
-    """mode, label, support, tp, fp, fn, precision, recall, f1."""
-    return _rounded(_scores(_raw_per_type(blocks), "mode", "label"))
+    """mode, label, support, tp, fp, fn, precision, recall, f1, ordered by the first two."""
+    return _rounded(_scores(_raw_per_type(blocks), "mode", "label")).orderBy("mode", "label")
 
 
 def micro(blocks: DataFrame) -> DataFrame:
@@ -122,11 +126,11 @@ def macro(blocks: DataFrame) -> DataFrame:
 
 
 def by_stratum(blocks: DataFrame) -> DataFrame:
-    """stratum, support, precision, recall, f1, relaxed; matched over all types together."""
+    """stratum, support, precision, recall, f1, relaxed, ordered by the first; matched over all types together."""
     hits = F.size(F.filter(claims(F.col("gold"), F.col("pred"), False), lambda i: i >= 0))
     each = blocks.select("stratum", hits.alias("tp"), (F.size("pred") - hits).alias("fp"), (F.size("gold") - hits).alias("fn"))
     pooled = each.groupBy("stratum").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    return _rounded(_scores(pooled, "stratum")).select("stratum", "support", "precision", "recall", "f1")
+    return _rounded(_scores(pooled, "stratum")).select("stratum", "support", "precision", "recall", "f1").orderBy("stratum")
 
 
 def token_labels(text: Column, spans: Column) -> Column:

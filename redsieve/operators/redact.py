@@ -6,16 +6,20 @@ row is a scope; then every row is worked on alone, by expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rx
+from ..functions.scalars import normalise
 from ..functions.surrogates import BUILDERS, surrogate
 from ..plans.config import RedactionConfig
 from . import contextual, ner
 from .harvest import patterns, row_patterns
 from .resolve import of_types, resolve
-from .structured import SPECS, RegexSpec, empty_spans, recognise
+from .structured import SPAN, SPECS, RegexSpec, empty_spans, recognise
 
 #: The types that only names known in a scope give.
 NAMED = frozenset({"PERSON", "ORGANISATION"})
@@ -31,6 +35,29 @@ def _enabled(config: RedactionConfig, pii_type: str) -> bool:
     return config.types is None or pii_type in config.types
 
 
+#: From the name of a text column to its spans, a column of SPAN.
+Analyser = Callable[[str], Column]
+
+
+def analyser_of(analyse: Callable[[str], Iterable]) -> Analyser:
+    """An analyser from any function or bound method that gives entities for a text: objects with start, end, pii_type, score and source."""
+
+    def run(text: str) -> Column:
+        @F.pandas_udf(SPAN)
+        def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in parts:
+                yield pd.Series(
+                    [
+                        [{"start": e.start, "end": e.end, "pii_type": str(e.pii_type), "text": t[e.start : e.end], "score": float(e.score), "source": e.source} for e in analyse(t)]
+                        for t in part.fillna("")
+                    ]
+                )
+
+        return found(F.col(text))
+
+    return run
+
+
 def detect(
     df: DataFrame,
     text: str = "text",
@@ -38,12 +65,14 @@ def detect(
     config: RedactionConfig = RedactionConfig(),
     specs: tuple[RegexSpec, ...] = SPECS,
     known: DataFrame | None = None,
+    analysers: tuple[Analyser, ...] = (),
 ) -> DataFrame:
     """df with `spans`, the spans found in each text, without overlaps and by start.
 
-    scope names the column whose rows share names. Without it each row is a scope of its own, which needs no shuffle. `known`
-    takes the place of harvesting: rows (scope, person_re, surname_re, org_re), scope '' for all rows if no column is named. Columns context and is_header are used if df has them. Null text has
-    no spans.
+    scope names the column whose rows share names. Without it, and where it is null, a row is a scope of its own, which needs no
+    shuffle. `known` takes the place of harvesting: rows (scope, person_re, surname_re, org_re), scope '' for all rows if no column is
+    named. analysers add spans of their own: each is a function from the text column's name to a column of spans (see
+    analyser_of()). Columns context and is_header are used if df has them. Null text has no spans.
     """
     policy = config.policy
     raw = structured_spans(text, config.types, specs)
@@ -57,8 +86,9 @@ def detect(
             work = df.withColumns({"_people": people, "org_re": orgs})
             work = work.withColumns({c: F.col("_people")[c] for c in ("person_re", "surname_re")})
         else:
-            key = F.col(scope).cast("string") if scope else F.lit("")
-            work = df.withColumn("_scope", F.coalesce(key, F.lit("")))
+            # rows without a scope share names only with rows that say the same, which know the same
+            own = F.concat(F.lit("\0"), F.md5(F.concat_ws("\0", text, context, header.cast("string"))))
+            work = df.withColumn("_scope", F.coalesce(F.col(scope).cast("string"), own) if scope else F.lit(""))
             if known is None:
                 known = patterns(work.select(F.col("_scope").alias("scope"), F.col(text).alias("text"), context.alias("context"), header.alias("is_header")), policy)
             work = work.join(known.withColumnRenamed("scope", "_scope"), "_scope", "left")
@@ -70,7 +100,8 @@ def detect(
     if _enabled(config, "ADDRESS"):
         parts.append(contextual.addresses(text, policy))
     if config.use_ner:
-        parts.append(ner.entities(text, config.ner_model))
+        parts.append(ner.entities(text, config.ner_model, policy))
+    parts += [analyser(text) for analyser in analysers]
     spans = resolve(of_types(F.concat(*parts), config.types))
     return work.withColumn("spans", F.when(F.col(text).isNotNull(), spans).otherwise(empty_spans())).select(*df.columns, "spans")
 
@@ -100,7 +131,8 @@ def redact(df: DataFrame, text: str = "text", scope: str | None = None, config:
 
 def exploded(detected: DataFrame, *ids: str) -> DataFrame:
     """One row for each span, with the columns in ids."""
-    return detected.select(*ids, F.inline("spans"))
+    # an inner explode would be planned with a filter on spans, for which they would be worked out once more
+    return detected.select(*ids, F.inline_outer("spans")).where(F.col("start").isNotNull())
 
 
 def counts(detected: DataFrame) -> DataFrame:
@@ -109,13 +141,11 @@ def counts(detected: DataFrame) -> DataFrame:
 
 
 def mapping(detected: DataFrame, order: tuple[str, ...], config: RedactionConfig = RedactionConfig()) -> DataFrame:
-    """pii_type, original, surrogate: for each normalised value its first surface by order, then start. It undoes the redaction: keep it apart."""
-    from ..functions.scalars import normalise
-
+    """pii_type, original, surrogate, ordered by the first two: for each normalised value its first surface by order, then start. It undoes the redaction: keep it apart."""
     rows = exploded(detected, *order)
     first = F.min_by("text", F.struct(*order, "start"))
     found = rows.groupBy("pii_type", normalise("text").alias("norm")).agg(first.alias("original"))
-    return found.select("pii_type", "original", surrogate(F.col("pii_type"), F.col("original"), config.salt).alias("surrogate"))
+    return found.select("pii_type", "original", surrogate(F.col("pii_type"), F.col("original"), config.salt).alias("surrogate")).orderBy("pii_type", "original")
 
 
 def run_summary(detected: DataFrame, config: RedactionConfig = RedactionConfig(), scrubbed: tuple[str, ...] = ()) -> DataFrame:

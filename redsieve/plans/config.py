@@ -17,7 +17,8 @@ class RedactionConfig:
 
     types: tuple[str, ...] | None = None
     use_ner: bool = False
-    ner_model: str = "en_core_web_lg"
+    #: A model's name, or a function (see operators.ner.Model).
+    ner_model: object = "en_core_web_lg"
     salt: str = SALT
     scrub_metadata: bool = True
     emit_mapping: bool = False

@@ -20,9 +20,9 @@ STATELESS = tuple(t for t in PII_TYPES if t not in NAMED)
 
 
 def redact_stream(stream: DataFrame, text: str = "text", config: RedactionConfig = RedactionConfig()) -> DataFrame:
-    """spans and redacted for every type but people and organisations; no state, no shuffle."""
+    """spans and redacted for every type but people and organisations; no state, no shuffle. Of the statistical layer, places are left."""
     types = tuple(t for t in (config.types or STATELESS) if t not in NAMED)
-    return redact(stream, text, None, RedactionConfig(types, False, salt=config.salt, policy=config.policy))
+    return redact(stream, text, None, RedactionConfig(types, config.use_ner, config.ner_model, config.salt, policy=config.policy))
 
 
 def counts_by_window(redacted: DataFrame, time: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
