@@ -21,12 +21,23 @@ def mapping_json(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("pii_type").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("original", "surrogate"))))).alias("json"))
 
 
-def write_audit(detected: DataFrame, path: str, config: RedactionConfig = RedactionConfig()) -> None:
-    audit_json(detected, config).write.text(path)
+def mapping_document(mapping: DataFrame) -> DataFrame:
+    """json, one row: {type: {original: surrogate}}, as one file holds it. All of a mapping is one value here, so it is for single documents. Sensitive."""
+    by_type = mapping.groupBy("pii_type").agg(F.sort_array(F.collect_list(F.struct("original", "surrogate"))).alias("of"))
+    listed = F.sort_array(F.collect_list(F.struct("pii_type", "of")))
+    return by_type.agg(F.to_json(F.map_from_entries(F.transform(listed, lambda x: F.struct(x["pii_type"], F.map_from_entries(x["of"]))))).alias("json"))
 
 
-def write_mapping(mapping: DataFrame, path: str) -> None:
-    mapping.write.json(path)
+def write_audit(detected: DataFrame, path: str, config: RedactionConfig = RedactionConfig(), scrubbed: tuple[str, ...] = ()) -> None:
+    audit_json(detected, config, scrubbed).write.text(path)
+
+
+def write_mapping(mapping: DataFrame, path: str, whole: bool = False) -> None:
+    """A row for each value; with whole, one object of all types."""
+    if whole:
+        mapping_document(mapping).coalesce(1).write.text(path)
+    else:
+        mapping.write.json(path)
 
 
 def write_report(annotated: DataFrame, path: str) -> None:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+from . import docx
+
 CASES: tuple[tuple[str, tuple[tuple[str, str], ...]], ...] = (
     ("Employee record: Priya Raghunathan, SSN 452-11-8873, date of birth 14/03/1982.", (("PERSON", "Priya Raghunathan"), ("SSN", "452-11-8873"), ("DATE_OF_BIRTH", "14/03/1982"))),
     ("Payment received from card 4539 1488 0343 6467 issued to Marcus Whitfield.", (("CREDIT_CARD", "4539 1488 0343 6467"), ("PERSON", "Marcus Whitfield"))),
@@ -22,3 +26,13 @@ CASES: tuple[tuple[str, tuple[tuple[str, str], ...]], ...] = (
     ("Total revenue was 4,200.00 million against 10,00,000 Equity Shares of face value 5 each.", ()),
     ("Refer to the Escrow Collection Bank and the Public Offer Account Bank as defined above.", ()),
 )
+
+
+def document() -> bytes:
+    """The cases as a Word document, a paragraph each."""
+    return docx.document([text for text, _ in CASES])
+
+
+def truth(name: str = "synthetic_pii.docx") -> str:
+    """What is to be found in the document, as JSON that evaluate.load_truth() reads."""
+    return json.dumps({"source_document": name, "blocks": [{"text": text, "entities": [list(e) for e in found]} for text, found in CASES]}, indent=2)
