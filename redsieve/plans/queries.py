@@ -19,7 +19,6 @@ from ..operators import names as N
 from ..operators import redact as R
 from ..operators.resolve import resolve
 from ..operators.structured import SPAN, SPECS, recognise
-from ..sources import docx
 from ..sources.sinks import audit_json
 from .config import RedactionConfig
 
@@ -53,7 +52,10 @@ TEXTS = {
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table. One of texts in so few pieces that cores would be idle, such as a single file with one row group, is dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def text_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -308,32 +310,6 @@ def locate_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", at["start"].cast("long").alias("start"), at["end"].cast("long").alias("end"))
 
 
-def _documents(spark: SparkSession) -> DataFrame:
-    data = docx.document(
-        ["Reach Mr. Rohan Dey at rohan.dey@gmail.com.", " "],
-        [[["Contact Person", "Role"], ["Anil Kulkarni", "Managing Director"], ["OUR PROMOTERS: Sandesh Bhagwat", None]]],
-        header="Northwind Components Private Limited",
-        author="Rohan Dey",
-    )
-    return spark.createDataFrame([("one.docx", bytearray(data))], "path string, content binary")
-
-
-def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docx.blocks_of(_documents(spark)).select("block_idx", "text", "context", "location", "is_header")
-
-
-def docx_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docx.redact_files(_documents(spark)).select("n_entities", "scrubbed", F.length("content").alias("n_bytes"))
-
-
-def ner_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the optional layer finds; nothing where its library isn't installed."""
-    from ..operators import ner
-
-    df = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return _rows(df.withColumn("spans", ner.entities("text")), F.col("spans"), "id")
-
-
 def base64_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.base64(F.encode("c_name", "utf-8")).alias("encoded"))
 
@@ -367,7 +343,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         surname_families, propagate_person, propagate_by_words, propagate_org, surname_spans, address_spans, allowlist_anti,
         legislation_filter, name_like, resolve_overlaps, redact_text, redaction_counts, mapping_table, detect_documents,
         audit_documents, type_filter_exposes_inner, eval_per_type, eval_micro, eval_macro, eval_stratum, eval_errors,
-        token_accuracy, synthetic_report, locate_label, docx_blocks, docx_redacted, ner_spans, base64_text, escaped_pattern,
+        token_accuracy, synthetic_report, locate_label, base64_text, escaped_pattern,
     ):
         out[f.__name__] = f
     return out | {f"surrogate_{t.lower()}": _surrogate(t) for t in SURROGATES}

@@ -1,13 +1,16 @@
 import json
+import re
 
+import cli
 import pytest
 from pyspark.sql import functions as F
 
-from redsieve.operators import evaluate, harvest
+from redsieve.functions import rx
+from redsieve.operators import evaluate, harvest, names
 from redsieve.operators import redact as R
 from redsieve.operators.structured import SPECS, RegexSpec
 from redsieve.plans.config import RedactionConfig, parse_options, parse_types
-from redsieve.sources import docx
+from redsieve.sources import docx, synthetic
 from redsieve.sources.sinks import audit_json, mapping_json, scrub_columns
 from redsieve.streaming.redaction import counts_by_window, each_batch, redact_stream
 
@@ -221,3 +224,71 @@ def test_streams(spark, tmp_path):
 def test_ner_degrades(spark):
     df = spark.createDataFrame([("Ann Rao",)], "text string")
     assert R.detect(df, config=RedactionConfig(use_ner=True)).count() == 1
+
+
+def test_rows_without_a_scope_share_nothing(spark):
+    df = spark.createDataFrame([(None, "Mr. Kiran Talwar came."), (None, "Then KIRAN TALWAR left."), (1, "Then Kiran Talwar left.")], "doc long, text string")
+    out = {r.text: [s.text for s in r.spans] for r in R.detect(df, scope="doc").collect()}
+    assert out[df.collect()[0].text] and not out["Then KIRAN TALWAR left."] and not out["Then Kiran Talwar left."]
+
+
+def test_jargon_is_no_name(spark):
+    phrases = ["Red Herring", "Weighted Average", "Motilal Securities", "Monday Tuesday", "Book Running", "Pimpri Chinchwad", "Anil Companies", "Net Proceeds", "Anil Utilisation", "Anil Utilization"]
+    people = ["Priya Raghunathan", "Anil Kulkarni", "Edward Said", "Kate West", "Jude Law", "Mira Gross", "B. N. Rao"]
+    df = spark.createDataFrame([(p,) for p in phrases + people], "p string")
+    assert {r.p for r in df.where(names.is_name_like(F.col("p"))).collect()} == set(people)
+
+
+def test_places_count_code_points(spark):
+    role, name = "Managing Director", "Anil Kulkarni"
+    rows = [("😀" * 200 + name + "x" * 237 + role, True), (name + "😀" * 238 + role, False), ("😀😀" + role + "y" * 200 + name, True), (name + " 😀" * 118 + role, True)]
+    df = spark.createDataFrame(rows, "context string, want boolean")
+    for r in df.select("want", names.keyword_is_near(F.lit(name), F.col("context")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_many_matches_are_placed_rightly(spark):
+    text = "".join(f"{'é' * (i % 5)}{i} " for i in range(1000))
+    found = spark.createDataFrame([(text,)], "text string").select(rx.spans_of("text", "[0-9]+").alias("m")).first().m
+    assert [(m.start, m.end, m.text) for m in found] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
+
+
+def test_cells_that_go_on_from_above(spark):
+    data = docx.document([], [[["Name", "Role"], ["Anil Kulkarni", "Managing Director"], [docx.ABOVE, "Trustee"]]])
+    files = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"PK broken")), ("c", bytearray(docx.document(["x"])))], "path string, content binary")
+    rows = docx.blocks_of(files).collect()
+    name = [r for r in rows if r.text == "Anil Kulkarni"]
+    assert len(name) == 1 and name[0].context == "Name | Role | Anil Kulkarni | Managing Director | Name | Role | Anil Kulkarni | Trustee"
+    assert [r.doc_id for r in rows if r.error] == ["b"] and {r.doc_id for r in rows} == {"a", "b", "c"}
+    done = {r.doc_id: r for r in docx.redact_files(files).collect()}
+    assert done["b"].content is None and "BadZipFile" in done["b"].error and done["a"].n_entities == 1
+
+
+def test_synthetic_files(spark, tmp_path):
+    (tmp_path / "one.docx").write_bytes(synthetic.document())
+    (tmp_path / "truth.json").write_text(synthetic.truth("one.docx"))
+    blocks = docx.read_docx(spark, str(tmp_path))
+    assert [r.text for r in blocks.orderBy("block_idx").collect()] == [text for text, _ in synthetic.CASES]
+    assert evaluate.load_truth(spark, str(tmp_path / "truth.json"), blocks).where("size(gold) > 0").count() == 11
+
+
+def test_ner_in_detection(spark):
+    model = lambda texts: [[(t.find(s), t.find(s) + len(s), label) for s, label in (("Anita Rao", "PERSON"), ("Equity Share", "PERSON"), ("NSDL", "ORG"), ("Acme Foods", "ORG")) if s in t] for t in texts]
+    df = spark.createDataFrame([("Anita Rao of Acme Foods holds Equity Share at NSDL",), (None,)], "text string")
+    found = R.detect(df, config=RedactionConfig(use_ner=True, ner_model=model)).collect()
+    assert [(s.pii_type, s.text, s.score) for s in found[0].spans] == [("PERSON", "Anita Rao", 0.6), ("ORGANISATION", "Acme Foods", 0.6)] and found[1].spans == []
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    assert cli.main([str(tmp_path / "nothing"), str(tmp_path / "out0"), "--format", "docx"]) == 1
+    assert cli.main([str(tmp_path / "nothing"), str(tmp_path / "out0")]) == 1
+    assert cli.main([str(folder), str(tmp_path / "out"), "--format", "docx", "--audit", str(tmp_path / "audit"), "--mapping", str(tmp_path / "map")]) == 0
+    audit = json.loads(spark.read.text(str(tmp_path / "audit")).first()[0])
+    mapped = json.loads(spark.read.text(str(tmp_path / "map")).first()[0])
+    assert audit["metadata_fields_scrubbed"] == ["author"] and audit["blocks_processed"] == 7
+    assert "Rohan Dey" in mapped["PERSON"] and "rohan.dey@gmail.com" in mapped["EMAIL"]
+    assert "Redacted" in capsys.readouterr().out
+    spark.createDataFrame([(1, "to a@b.co")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    assert cli.main([str(tmp_path / "in"), str(tmp_path / "out2"), "--no-ner", "--types", "EMAIL", "--mapping", str(tmp_path / "map2")]) == 0
+    assert "a@b.co" not in spark.read.parquet(str(tmp_path / "out2")).first().text
+    assert spark.read.json(str(tmp_path / "map2")).first().original == "a@b.co"

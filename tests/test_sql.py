@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from redsieve.plans.queries import queries
-from redsieve.plans.sql import ORACLES
+from redsieve.plans import cases, queries, sql
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = queries.queries() | cases.queries(), sql.ORACLES | cases.SQL
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
 
 
@@ -28,7 +28,7 @@ def plain(rows):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     found = duck.execute(ORACLES[name])
     names = [d[0] for d in found.description]
@@ -38,4 +38,4 @@ def test_same_rows(spark, duck, name):
 
 
 def test_no_sql_without_a_query():
-    assert set(ORACLES) <= set(queries())
+    assert set(ORACLES) <= set(QUERIES)
