@@ -10,8 +10,9 @@ Edges are confirmed on full sets.
 Documents with the same set are one class before any bucket is made, so copies
 cost nothing. A star loses a link between two leaves when neither links with the
 centre. So while a bucket holds several components, further rounds take centres that
-were none before, by a hash that differs for each bucket, four times as many each
-round, until every pair of the bucket is tried or within a component. In the first round
+were none before: those whose hash, which differs for each bucket, is under a bound that
+lets some four times as many through each round, until every pair of the bucket is tried or
+within a component. No bucket is ever sorted or held whole. In the first round
 the centre is the smallest doc_id, as what is copied mostly comes before its copies.
 Pairs of later rounds are first held against sketches of their sets: parities that
 differ in more places than the sets may differ in elements rule a pair out for certain.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -43,6 +44,8 @@ BANDS = 32
 SKETCH = 1024
 #: Each round takes so many times the centres of the one before.
 FASTER = 4
+#: Up to so many buckets (32 bytes each) a copy of them goes to each executor; beyond, a shuffle joins them.
+FEW_BUCKETS = 250_000
 #: A worker remembers the hashes of so many words.
 WORD_CACHE = 1 << 17
 
@@ -184,9 +187,9 @@ def near_duplicates(documents: DataFrame, with_text: bool = False) -> DataFrame:
     rows = classes.select("c", "n", "least", F.explode("bands").alias("key"))
     # the first document of a bucket is its centre: what is copied comes before its copies
     shared = rows.groupBy("key").agg(F.min(F.struct("least", "c", "n")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    buckets = settle(
-        rows.join(shared, "key").select("key", "c", "n", F.col("m.c").alias("m"), F.col("m.n").alias("m_n")), "buckets"
-    )
+    # settled, so that a bucket with very many rows is joined in as many tasks as AQE makes of it; few are sent to the rows
+    shared = settle(shared.select("key", "k", F.col("m.c").alias("m"), F.col("m.n").alias("m_n")), "shared")
+    buckets = settle(rows.select("key", "c", "n").join(F.broadcast(shared) if shared.limit(FEW_BUCKETS + 1).count() <= FEW_BUCKETS else shared, "key"), "buckets")
     wanted = buckets.select("c").distinct()
     sources = classes.select("c", F.col("first.doc_id").alias("d"), F.col("first.t").alias("of")).join(wanted, "c")
     texts = docs.join(sources, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("of"))).select("c", "text")
@@ -197,28 +200,23 @@ def near_duplicates(documents: DataFrame, with_text: bool = False) -> DataFrame:
     tried = settle(buckets.where("c != m").where(_sizes_allow()).select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b")).distinct(), "star")
     links = settle(_confirm(tried, sets).distinct(), "links")
     roots = components(links, "a", "b")
-    # those of a bucket in an order of its own; the first `done` of them have been centres
-    open_ = buckets.where("c != m").select("key", "c", "n")
-    done, more, ranked = 0, 1, False
+    # those of a bucket have places from 0 to 1 by a hash of their own; those up to done / k have been centres
+    place = F.pmod(F.xxhash64("c", "key"), F.lit(1 << 52)) / float(1 << 52)
+    open_ = buckets.where("c != m").select("key", "c", "n", "k", place.alias("u")).join(sets.select("c", "sketch"), "c")
+    done, more = 0, 1
     while True:
         placed = open_.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        now = placed.join(several, "key")
-        if not ranked:
-            by = Window.partitionBy("key").orderBy(F.xxhash64("c", "key"), "c")
-            now, ranked = now.withColumn("rank", F.row_number().over(by)).join(sets.select("c", "sketch"), "c"), True
-        now = settle(now, "open")
+        several = settle(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "several")
+        now = settle(placed.join(several, "key"), "open")
         if now.isEmpty():
             break
-        centre = now.where(F.col("rank") <= done + more).select(
-            "key", F.col("c").alias("m"), F.col("n").alias("m_n"), F.col("root").alias("m_root"), F.col("rank").alias("m_rank"), F.col("sketch").alias("m_sketch")
-        )
+        centre = now.where(F.col("u") * F.col("k") <= done + more).select("key", *(F.col(x).alias(f"m_{x}") for x in ("c", "n", "root", "u", "sketch")))
         star = (
             now.join(centre, "key")
-            .where("rank > m_rank and root != m_root")
+            .where("(u > m_u or (u = m_u and c > m_c)) and root != m_root")
             .where(_sizes_allow())
             .where(_sketches_allow())
-            .select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
+            .select(F.least("c", "m_c").alias("a"), F.greatest("c", "m_c").alias("b"))
             .distinct()
         )
         star = settle(star.join(tried, ["a", "b"], "left_anti"), "star")
@@ -228,7 +226,7 @@ def near_duplicates(documents: DataFrame, with_text: bool = False) -> DataFrame:
             links = links.unionAll(found)
             roots = components(links, "a", "b")
         done, more = done + more, more * FASTER
-        open_ = now.where(F.col("rank") > done).drop("root")
+        open_ = now.where(F.col("u") * F.col("k") > done).drop("root")
     roots = settle(roots, "roots")
     placed = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     # settled, so that both sides of the join come from shuffles of their own, of which AQE splits the partition of a hot root
