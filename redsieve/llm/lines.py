@@ -213,7 +213,8 @@ def line_classes(documents: DataFrame, tau: int = THRESHOLD, min_chars: int = MI
     roots = settle(components(links, "a", "b"), "line-roots").withColumnRenamed("node", "h")
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     linked = firsts.join(roots, "h").join(degree, "h")
-    of_class = linked.groupBy("root").agg(F.min("first").alias("class"))
+    # settled, so that AQE can split the partition of a class with very many lines
+    of_class = settle(linked.groupBy("root").agg(F.min("first").alias("class")), "classes")
     linked = linked.join(of_class, "root").select("h", "class", "n_links")
     # a line of which there is one, and nothing like it, needs no partner
     alone = firsts.where("copies > 1").join(linked, "h", "left_anti").select("h", F.col("first").alias("class"), F.lit(0).cast("long").alias("n_links"))
