@@ -13,10 +13,10 @@ the state that a new state is a copy of, the arc that a new arc goes with, and w
 these the arcs of the transition table are filled in as words ask for them: an arc
 is missing if it, or one that it was copied from, was lost before it was copied.
 
-A word is encoded from left to right. At each position stands at most one state;
-a tree of the tokens' bytes tells which tokens begin there, and the table which of them
-the state has arcs for, each of which puts its state where it ends. Decoding emits the labels of the
-arcs.
+A word is encoded by running the automaton over it from its start. A tree of the
+tokens' bytes tells which tokens begin at a position, and the table which of them the state
+there has arcs for; the longest is taken first. As a beginning of a word is accepted in one way only, a position
+that leads nowhere is left for good. Decoding emits the labels of the arcs.
 
 Normal form, pre-splitting, special tokens and decoder are those of the vocabulary's file; a
 component that isn't known here is an error. Pieces between white space don't touch each
@@ -34,7 +34,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import public_tokenizers
@@ -46,10 +46,10 @@ from .util import ids_as_long, ids_as_text
 VOCABULARY = "word_bpe_49k.json"
 WORD_END = "</w>"
 #: A worker remembers so many pieces, and so many of the words that they are split into.
-PIECE_CACHE = 200_000
-WORD_CACHE = 300_000
+PIECE_CACHE = 150_000
+WORD_CACHE = 200_000
 #: And so many entries of the transition table, besides those that gadgets wrote.
-KNOWN_ARCS = 500_000
+KNOWN_ARCS = 250_000
 NEVER = 1 << 60
 
 #: Fixed values. The vocabulary's library tells letters and digits by Unicode 16, later ones are marks to it; and
@@ -86,25 +86,24 @@ class MergeAutomaton:
 
     def __init__(self, merges: list[tuple[str, str]], vocabulary: dict[str, int], end: str = WORD_END):
         self.labels: dict[int, str] = {i: s for s, i in vocabulary.items()}
-        #: (state, arc) -> the merge whose gadget took it.
-        self.lost: dict[tuple[int, int], int] = {}
-        #: state -> the states whose arcs it has by copying, itself first, each with the merge before which they were copied.
-        self.copied: dict[int, list[tuple[int, int]]] = {}
-        #: arc -> the arcs that it goes with, itself first, each with the last merge that counts.
-        self.goes_with: dict[int, list[tuple[int, int]]] = {}
+        #: state << 20 | arc -> the merge whose gadget took it.
+        self.lost: dict[int, int] = {}
+        #: state -> the state that it is a copy of, and arc -> the arc that it goes with, with the merge that made either.
+        self.copy_of: dict[int, tuple[int, int] | None] = {}
+        self.goes_with: dict[int, tuple[int, int] | None] = {}
         #: The transition table: state << 20 | arc -> is it there?
         self.table: dict[int, bool] = {}
         made = {left + right for left, right in merges}
         for label, token in vocabulary.items():
             if label not in made:
-                self.copied[token], self.goes_with[token] = [(token, NEVER)], [(token, NEVER)]
+                self.copy_of[token] = self.goes_with[token] = None
         for merge, (left, right) in enumerate(merges):
             self._gadget(merge, vocabulary[left], vocabulary[right], vocabulary[left + right])
         #: The tokens' bytes as a tree: node << 9 | byte -> node, with 256 for the end of a word; and node -> token.
         self.next: dict[int, int] = {}
         self.token: dict[int, int] = {}
         chars = {c: b for b, c in enumerate(_byte_chars())}
-        for token in self.copied:
+        for token in self.copy_of:
             label = self.labels[token]
             node = 0
             for step in [chars[c] for c in label.removesuffix(end)] + [256] * label.endswith(end):
@@ -113,22 +112,29 @@ class MergeAutomaton:
 
     def _gadget(self, merge: int, u: int, v: int, uv: int) -> None:
         """One merge; where the state after u has no arc v, there is nothing to merge and no state is added."""
-        if u not in self.copied or v not in self.copied or not self._filled(u, v):
+        if u not in self.copy_of or v not in self.copy_of or not self._filled(u, v):
             return
-        self.lost[u, v] = merge
+        self.lost[u << 20 | v] = merge
         self.table[u << 20 | v] = False
-        self.copied[uv] = [(uv, NEVER), *((state, min(merge, until)) for state, until in self.copied[v])]
-        self.goes_with[uv] = [(uv, NEVER), *((arc, min(merge, until)) for arc, until in self.goes_with[u])]
+        self.copy_of[uv], self.goes_with[uv] = (v, merge), (u, merge)
 
     def _filled(self, state: int, arc: int) -> bool:
         """Has the state the arc, by all merges so far?"""
-        for of, before in self.copied[state]:
-            for with_, until in self.goes_with[arc]:
-                taken = self.lost.get((of, with_))
+        of, before = state, NEVER
+        while True:
+            with_, until = arc, NEVER
+            while True:
+                taken = self.lost.get(of << 20 | with_)
                 # a state is copied before its merge takes arcs, an arc goes with one that its merge has left: no x follows xx by xx
                 if taken is not None and taken < before and taken <= until:
                     return False
-        return True
+                if (further := self.goes_with[with_]) is None:
+                    break
+                # made by ever earlier merges, so the last one decides
+                with_, until = further
+            if (further := self.copy_of[of]) is None:
+                return True
+            of, before = further
 
     def has(self, state: int, arc: int) -> bool:
         """Has the state the arc? The table remembers."""
@@ -142,34 +148,44 @@ class MergeAutomaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one pre-split word."""
-        n, step, token, table = len(word), self.next.get, self.token.get, self.table.get
-        # the state at each position, and where its token began
-        state: list[int | None] = [None] * (n + 1)
-        began = [0] * (n + 1)
-        state[0] = self.START
-        for at in range(n):
-            here = state[at]
-            if here is None:
-                continue
-            node = 0
-            for end in range(at + 1, n + 1):
-                node = step(node << 9 | word[end - 1])
+        n, step, token, known = len(word), self.next.get, self.token.get, self.table.get
+        at, state, out, ends, left, nowhere = 0, self.START, [], [], [], set()
+        while at < n:
+            # the tokens that begin here, the longest last
+            node, arcs = 0, []
+            for end in range(at, n):
+                node = step(node << 9 | word[end])
                 if node is None:
                     break
-                last = step(node << 9 | 256) if end == n else node
-                arc = token(last) if last is not None else None
-                if arc is None or state[end] is not None:
+                if end + 1 < n:
+                    if (arc := token(node)) is not None:
+                        arcs.append((arc, end + 1))
+                elif (last := step(node << 9 | 256)) is not None and (arc := token(last)) is not None:
+                    arcs.append((arc, n))
+            while True:
+                if not arcs:
+                    # back to the state before, which goes on with its next shorter token
+                    nowhere.add(at)
+                    out.pop()
+                    ends.pop()
+                    arcs = left.pop()
+                    at, state = (ends[-1], out[-1]) if out else (0, self.START)
+                    continue
+                arc, end = arcs.pop()
+                if end in nowhere:
                     continue
                 if at:
-                    there = table(here << 20 | arc)
-                    if there is False or (there is None and not self.has(here, arc)):
+                    there = known(state << 20 | arc)
+                    if there is None:
+                        there = self.has(state, arc)
+                    if not there:
                         continue
-                state[end], began[end] = arc, at
-        out, at = [], n
-        while at:
-            out.append(state[at])
-            at = began[at]
-        return out[::-1]
+                break
+            out.append(arc)
+            ends.append(end)
+            left.append(arcs)
+            at, state = end, arc
+        return out
 
 
 def _normaliser(spec: dict | None):
@@ -207,15 +223,22 @@ def _pattern(spec: dict) -> regex.Pattern:
     return regex.compile(text, regex.V1)
 
 
-def _splitter(spec: dict) -> regex.Pattern:
-    """What the pre-tokenizer keeps: matches of its pattern, as bytes; all else goes."""
+def _splitter(spec: dict) -> Callable[[str], list[str]]:
+    """A function that gives what the pre-tokenizer keeps of a text: matches of its pattern, as bytes; all else goes."""
     first, *rest = spec["pretokenizers"] if spec["type"] == "Sequence" else [spec]
     if first["type"] != "Split" or first["behavior"] != "Removed" or not first["invert"] or [(r["type"], r["use_regex"], r["add_prefix_space"]) for r in rest] != [("ByteLevel", False, False)]:
         raise NotImplementedError(f"pre-tokenizer {spec}")
     pattern = _pattern(first["pattern"])
     if pattern.search(" \t\r\n\x85\u2003"):
         raise NotImplementedError("words with white space in them")
-    return pattern
+    plain = first["pattern"].get("Regex", "")
+    if "\\" in re.sub(r"\[[^\]]*\]", "", plain) or not plain:
+        return pattern.findall
+    # the same for ASCII, where its classes are short
+    for name, of in ((r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9"), (r"\s", r" \t-\r")):
+        plain = plain.replace(name, of)
+    ascii_only = re.compile(plain)
+    return lambda text: ascii_only.findall(text) if text.isascii() else pattern.findall(text)
 
 
 class WordTokenizer:
@@ -238,7 +261,7 @@ class WordTokenizer:
 
     def _piece(self, piece: str) -> bytes:
         out = b""
-        for word in self._words.findall(self._normal(piece)):
+        for word in self._words(self._normal(piece)):
             ids = self.words.get(word)
             if ids is None:
                 ids = array("I", self.automaton.encode(word.encode("utf-8"))).tobytes()
