@@ -46,8 +46,8 @@ from .util import ids_as_long, ids_as_text
 VOCABULARY = "word_bpe_49k.json"
 WORD_END = "</w>"
 #: A worker remembers so many pieces, and so many of the words that they are split into.
-PIECE_CACHE = 150_000
-WORD_CACHE = 200_000
+PIECE_CACHE = 120_000
+WORD_CACHE = 150_000
 #: And so many entries of the transition table, besides those that gadgets wrote.
 KNOWN_ARCS = 250_000
 NEVER = 1 << 60

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import settle, tally
+from .util import forget, settle, tally
 
 
 #: From so many edges on, minima are written before they are joined: then both sides of the join come from a shuffle of its
@@ -43,6 +43,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = _joined(large, least, many).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         after = settle(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         seen = tally(after, "u", "v")
+        forget(now)
         now = after
         if seen == before:
             break

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import settle
+from .util import rows_a_batch, settle
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -179,7 +179,8 @@ def mix(documents: DataFrame, weight: Column | None = None) -> DataFrame:
     """The mixture itself: each document as often as it is taken, its columns as they were."""
     key = drawn_key(quality_weight() if weight is None else weight)
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
-    rows = settle(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), size_of().alias("size"), key.alias("key"), whole), "drawn")
+    with rows_a_batch(documents.sparkSession, 1000):
+        rows = settle(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), size_of().alias("size"), key.alias("key"), whole), "drawn")
     cut = cuts(rows.select("doc_id", "source", "size", "key"))
     taken = _with_cuts(rows, cut).withColumn("n", times(F.col("size")).cast("int")).where("n > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("row.*")
