@@ -241,6 +241,19 @@ def _splitter(spec: dict) -> Callable[[str], list[str]]:
     return lambda text: ascii_only.findall(text) if text.isascii() else pattern.findall(text)
 
 
+class _Pieces(dict):
+    """The ids of pieces, worked out when they are first asked for; so many short ones are remembered."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(self) < PIECE_CACHE and len(piece) < 64:
+            self[piece] = ids
+        return ids
+
+
 class WordTokenizer:
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -256,7 +269,7 @@ class WordTokenizer:
         self.labels = self.automaton.labels | {i: s for s, i in self.special.items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._normal, self._words = _normaliser(spec["normalizer"]), _splitter(spec["pre_tokenizer"])
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self._piece)
         self.words: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -268,8 +281,6 @@ class WordTokenizer:
                 if len(self.words) < WORD_CACHE and len(word) < 64:
                     self.words[word] = ids
             out += ids
-        if len(self.pieces) < PIECE_CACHE and len(piece) < 64:
-            self.pieces[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -280,10 +291,7 @@ class WordTokenizer:
             if k % 2:
                 out.append(array("I", [self.special[part]]).tobytes())
                 continue
-            for piece in _SPACE.split(part) if not part.isascii() or _ODD.search(part) else part.split():
-                if piece:
-                    got = self.pieces.get(piece)
-                    out.append(self._piece(piece) if got is None else got)
+            out += map(self.pieces.__getitem__, _SPACE.split(part) if not part.isascii() or _ODD.search(part) else part.split())
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
