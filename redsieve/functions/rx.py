@@ -90,3 +90,11 @@ def slice_of(text: Column | str, start: Column, end: Column) -> Column:
     """text[start:end] by code points from 0."""
     text = _col(text)
     return F.substring(text, start.cast("int") + 1, F.greatest(end - start, F.lit(0)).cast("int"))
+
+
+def window_of(text: Column | str, start: Column, end: Column) -> Column:
+    """text[start:end] behind one character more of the kind that stands there, so that a window cut from within a word doesn't begin one: a small letter, "0" or a blank."""
+    text = _col(text)
+    before = F.when(start > 0, slice_of(text, start - 1, start)).otherwise(F.lit(""))
+    kind = F.when(before.rlike(r"\p{Ll}"), F.lit("ß")).when(before.rlike(r"[\p{L}\p{M}\p{N}]"), F.lit("0")).otherwise(F.lit(" "))
+    return F.concat(kind, slice_of(text, start, end))

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rx import _col
+from .rx import _col, any_of
 
 # The dihedral group of order ten and the permutation of the Verhoeff scheme.
 _VERHOEFF_D = (
@@ -102,6 +102,17 @@ def tokens(value: Column | str) -> Column:
     return F.filter(F.split(_col(value), r"(?U)\s+"), lambda t: t != "")
 
 
+#: Where a word may begin: not behind a letter, a mark or a digit, or at a capital behind a small letter ("NameDirector").
+WORD_BEGINS = r"(?:(?<![\p{L}\p{M}\p{N}])|(?<=\p{Ll})(?=\p{Lu}))"
+
+
+def begins_any(text: Column, needles: tuple[str, ...]) -> Column:
+    """Does a word of text begin with any needle, in either case? What stands within a word ("aged" in "managed") is none; what follows it (a plural) is free."""
+    pattern = f"{WORD_BEGINS}(?i:{any_of(needles)})"
+    # few texts have a needle at all, and the search for each is cheaper than the pattern
+    return contains_any(F.lower(text), needles) & F.coalesce(text.rlike(pattern), F.lit(False)) if needles else F.lit(False)
+
+
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
     """Is any needle a substring of text? A search for each is several times as fast as an alternation of them."""
     return F.coalesce(let(text, lambda t: F.exists(words(needles), lambda k: F.contains(t, k))), F.lit(False))

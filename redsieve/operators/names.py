@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rx
 from ..functions.policy import DEFAULT, Policy
-from ..functions.scalars import among, collapsed, contains_any, let, stripped, tokens, words
+from ..functions.scalars import WORD_BEGINS, among, begins_any, collapsed, contains_any, let, stripped, tokens, words
 
 # Patterns of names, organisations and roles.
 NAME_TOKEN = r"(?:[A-Z][a-z'\-]{1,20}|[A-Z]{2,20})"
@@ -32,7 +32,7 @@ def name_role_pattern(policy: Policy = DEFAULT) -> str:
 
 
 def label_pattern(policy: Policy = DEFAULT) -> str:
-    return rf"(?iUs)(?:{rx.any_of(policy.keywords)})\s*[:\-]\s*(.{{5,400}})"
+    return rf"(?Us){WORD_BEGINS}(?i:{rx.any_of(policy.keywords)})\s*[:\-]\s*(.{{5,400}})"
 
 
 def blocked_tokens(policy: Policy = DEFAULT) -> tuple[str, ...]:
@@ -67,7 +67,7 @@ def longest_name(phrase: Column, policy: Policy = DEFAULT) -> Column:
 
 
 def has_person_context(text: Column, policy: Policy = DEFAULT) -> Column:
-    return contains_any(F.lower(text), policy.keywords)
+    return begins_any(text, policy.keywords)
 
 
 def is_public_body(phrase: Column, policy: Policy = DEFAULT) -> Column:
@@ -131,16 +131,18 @@ def looks_like_org(tail: Column, policy: Policy = DEFAULT) -> Column:
 
 
 def keyword_is_near(phrase: Column, context: Column, policy: Policy = DEFAULT) -> Column:
-    """Some role keyword begins within PROXIMITY of the phrase's first place in the context; true where it has none."""
-    reach = max(map(len, policy.keywords))
-    nearest = F.split(F.lit("\x1f".join(policy.keywords)), "\x1f")
+    """Some role keyword begins a word within PROXIMITY of the phrase's first place in the context; true where it has none."""
+    reach = max(map(len, policy.keywords), default=0)
+    role = f"{WORD_BEGINS}(?i:{rx.any_of(policy.keywords)})"
+    # the one letter that is two code points in lower case
+    context = F.translate(context, "İ", "I")
 
     def near(at: Column) -> Column:
         start = F.greatest(at - PROXIMITY, F.lit(0))
-        window = rx.slice_of(F.lower(context), start, at + PROXIMITY + reach)
-        # places count code points, as those of locate do
-        begins = let(window, lambda w: F.transform(nearest, lambda k: F.call_function("locate", k, w)))
-        return (at < 0) | F.exists(begins, lambda i: (i > 0) & (i - 1 + start <= at + PROXIMITY))
+        window = rx.window_of(context, start, at + PROXIMITY + reach)
+        # the first such place is the nearest to the window's begin: if it is too far, all are
+        parts = F.split(window, role, 2)
+        return (at < 0) | let(parts, lambda p: (F.size(p) > 1) & (F.length(F.get(p, F.lit(0))) - 1 + start <= at + PROXIMITY))
 
     return let(F.call_function("locate", F.lower(phrase), F.lower(context)) - 1, near)
 

@@ -79,3 +79,21 @@ def test_matches_with_offsets_as_python_has_them(spark, kind):
 def test_no_matches_in_null(spark):
     df = spark.createDataFrame([(None, None), ("a1", None), (None, "[0-9]")], "text string, p string")
     assert all(r.m == [] for r in df.select(rx.spans_of("text", F.col("p")).alias("m")).collect())
+
+
+def test_words_begin_with_a_needle(spark):
+    from redsieve.functions.scalars import begins_any
+
+    texts = {"aged 40": True, "managed": False, "un-aged": True, "the directors": True, "AnnDirector": True, "QBAGED": False, "codirectors": False, "a directorate, aged": True, "éaged": False, "4aged": False, "": False, None: False}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", begins_any(F.col("t"), ("aged", "director")).alias("b")).collect()
+    assert {r.t: r.b for r in rows} == texts
+
+
+def test_a_role_near_by_begins_a_word(spark):
+    from redsieve.operators.names import keyword_is_near
+
+    gap = "x " * 120
+    near = {f"{gap}Ann Rao | director": True, "Ann Rao damaged": False, f"director {gap}Ann Rao": True, f"dam aged{gap}xxxxx Ann Rao": True, f"damaged{gap}xxxxx Ann Rao": False, f"Ann Rao {gap}x aged": True, f"Ann Rao {gap}xxxxxxx aged": False, "none": True}
+    rows = spark.createDataFrame([(t,) for t in near], "t string").select("t", keyword_is_near(F.lit("Ann Rao"), F.col("t")).alias("b")).collect()
+    for r in rows:
+        assert r.b == near[r.t], r.t
