@@ -29,3 +29,7 @@ def same_rows(spark, folder, name):
 
 def test_a_role_within_a_name_is_none(spark, tables):
     same_rows(spark, tables, "harvest_short_block")
+
+
+def test_a_header_whose_name_holds_a_role_is_a_label(spark, tables):
+    same_rows(spark, tables, "header_guard")
