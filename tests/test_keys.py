@@ -33,3 +33,7 @@ def test_a_role_within_a_name_is_none(spark, tables):
 
 def test_a_header_whose_name_holds_a_role_is_a_label(spark, tables):
     same_rows(spark, tables, "header_guard")
+
+
+def test_a_name_that_holds_a_role_is_no_context(spark, tables):
+    same_rows(spark, tables, "propagate_by_words")
