@@ -9,14 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rx
-from ..functions.scalars import contains_any, digits, luhn, verhoeff
+from ..functions.scalars import begins_any, digits, luhn, verhoeff
 
 SPAN = "array<struct<start:int,end:int,pii_type:string,text:string,score:double,source:string>>"
 
 
 @dataclass(frozen=True)
 class RegexSpec:
-    """A recogniser: every match of pattern, if a gate word stands within window before it and validate holds."""
+    """A recogniser: every match of pattern, if a word begins with a gate within window before it and validate holds."""
 
     source: str
     pii_type: str
@@ -107,12 +107,12 @@ def recognise(text: str, spec: RegexSpec) -> Column:
     """The spans of one recogniser in a column of text."""
     found = rx.spans_of(text, "(?U)" + spec.pattern)
     if spec.gate:
-        before = lambda m: F.lower(rx.slice_of(text, F.greatest(m["start"] - spec.window, F.lit(0)), m["start"]))
-        found = F.filter(found, lambda m: contains_any(before(m), spec.gate))
+        before = lambda m: rx.window_of(text, F.greatest(m["start"] - spec.window, F.lit(0)), m["start"])
+        found = F.filter(found, lambda m: begins_any(before(m), spec.gate))
     if spec.validate:
         found = F.filter(found, lambda m: spec.validate(m["text"]))
     spans = as_spans(found, spec.pii_type, spec.score, spec.source)
     worth = F.lit(True) if spec.hint is None else rx.has(text, spec.hint)
     if spec.gate:
-        worth = worth & contains_any(F.lower(F.col(text)), spec.gate)
+        worth = worth & begins_any(F.col(text), spec.gate)
     return F.when(worth, spans).otherwise(empty_spans())

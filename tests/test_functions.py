@@ -97,3 +97,20 @@ def test_a_role_near_by_begins_a_word(spark):
     rows = spark.createDataFrame([(t,) for t in near], "t string").select("t", keyword_is_near(F.lit("Ann Rao"), F.col("t")).alias("b")).collect()
     for r in rows:
         assert r.b == near[r.t], r.t
+
+
+def test_a_gate_begins_a_word(spark):
+    from redsieve.operators.structured import recognise
+
+    din = next(s for s in SPECS if s.pii_type == "DIN")
+    want = {"edin token 81a5e43159407a3": 0, "DIN 43159407": 1, "DINs: 43159407": 1, "me" + "din" + " " * 47 + "43159407": 0, ". " + "din" + " " * 47 + "43159407": 1, ". din" + " " * 48 + "43159407": 0}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", F.size(recognise("t", din)).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == want
+
+
+def test_a_phone_before_a_card_is_found(spark):
+    from redsieve.operators.structured import recognise
+
+    phone = next(s for s in SPECS if s.pii_type == "PHONE")
+    row = spark.createDataFrame([("erntou +1 (269) 555-3296 4524132264652876 and",)], "t string").select(recognise("t", phone).alias("s")).first()
+    assert [s.text for s in row.s] == ["+1 (269) 555-3296"]
