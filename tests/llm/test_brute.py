@@ -1,6 +1,7 @@
 """Every query against a plain version, on the smallest tables."""
 
 import hashlib
+import random
 import re
 import sys
 import zlib
@@ -338,3 +339,24 @@ def test_pipeline_stages(spark, texts):
     assert len(ids) == len(mixed)
     run = corpus_pipeline.run(spark, SF).toPandas()
     assert sorted(run["ids_sha256"]) == sorted(ids["ids_sha256"])
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, few):
+    from redsieve.llm import components as C
+
+    monkeypatch.setattr(C, "FEW_EDGES", few)
+    # a path in random order, a star, ids that floats don't hold, loops, nulls and repeats
+    big, nodes = 1 << 62, random.Random(4).sample(range(10_000), 300)
+    edges = [*zip(nodes, nodes[1:]), *((20_000, 20_001 + i) for i in range(50)), (big + 1, big), (-5, -9), (7_777_777, 7_777_777), (None, 3), (-5, -9)]
+    out = {r.node: r.root for r in C.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert out == {n: min(nodes) for n in nodes} | {n: 20_000 for n in range(20_000, 20_051)} | {big: big, big + 1: big, -5: -9, -9: -9}
+
+
+def test_rounds_of_few_edges_need_no_shuffle(spark, monkeypatch):
+    from redsieve.llm import components as C
+
+    plans = []
+    monkeypatch.setattr(C, "settle", lambda df, name, settle=C.settle: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df, name))
+    C.components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long"), "a", "b").collect()
+    assert len(plans) > 2 and "hashpartitioning" in plans[0] and not any("hashpartitioning" in p for p in plans[1:])
