@@ -8,13 +8,20 @@ distance less both covering radii is over the threshold; what is left goes down
 vectors, which are compared in double precision. A node's centre is its first child, so
 levels are nested; centres of one level are apart by its radius under one parent.
 
+Levels that gather next to nothing, as those of vectors without structure, are left out:
+there the vectors hang below the root. Of two such blocks only vectors are compared that
+are no farther from the other's centre than its covering angle and the threshold's
+together, first by their leading coordinates: with the lengths of the rest as one more
+coordinate, these have an inner product of at least the cosine. No pair is lost by that.
+
 Above the blocks stand two coarser levels. Vectors are put to the nearest of a bounded
 number of pivots, which grows with the table. A cell's vectors are cut into blocks by
-halving them between two far ends, so a block is near in space and has a radius of its own.
-Pairs of pivots, then pairs of blocks, whose covering radii leave no room are dropped by
-their centres alone; only blocks of pairs that are left travel.
+halving them between two far ends, then by their angle to the centre. Cells that follow
+each other are near in space, and are packed into groups of bounded size. Each two groups
+whose covering angles leave room meet in one row, read from their files without a shuffle;
+there, pairs of blocks are dropped by their centres alone.
 
-Links are counted where they are found, and each pair of blocks gives one row for
+Links are counted where they are found, and each pair of groups gives one row for
 each of its linked vectors, with the least vector it hangs together with there. So a
 group of copies costs rows in proportion to its size, not to its square. Equal
 vectors are one vector with a weight before all this.
@@ -44,15 +51,23 @@ from .util import rows_a_batch, settle
 from .vectors import unit, valid
 
 COSINE = 0.95
-BLOCK = 4096
-#: Vectors that others are dealt to, the first by a digest of their id: one for each block that the table fills, within these bounds.
-PIVOTS = (16, 1024)
-#: So many blocks of a cell are cut apart in one task.
-AT_ONCE = 2
+BLOCK = 1024
+#: Vectors that others are dealt to, the first by a digest of their id: one for each two blocks that the table fills, within these bounds.
+PIVOTS = (16, 4096)
+#: No more pivots of one length than fill so many bytes, but for the least number.
+PIVOT_BYTES = 16 << 20
+#: A group is a sixteenth of the table, but at least two blocks and at most so many bytes of floats.
+GROUPS, GROUP_BYTES = 16, 8 << 20
 LEVELS = 6
+#: Leading coordinates by which vectors are compared first.
+LEAD = 23
 #: Node pairs that are compared at once.
 CHUNK = 1 << 15
+#: Pairs found that are kept until they are joined.
+KEPT = 1 << 20
 _SLACK = 1e-7
+#: What a cosine in single precision may be off, with room to spare.
+_SLACK_SINGLE = 1e-5
 
 
 class CoverTree:
@@ -66,7 +81,7 @@ class CoverTree:
         self.levels = [(top, np.array([dist.max()]))]
         self.children: list[tuple[np.ndarray, np.ndarray]] = []
         radius = 1.0
-        for _ in range(LEVELS):
+        for _ in range(LEVELS if self._gathers() else 0):
             centres, owner_new, parent, far = [], np.empty(len(x), np.int64), [], []
             order = np.argsort(owner, kind="stable")
             bounds = np.searchsorted(owner[order], np.arange(len(self.levels[-1][0]) + 1))
@@ -91,6 +106,12 @@ class CoverTree:
         self.levels.append((order, np.zeros(len(x))))
         self.children.append(self._spans(owner[order], len(self.levels[-2][0])))
 
+    def _gathers(self) -> bool:
+        """Whether most vectors have another within the first level's radius."""
+        x = self.x.astype(np.float32)
+        alone = sum(int((np.count_nonzero(x[s : s + BLOCK] @ x.T >= 0.5, axis=1) <= 1).sum()) for s in range(0, len(x), BLOCK))
+        return 4 * alone <= len(x)
+
     def packed(self) -> bytes:
         return pickle.dumps((self.levels, self.children))
 
@@ -179,135 +200,221 @@ def _least_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _linked(cosine: float):
+class _Group:
+    """A row of the groups, as arrays: all vectors as units in double precision, their leading coordinates, and the blocks."""
+
+    def __init__(self, body: bytes, lead: np.ndarray | None):
+        self.ids, self.weight, raw, self.starts, self.centres, self.angles, self.trees = pickle.loads(body)
+        self.x = unit(raw.astype(np.float64))
+        self.single = self.x.astype(np.float32)
+        first = self.x[:, :LEAD] if lead is None else self.x @ lead
+        self.lead = np.empty((len(self.x), first.shape[1] + 1), np.float32)
+        self.lead[:, :-1] = first
+        self.lead[:, -1] = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", first, first)))
+
+    def block(self, k: int) -> slice:
+        return slice(self.starts[k], self.starts[k + 1])
+
+    def tree(self, k: int) -> CoverTree:
+        if isinstance(self.trees[k], bytes):
+            self.trees[k] = CoverTree.of(self.x[self.block(k)], self.trees[k])
+        return self.trees[k]
+
+    def near(self, other: _Group, eps: float) -> np.ndarray:
+        """For each block of the other one, which vectors may have a vector of it within the angle eps."""
+        least = np.cos(np.minimum(np.pi, other.angles + eps)) - _SLACK_SINGLE
+        return other.centres.astype(np.float32) @ self.single.T >= least[:, None].astype(np.float32)
+
+
+def _products(a: _Group, b: _Group, i: np.ndarray, j: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks of pairs of the rows i of a and j of b with at least that cosine."""
+    left, right = a.lead[i], b.lead[j].T
+    least = np.float32(cosine - _SLACK_SINGLE)
+    for s in range(0, len(i), 256):
+        # at most 256 x BLOCK
+        found = np.flatnonzero(left[s : s + 256] @ right >= least)
+        for f in range(0, len(found), CHUNK):
+            at = found[f : f + CHUNK]
+            u, v = i[at // len(j) + s], j[at % len(j)]
+            ok = np.einsum("ij,ij->i", a.x[u], b.x[v]) >= cosine
+            yield u[ok], v[ok]
+
+
+def _met(a: _Group, b: _Group, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks of pairs (row of a, row of b) with at least that cosine; of one group with itself each pair once, the lesser row first."""
+    eps = float(np.arccos(np.clip(cosine, -1, 1))) + _SLACK
+    near_a, near_b = a.near(b, eps), b.near(a, eps)
+    apart = np.arccos(np.clip(a.centres @ b.centres.T, -1, 1))
+    for k, m in zip(*(x.tolist() for x in np.nonzero(apart <= a.angles[:, None] + b.angles[None, :] + eps)), strict=True):
+        if a is b and k > m:
+            continue
+        sa, sb = a.block(k), b.block(m)
+        if a.trees[k] is not None and b.trees[m] is not None:
+            found = ((u + sa.start, v + sb.start) for u, v in dual(a.tree(k), b.tree(m), cosine))
+        else:
+            found = _products(a, b, np.flatnonzero(near_a[m, sa]) + sa.start, np.flatnonzero(near_b[k, sb]) + sb.start, cosine)
+        for u, v in found:
+            if a is b:
+                once = u < v
+                u, v = u[once], v[once]
+            if len(u):
+                yield u, v
+
+
+def _linked(cosine: float, leads: dict[int, np.ndarray]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def tree(ids: bytes, vectors: bytes, weight: bytes, packed: bytes, dim: int) -> tuple:
-            node = np.frombuffer(ids, np.int64)
-            # vectors that floats hold travel as floats
-            x = np.frombuffer(vectors, np.float32 if len(vectors) == 4 * dim * len(node) else np.float64)
-            return node, CoverTree.of(unit(x.reshape(-1, dim).astype(np.float64)), packed), np.frombuffer(weight, np.int64)
-
+        held: dict[int, _Group] = {}
         for batch in batches:
             for r in batch.itertuples(index=False):
-                ida, ta, wa = tree(r.ids_a, r.vectors_a, r.weight_a, r.tree_a, r.dim)
-                idb, tb, wb = tree(r.ids_b, r.vectors_b, r.weight_b, r.tree_b, r.dim)
-                same, n = r.block_a == r.block_b, len(ida)
-                links_a, links_b = np.zeros(n, np.int64), np.zeros(len(idb), np.int64)
-                nodes = np.concatenate([ida, idb])
+                # rows of one group come one after another
+                if r.group_a not in held:
+                    held = {r.group_a: _Group(r.body_a, leads.get(r.dim))}
+                a = held[r.group_a]
+                same = r.group_a == r.group_b
+                b = a if same else _Group(r.body_b, leads.get(r.dim))
+                n = len(a.ids)
+                nodes = a.ids if same else np.concatenate([a.ids, b.ids])
+                weight = a.weight if same else np.concatenate([a.weight, b.weight])
                 order = np.argsort(nodes, kind="stable")
                 place = np.empty(len(nodes), np.int64)
                 place[order] = np.arange(len(nodes))
-                root = np.arange(len(nodes))
-                for u, v in dual(ta, tb, cosine):
-                    if same:
-                        once = u < v
-                        u, v = u[once], v[once]
-                        np.add.at(links_a, v, wa[u])
-                    np.add.at(links_a, u, wb[v])
-                    if not same:
-                        np.add.at(links_b, v, wa[u])
-                    # joined to what is known, of which a chunk adds a forest
-                    root = _least_of(len(nodes), np.concatenate([np.arange(len(nodes)), place[u]]), np.concatenate([root, place[v if same else v + n]]))
-                links = np.concatenate([links_a, links_b])
+                root, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+                some: list[tuple[np.ndarray, np.ndarray]] = []
+
+                def joined() -> np.ndarray:
+                    """The roots known, joined by the pairs kept, of which a forest is left."""
+                    u, v = (place[np.concatenate([p[k] for p in some])] for k in (0, 1))
+                    return _least_of(len(nodes), np.concatenate([np.arange(len(nodes)), u]), np.concatenate([root, v]))
+
+                for u, v in _met(a, b, cosine):
+                    v = v if same else v + n
+                    np.add.at(links, u, weight[v])
+                    np.add.at(links, v, weight[u])
+                    some.append((u, v))
+                    if sum(len(p[0]) for p in some) >= KEPT:
+                        root, some = joined(), []
+                root = joined() if some else root
                 at = np.flatnonzero(links)
                 yield pd.DataFrame({"node": nodes[at], "links": links[at], "root": nodes[order][root[place[at]]]})
 
     return run
 
 
-def _halves(x: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows in groups of at most BLOCK, near in space: the half nearer to one of two far ends, and the other half, as long as it takes."""
-    if len(rows) <= BLOCK:
+def _halves(x: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rows in runs of at most that many, near in space: the half nearer to one of two far ends, and the other half, as long as it takes."""
+    if len(rows) <= most:
         yield rows
         return
     one = rows[np.argmin(x[rows] @ x[rows[0]])]
     other = rows[np.argmin(x[rows] @ x[one])]
     order = np.argsort(x[rows] @ (x[one] - x[other]), kind="stable")
-    yield from _halves(x, rows[order[: len(rows) // 2]])
-    yield from _halves(x, rows[order[len(rows) // 2 :]])
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (cell, c, embedding, weight), sorted by cell, as blocks with their trees."""
-    from pyspark import TaskContext
-
-    task, made = TaskContext.get().partitionId(), 0
-
-    def out(cell: int, held: list) -> Iterator[pd.DataFrame]:
-        nonlocal made
-        ids, weight = (np.array([h[k] for h in held], np.int64) for k in (0, 2))
-        raw = np.stack([np.asarray(h[1], np.float64) for h in held])
-        x = unit(raw)
-        with np.errstate(over="ignore"):
-            small = raw.astype(np.float32)
-        raw = small if (small == raw).all() else raw
-        for rows in _halves(x, np.arange(len(x))):
-            made += 1
-            tree = CoverTree(x[rows])
-            # the root's centre is the block's first row
-            yield pd.DataFrame(
-                [{"cell": cell, "block": f"{task}-{made}", "dim": x.shape[1], "centre": x[rows[0]], "radius": float(tree.levels[0][1][0]), "ids": ids[rows].tobytes(),
-                  "vectors": raw[rows].tobytes(), "weight": weight[rows].tobytes(), "tree": tree.packed()}]
-            )
-
-    key, held = None, []
-    for batch in batches:
-        for cell, c, x, weight in batch[["cell", "c", "embedding", "weight"]].itertuples(index=False, name=None):
-            now = (cell, len(x))
-            if held and (now != key or len(held) >= AT_ONCE * BLOCK):
-                yield from out(key[0], held)
-                held = []
-            key = now
-            held.append((c, x, weight))
-    if held:
-        yield from out(key[0], held)
+    yield from _halves(x, rows[order[: len(rows) // 2]], most)
+    yield from _halves(x, rows[order[len(rows) // 2 :]], most)
+
+
+def _centre(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The direction of the mean, or of the first row if there is none, and the cosines of all rows to it."""
+    mean = x.mean(axis=0)
+    length = np.linalg.norm(mean)
+    centre = mean / length if length > 1e-6 else x[0]
+    return centre, x @ centre
+
+
+def _groups(block: int):
+    """Rows (home, cell, c, embedding, weight), sorted by home and cell, as one row for each home, with its blocks and their trees."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out(home: int, dim: int, held: list) -> pd.DataFrame:
+            cells, ids, weight = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 3))
+            raw = np.stack([np.asarray(h[2], np.float64) for h in held])
+            x = unit(raw)
+            with np.errstate(over="ignore"):
+                small = raw.astype(np.float32)
+            # vectors that floats hold travel as floats
+            raw = small if (small == raw).all() else raw
+            laid, starts, centres, angles, trees = [], [0], [], [], []
+            for cell in np.split(np.arange(len(x)), np.flatnonzero(np.diff(cells)) + 1):
+                for part in _halves(x, cell, 4 * block):
+                    centre, cos = _centre(x[part])
+                    order = np.argsort(-cos, kind="stable")
+                    for shell in np.array_split(order, -(-len(part) // block)):
+                        tree = CoverTree(x[part[shell]])
+                        laid.append(part[shell])
+                        starts.append(starts[-1] + len(shell))
+                        centres.append(centre)
+                        angles.append(np.arccos(np.clip(cos[shell].min(), -1, 1)))
+                        trees.append(tree.packed() if len(tree.levels) > 2 else None)
+            at = np.concatenate(laid)
+            centre, cos = _centre(x)
+            body = pickle.dumps((ids[at], weight[at], raw[at], starts, np.array(centres), np.array(angles), trees), protocol=5)
+            return pd.DataFrame([{"group": home, "dim": dim, "centre": centre, "angle": float(np.arccos(np.clip(cos.min(), -1, 1))), "body": body}])
+
+        key, held = None, []
+        for batch in batches:
+            for home, cell, c, x, weight in batch[["home", "cell", "c", "embedding", "weight"]].itertuples(index=False, name=None):
+                now = (home, len(x))
+                if held and now != key:
+                    yield out(*key, held)
+                    held = []
+                key = now
+                held.append((cell, c, x, weight))
+        if held:
+            yield out(*key, held)
+
+    return run
+
+
+def _homes(cells: dict[int, int], block: int) -> list[tuple[int, int, int]]:
+    """(cell, first home, number of homes): cells of one length that follow each other share a home as long as they fit; a larger one has several."""
+    whole: dict[int, int] = defaultdict(int)
+    for cell, n in cells.items():
+        whole[cell // PIVOTS[1]] += n
+    out, home, room, last = [], -1, 0, None
+    for cell, n in sorted(cells.items()):
+        dim = cell // PIVOTS[1]
+        most = max(1, min(max(2 * block, math.ceil(whole[dim] / GROUPS)), GROUP_BYTES // (4 * dim)))
+        if dim != last or n > room:
+            home, room, last = home + 1, most, dim
+        parts = math.ceil(n / most)
+        out.append((cell, home, parts))
+        home, room = home + parts - 1, 0 if parts > 1 else room - n
+    return out
 
 
 def _pivots(rows: DataFrame, k: int) -> dict[int, np.ndarray]:
-    """At most k vectors for each of the lengths found; of very many lengths, the rest is dealt to one cell each by the length alone."""
+    """At most k vectors for each of the lengths found, near ones next to each other; of very many lengths, the rest is dealt to one cell each by the length alone."""
     out: dict[int, np.ndarray] = {}
     for dim in [r[0] for r in rows.select("dim").distinct().limit(64).collect()]:
-        got = rows.where(F.col("dim") == dim).orderBy(F.md5(F.col("c").cast("string"))).limit(k).select("embedding").toLocalIterator()
-        out[dim] = unit(np.array([r[0] for r in got], np.float64))
+        most = min(k, max(PIVOTS[0], PIVOT_BYTES // (8 * dim)))
+        got = rows.where(F.col("dim") == dim).orderBy(F.md5(F.col("c").cast("string"))).limit(most).select("embedding").toLocalIterator()
+        x = unit(np.array([r[0] for r in got], np.float64))
+        out[dim] = x[np.concatenate(list(_halves(x, np.arange(len(x)), 1)))]
     return out
 
 
+def _leads(pivots: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """For each length orthonormal directions, those along which its pivots are longest."""
+    return {dim: np.linalg.svd(p[:512], full_matrices=False)[2][:LEAD].T for dim, p in pivots.items()}
+
+
 def _dealt(pivots: dict[int, np.ndarray]):
-    """c, weight, embedding, cell, distance from the cell's pivot; cells are numbered by length and pivot."""
+    """c, weight, embedding, cell; cells are numbered by length and nearest pivot."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        single = {dim: p.astype(np.float32).T for dim, p in pivots.items()}
         for batch in batches:
-            cell, dist = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            cell = np.zeros(len(batch), np.int64)
             for dim, group in batch.groupby("dim"):
                 at = batch.index.get_indexer(group.index)
-                x = unit(np.stack([np.asarray(e, np.float64) for e in group["embedding"]]))
                 cell[at] = int(dim) * PIVOTS[1]
-                if (p := pivots.get(int(dim))) is not None:
-                    d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
-                    cell[at] += d.argmin(axis=1)
-                    dist[at] = d.min(axis=1)
-                else:
-                    dist[at] = 2.0
-            yield pd.DataFrame({"c": batch["c"].to_numpy(), "weight": batch["weight"].to_numpy(), "embedding": batch["embedding"].to_numpy(), "cell": cell, "dist": dist})
+                if (p := single.get(int(dim))) is not None:
+                    x = unit(np.stack([np.asarray(e, np.float64) for e in group["embedding"]])).astype(np.float32)
+                    cell[at] += np.concatenate([(x[s : s + 1024] @ p).argmax(axis=1) for s in range(0, len(x), 1024)])
+            yield pd.DataFrame({"c": batch["c"].to_numpy(), "weight": batch["weight"].to_numpy(), "embedding": batch["embedding"].to_numpy(), "cell": cell})
 
     return run
 
 
-def _cell_pairs(radius: dict[int, float], pivots: dict[int, np.ndarray], eps: float) -> list[tuple[int, int]]:
-    """Pairs of cells, of vectors of one length, that may hold linked vectors."""
-    out, by_dim = [], defaultdict(list)
-    for cell in sorted(radius):
-        by_dim[cell // PIVOTS[1]].append(cell)
-    for dim, cells in by_dim.items():
-        r = np.array([radius[c] for c in cells])
-        p = pivots.get(dim)
-        at = [c % PIVOTS[1] for c in cells]
-        gap = np.zeros((len(cells), len(cells))) if p is None else np.sqrt(np.maximum(0.0, 2 - 2 * (p[at] @ p[at].T)))
-        i, j = np.nonzero(np.triu(gap - r[:, None] - r[None, :] <= eps + _SLACK))
-        out += [(cells[a], cells[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-    return out
-
-
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row for each row of embeddings."""
     spark = embeddings.sparkSession
@@ -316,28 +423,25 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
         sound.groupBy("c").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("embedding")),
         "vectors",
     )
-    pivots = _pivots(classes, min(max(PIVOTS[0], math.ceil(classes.count() / BLOCK)), PIVOTS[1]))
-    eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    put = settle(classes.select("c", "embedding", "weight", "dim").mapInPandas(_dealt(pivots), "c long, weight long, embedding array<double>, cell long, dist double"), "dealt")
+    pivots = _pivots(classes, min(max(PIVOTS[0], math.ceil(classes.count() / (2 * BLOCK))), PIVOTS[1]))
+    put = settle(classes.select("c", "embedding", "weight", "dim").mapInPandas(_dealt(pivots), "c long, weight long, embedding array<double>, cell long"), "dealt")
     # a row for each pivot
-    cells = put.groupBy("cell").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()
-    parts = spark.createDataFrame([(r["cell"], math.ceil(r["n"] / (AT_ONCE * BLOCK))) for r in cells], "cell long, parts int")
-    # a cell is dealt to as many tasks as it fills
-    spread = put.join(F.broadcast(parts), "cell").repartition("cell", F.pmod(F.xxhash64("c"), F.col("parts"))).select("cell", "c", "embedding", "weight")
-    schema = "cell long, block string, dim int, centre array<double>, radius double, ids binary, vectors binary, weight binary, tree binary"
+    cells = {r["cell"]: r["n"] for r in put.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    homes = spark.createDataFrame(_homes(cells, BLOCK), "cell long, first long, parts int")
+    home = (F.col("first") + F.pmod(F.xxhash64("c"), F.col("parts"))).alias("home")
+    spread = put.join(F.broadcast(homes), "cell").select(home, "cell", "c", "embedding", "weight").repartition("home")
+    schema = "group long, dim int, centre array<double>, angle double, body binary"
     with rows_a_batch(spark, 2048):
-        blocks = settle(spread.sortWithinPartitions("cell", "c").mapInPandas(_blocks, schema), "blocks")
-    cell_pairs = spark.createDataFrame(_cell_pairs({r["cell"]: r["r"] for r in cells}, pivots, eps), "cell_a long, cell_b long")
-    # blocks meet by their centres first; at most PIVOTS squared pairs of cells, some 8 MB
-    head = lambda s: blocks.select(F.col("cell").alias(f"cell_{s}"), F.col("block").alias(f"block_{s}"), "dim", F.col("centre").alias(f"centre_{s}"), F.col("radius").alias(f"radius_{s}"))
-    heads = head("a").join(F.broadcast(cell_pairs), "cell_a").join(head("b").drop("dim"), "cell_b").where("cell_a < cell_b or block_a <= block_b")
+        groups = settle(spread.sortWithinPartitions("home", "cell", "c").mapInPandas(_groups(BLOCK), schema), "groups")
+    side = lambda s: groups.select(*(F.col(c).alias(f"{c}_{s}") for c in groups.columns))
     cos = "aggregate(zip_with(centre_a, centre_b, (x, y) -> x * y), 0D, (s, z) -> s + z)"
-    room = f"block_a = block_b or sqrt(greatest(0D, 2 - 2 * {cos})) - radius_a - radius_b <= {eps + _SLACK}D"
-    pairs = settle(heads.where(room).select("block_a", "block_b", "dim"), "block-pairs")
-    side = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "vectors", "weight", "tree")))
-    met = pairs.join(side("a"), "block_a").join(side("b"), "block_b")
-    with rows_a_batch(spark, 4):
-        found = settle(met.mapInPandas(_linked(cosine), "node long, links long, root long"), "found")
+    eps = float(np.arccos(min(1.0, max(-1.0, cosine)))) + _SLACK
+    # each two groups once, half of them from either side; a difference, as an equation would make a shuffle of it
+    once = "if((group_a + group_b) % 2 = 0, group_a <= group_b, group_a > group_b) and dim_a - dim_b = 0"
+    room = f"(group_a = group_b or acos(greatest(-1D, least(1D, {cos}))) - angle_a - angle_b <= {eps}D)"
+    met = side("a").join(side("b").hint("shuffle_replicate_nl"), F.expr(f"{once} and {room}")).select("group_a", "body_a", "group_b", "body_b", F.col("dim_a").alias("dim"))
+    with rows_a_batch(spark, 1, read=2):
+        found = settle(met.mapInPandas(_linked(cosine, _leads(pivots)), "node long, links long, root long"), "found")
     roots = settle(components(found, "node", "root"), "vector-roots")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     of = (

@@ -136,6 +136,58 @@ def test_cover_tree_exact(spark, monkeypatch):
         assert (r.n_links, r.component_id, r.kept) == (near[r.vec_id].sum(), roots[r.vec_id], roots[r.vec_id] == r.vec_id)
 
 
+def group_of(x, cells, lead, block=256):
+    """Vectors as one group of the cover trees, ids as numbered."""
+    rows = pd.DataFrame({"home": 0, "cell": cells, "c": np.arange(len(x)), "embedding": list(x), "weight": 1})
+    (out,) = covertree._groups(block)(iter([rows]))
+    return covertree._Group(out["body"][0], lead)
+
+
+def test_cover_tree_on_vectors_without_structure(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cells = (x @ x[:100].T).argmax(axis=1)
+    one, other = ((x[at], cells[at]) for at in (np.flatnonzero(cells < 10), np.flatnonzero((cells >= 10) & (cells < 20))))
+    # near copies across the groups, some just at the threshold
+    other[0][:500] = 0.95 * one[0][:500] + np.sqrt(1 - 0.95**2) * np.linspace(0.9, 1.1, 500)[:, None] * other[0][:500]
+    lead = covertree._leads({64: x[:200]})[64]
+    a, b = group_of(*one, lead), group_of(*other, lead)
+    tried, products = 0, covertree._products
+
+    def counted(a, b, i, j, cosine):
+        nonlocal tried
+        tried += len(i) * len(j)
+        return products(a, b, i, j, cosine)
+
+    monkeypatch.setattr(covertree, "_products", counted)
+    found = [(int(a.ids[i]), int(b.ids[j])) for u, v in covertree._met(a, b, 0.95) for i, j in zip(u, v, strict=True)]
+    back = lambda g: g.x[np.argsort(g.ids)]
+    want = set(zip(*(k.tolist() for k in np.nonzero(back(a) @ back(b).T >= 0.95)), strict=True))
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+    assert tried < 0.6 * len(a.x) * len(b.x)
+
+
+def test_cover_tree_groups_of_clusters():
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(150, 40)), 8, axis=0) + rng.normal(scale=0.2, size=(1200, 40))
+    x[:200] = rng.normal(size=(200, 40))
+    g = group_of(x, np.repeat([0, 1, 2, 3], 300), covertree._leads({40: x[::9]})[40], block=128)
+    assert any(t is None for t in g.trees) and any(t is not None for t in g.trees)
+    found = [tuple(sorted((int(g.ids[i]), int(g.ids[j])))) for u, v in covertree._met(g, g, 0.95) for i, j in zip(u, v, strict=True)]
+    y = g.x[np.argsort(g.ids)]
+    want = set(zip(*(k.tolist() for k in np.nonzero(np.triu(y @ y.T >= 0.95, 1))), strict=True))
+    assert len(found) == len(set(found)) and set(found) == want and want
+
+
+def test_cover_tree_homes():
+    cells = {64 * covertree.PIVOTS[1] + k: n for k, n in enumerate([3, 4, 500, 2, 90])} | {7 * covertree.PIVOTS[1]: 5}
+    homes = covertree._homes(cells, 10)
+    assert [h[0] for h in homes] == sorted(cells)
+    # one length a home; a cell that fills more than a group (a sixteenth of 599 rows) has several homes to itself
+    assert [h[1:] for h in homes] == [(0, 1), (1, 1), (1, 1), (2, 14), (16, 1), (17, 3)]
+
+
 def test_ann_recall(spark):
     e = table("embeddings")
     x = np.stack(e["embedding"]).astype(np.float64)
