@@ -66,8 +66,8 @@ CHUNK = 1 << 15
 #: Pairs found that are kept until they are joined.
 KEPT = 1 << 20
 _SLACK = 1e-7
-#: What a cosine in single precision may be off, with room to spare.
-_SLACK_SINGLE = 1e-5
+#: What a cosine in single precision may be off, at least and for each component, with room to spare.
+_SLACK_SINGLE = (1e-5, 2e-7)
 
 
 class CoverTree:
@@ -201,42 +201,47 @@ def _least_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 class _Group:
-    """A row of the groups, as arrays: all vectors as units in double precision, their leading coordinates, and the blocks."""
+    """A row of the groups, as arrays: all vectors as units in single precision, their leading coordinates, and the blocks."""
 
     def __init__(self, body: bytes, lead: np.ndarray | None):
-        self.ids, self.weight, raw, self.starts, self.centres, self.angles, self.trees = pickle.loads(body)
-        self.x = unit(raw.astype(np.float64))
-        self.single = self.x.astype(np.float32)
-        first = self.x[:, :LEAD] if lead is None else self.x @ lead
-        self.lead = np.empty((len(self.x), first.shape[1] + 1), np.float32)
+        self.ids, self.weight, self.raw, scale, self.starts, self.centres, self.angles, self.trees = pickle.loads(body)
+        self.single = unit(self.raw).astype(np.float32) if scale is None else self.raw * scale[:, None]
+        self.slack = max(_SLACK_SINGLE[0], _SLACK_SINGLE[1] * self.single.shape[1])
+        first = self.single[:, :LEAD] if lead is None else self.single @ lead.astype(np.float32)
+        self.lead = np.empty((len(first), first.shape[1] + 1), np.float32)
         self.lead[:, :-1] = first
-        self.lead[:, -1] = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", first, first)))
+        # the rest is never taken for shorter than it is
+        self.lead[:, -1] = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", first, first)) + self.slack)
+
+    def x(self, rows: np.ndarray | slice) -> np.ndarray:
+        """Rows as units in double precision."""
+        return unit(self.raw[rows].astype(np.float64))
 
     def block(self, k: int) -> slice:
         return slice(self.starts[k], self.starts[k + 1])
 
     def tree(self, k: int) -> CoverTree:
         if isinstance(self.trees[k], bytes):
-            self.trees[k] = CoverTree.of(self.x[self.block(k)], self.trees[k])
+            self.trees[k] = CoverTree.of(self.x(self.block(k)), self.trees[k])
         return self.trees[k]
 
     def near(self, other: _Group, eps: float) -> np.ndarray:
         """For each block of the other one, which vectors may have a vector of it within the angle eps."""
-        least = np.cos(np.minimum(np.pi, other.angles + eps)) - _SLACK_SINGLE
+        least = np.cos(np.minimum(np.pi, other.angles + eps)) - self.slack
         return other.centres.astype(np.float32) @ self.single.T >= least[:, None].astype(np.float32)
 
 
 def _products(a: _Group, b: _Group, i: np.ndarray, j: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Chunks of pairs of the rows i of a and j of b with at least that cosine."""
     left, right = a.lead[i], b.lead[j].T
-    least = np.float32(cosine - _SLACK_SINGLE)
+    least = np.float32(cosine - a.slack)
     for s in range(0, len(i), 256):
         # at most 256 x BLOCK
         found = np.flatnonzero(left[s : s + 256] @ right >= least)
         for f in range(0, len(found), CHUNK):
             at = found[f : f + CHUNK]
             u, v = i[at // len(j) + s], j[at % len(j)]
-            ok = np.einsum("ij,ij->i", a.x[u], b.x[v]) >= cosine
+            ok = np.einsum("ij,ij->i", a.x(u), b.x(v)) >= cosine
             yield u[ok], v[ok]
 
 
@@ -346,7 +351,12 @@ def _groups(block: int):
                         trees.append(tree.packed() if len(tree.levels) > 2 else None)
             at = np.concatenate(laid)
             centre, cos = _centre(x)
-            body = pickle.dumps((ids[at], weight[at], raw[at], starts, np.array(centres), np.array(angles), trees), protocol=5)
+            # factors that make units of floats, where these are neither very small nor very large
+            with np.errstate(over="ignore"):
+                length = np.linalg.norm(raw, axis=1)
+            fair = raw.dtype == np.float32 and (length > 1e-15).all() and (length < 1e15).all()
+            scale = (1 / length[at]).astype(np.float32) if fair else None
+            body = pickle.dumps((ids[at], weight[at], raw[at], scale, starts, np.array(centres), np.array(angles), trees), protocol=5)
             return pd.DataFrame([{"group": home, "dim": dim, "centre": centre, "angle": float(np.arccos(np.clip(cos.min(), -1, 1))), "body": body}])
 
         key, held = None, []
